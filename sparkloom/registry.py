@@ -1,4 +1,32 @@
-"""Queries over the reference operators and the SQL that checks each."""
+"""Queries over the reference operators and the SQL that checks each.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A query module registers with ``@query(sql)``; without SQL a query is checked by tests only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    """Import every query module."""
+    from .plans import analytics_queries, graph_queries, learning_queries, retrieval_queries, sequence_queries, text_queries, vector_queries  # noqa: F401
+
+
+load()
