@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence
@@ -10,7 +10,10 @@ from ..registry import query
 from ..sources import views
 
 _STEPS = "steps as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events)"
-_KIND = F.col("event_type")
+
+
+def _is(kind: str) -> Column:
+    return F.col("event_type") == kind
 
 
 def _steps(spark, sf_dir):
@@ -26,20 +29,20 @@ def _timed(spark, sf_dir):
 select user_id, i, j, min(n) as k from steps join b using (user_id) where event_type = 'view' and n > j group by all""")
 def seq_three_step(spark, sf_dir):
     """view ... error ... view."""
-    return sequence.first_pattern(_steps(spark, sf_dir), _KIND == "view", _KIND == "error", _KIND == "view")
+    return sequence.first_pattern(_steps(spark, sf_dir), _is("view"), _is("error"), _is("view"))
 
 
 @query(f"with {_STEPS}, l as (select *, lead(event_type, 1) over w as a, lead(event_type, 2) over w as b from steps window w as (partition by user_id order by n)) select user_id, n, (case when a = 'purchase' then 1 else 2 end)::int as gap from l where event_type = 'click' and (a = 'purchase' or b = 'purchase')")
 def seq_build_then_test(spark, sf_dir):
     """click, then purchase within two events."""
-    return sequence.follows_within(_steps(spark, sf_dir), _KIND == "click", _KIND == "purchase", 2)
+    return sequence.follows_within(_steps(spark, sf_dir), _is("click"), _is("purchase"), 2)
 
 
 @query(f"""with {_STEPS}, m as (select *, sum(case when event_type in ('click', 'view') then 0 else 1 end) over (partition by user_id order by n rows unbounded preceding) as island from steps)
 select user_id, min(n) as first, max(n) as last, count(*) as hits from m where event_type = 'click' group by user_id, island having count(*) >= 3""".replace("as first, max(n) as last,", 'as "first", max(n) as "last",'))
 def islands_iterative_fix(spark, sf_dir):
     """Three or more clicks with only views among them."""
-    return sequence.islands(_steps(spark, sf_dir), _KIND == "click", _KIND == "view", 3)
+    return sequence.islands(_steps(spark, sf_dir), _is("click"), _is("view"), 3)
 
 
 @query("select user_id, props as target, count(*) as edits, min(event_id) as first_id, max(event_id) as last_id from events where event_type = 'click' group by all having count(*) >= 2")
@@ -51,7 +54,7 @@ def retry_variant(spark, sf_dir):
 @query(f"with {_STEPS} select user_id, max(n) filter (where event_type = 'view') as looked, max(n) filter (where event_type = 'purchase') as acted from steps group by 1 having max(n) filter (where event_type = 'view') < max(n) filter (where event_type = 'purchase')")
 def seq_investigation(spark, sf_dir):
     """The last look came before the last action."""
-    last = lambda kind: F.max(F.when(_KIND == kind, F.col("n")))
+    last = lambda kind: F.max(F.when(_is(kind), F.col("n")))
     return _steps(spark, sf_dir).groupBy("user_id").agg(last("view").alias("looked"), last("purchase").alias("acted")).filter("looked < acted")
 
 
