@@ -78,7 +78,7 @@ def train(posterior: np.ndarray, buckets: list, values: list, rounds: int = 150,
     weights = np.zeros(FEATURES + 1)
     if not len(posterior):
         return weights
-    cols, vals = np.concatenate(buckets), np.concatenate(values).astype(float)
+    cols, vals = np.concatenate(buckets).astype(np.int64), np.concatenate(values).astype(float)
     rows = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
     past = np.full(FEATURES + 1, 1e-8)
     for _ in range(rounds):
