@@ -40,13 +40,17 @@ def fuzzy(text: Column, needle: str, threshold: float = 0.7) -> Column:
     return low.contains(needle.lower()) | (F.levenshtein(low, F.lit(needle.lower())) <= most)
 
 
+def _within(term: str, most: int):
+    return lambda word: F.levenshtein(word, F.lit(term)) <= most
+
+
 def fuzzy_terms(text: Column, search: str) -> Column:
     """Every term is near some word: distance 1 up to three letters, else three tenths of the term; single letters must be equal."""
     words = F.split(F.lower(text), r"\s+")
     all_terms = F.lit(True)
     for term in search.lower().split():
         most = 0 if len(term) == 1 else 1 if len(term) <= 3 else max(1, int(0.3 * len(term)))
-        all_terms = all_terms & F.exists(words, lambda w, t=term, m=most: F.levenshtein(w, F.lit(t)) <= m)
+        all_terms = all_terms & F.exists(words, _within(term, most))
     return all_terms
 
 

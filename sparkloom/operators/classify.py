@@ -21,7 +21,11 @@ FLAGS = ((1, "!!", 0.2), (2, r"[#*$%&|<>]{2,}", 0.4), (4, r"\b[A-Z]{6,}\b", 0.1)
 
 def entities(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, value, n): every match of every pattern; addresses in lower case."""
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), (F.lower(v) if k == "email" else v).alias("value"))) for k, p in ENTITIES.items()]
+
+    def named(kind: str):
+        return lambda v: F.struct(F.lit(kind).alias("kind"), (F.lower(v) if kind == "email" else v).alias("value"))
+
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), named(k)) for k, p in ENTITIES.items()]
     rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("e"))
     return rows.groupBy("doc_id", F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -50,7 +54,11 @@ def redflags(docs: DataFrame) -> DataFrame:
 def auto_tags(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """(doc_id, tag, confidence): keyword hits over max(3, 0.3 * keywords)."""
     words = docs.select("doc_id", F.split(F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "), " ").alias("w"))
-    scored = F.array(*[F.struct(F.lit(tag).alias("tag"), (F.size(F.filter("w", lambda t, k=keys: t.isin(*k))) / max(3.0, 0.3 * len(keys))).alias("c")) for tag, keys in TAG_WORDS.items()])
+
+    def one_of(keys: tuple[str, ...]):
+        return lambda word: word.isin(*keys)
+
+    scored = F.array(*[F.struct(F.lit(tag).alias("tag"), (F.size(F.filter("w", one_of(keys))) / max(3.0, 0.3 * len(keys))).alias("c")) for tag, keys in TAG_WORDS.items()])
     rows = words.select("doc_id", F.explode(scored).alias("s")).filter(F.col("s.c") >= least)
     return rows.select("doc_id", "s.tag", F.round(F.least(F.lit(1.0), F.col("s.c")), 6).alias("confidence"))
 

@@ -111,7 +111,7 @@ def category_topn(spark, sf_dir):
 @query("select props as signature, user_id, count(*) as n, min(epoch_us(ts)) as first_us, max(epoch_us(ts)) as last_us from events where event_type = 'error' group by all")
 def error_rollup(spark, sf_dir):
     errors = views.table(spark, sf_dir, "events").filter("event_type = 'error'")
-    us = F.unix_micros("ts")
+    us = views.micros("ts")
     return errors.groupBy(F.col("props").alias("signature"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
@@ -186,7 +186,7 @@ _WEEK = 7 * 24 * 3600 * 1_000_000
 select win, n, mean, case when (select regr_slope(mean, win) from w) > 0.01 then 'improving' when (select regr_slope(mean, win) from w) < -0.01 then 'declining' else 'stable' end as trend from w""")
 def temporal_trend(spark, sf_dir):
     """Weekly windows from the first event, and the least-squares trend of their means."""
-    events = views.table(spark, sf_dir, "events").select(F.unix_micros("ts").alias("us"), "value")
+    events = views.table(spark, sf_dir, "events").select(views.micros("ts").alias("us"), "value")
     t0 = events.agg(F.min("us")).first()[0]
     wins = events.groupBy(F.expr(f"(us - {t0 or 0}) div {_WEEK}").alias("win")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     slope = wins.agg(F.regr_slope("mean", "win")).first()[0] or 0.0

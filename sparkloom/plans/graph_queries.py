@@ -63,19 +63,13 @@ def simple_paths(spark, sf_dir):
     return found.select(F.array_join("path", ">").alias("path"), "steps")
 
 
-def _near_dup_edges(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-    return rows.select(F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 1500 + 100_000).alias("target_id"))
-
-
-@query("""with recursive e as (select distinct o_custkey as a, o_orderkey % 1500 + 100000 as b from orders where o_orderstatus = 'P' and o_orderkey % 5 = 0),
-both_ as (select a, b from e union select b, a from e),
-r as (select a as node, a as other from both_ union select node, b from r join both_ on other = a)
-select node, min(other) as root from r group by node""")
+@query(sql("""+e as (select distinct source_id as a, target_id as b from relations where relation_type = 'depends_on' and source_id <> target_id),
+ends as (select a, b from e union select b, a from e),
+r as (select a as node, a as other from ends union select node, b from r join ends on other = a)
+select node, min(other) as root from r group by node""", "relations"))
 def components(spark, sf_dir):
-    """Components of the bipartite graph of some customers and order slots."""
-    edges = views.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderkey % 5 = 0")
-    return graph.components(edges.select(F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 1500 + 100_000).alias("target_id")))
+    """Components of the dependency edges."""
+    return graph.components(views.relations(spark, sf_dir).filter("relation_type = 'depends_on'"))
 
 
 _PARENT = "parents as (select doc_id as node, case when doc_id >= 4 then doc_id // 4 end as parent from documents)"

@@ -33,7 +33,7 @@ for _method, _weight in {"linear": "1.0", "last": "case when r = 1 then 1.0 else
 _NET = """net as (select entry_id, floor(sum(case outcome when 'success' then 1.0 when 'partial' then 0.5 else 0.0 end) + 0.5)::bigint as positive, floor(sum(case outcome when 'failure' then 1.0 else 0.0 end) + 0.5)::bigint as negative from links group by 1)"""
 
 
-@query(sql(f"+{_NET} select *, positive - negative as net, round(case when positive > negative then 1 + least(0.02 * positive, 0.1) when positive < negative then 1 - least(0.1 * (negative - positive), 0.5) else 1.0 end, 6) as multiplier from net", "feedback"))
+@query(sql(f"+{_NET} select *, positive - negative as net, round(case when positive > negative then 1 + least(0.02 * positive, 0.1) when positive < negative then 1 - least(0.1 * (negative - positive), 0.5) else 1.0 end::double, 6) as multiplier from net", "feedback"))
 def feedback_net(spark, sf_dir):
     net = feedback.net_feedback(views.feedback(spark, sf_dir)[2])
     return net.withColumn("multiplier", F.round(scoring.feedback_multiplier(F.col("positive"), F.col("net")), 6))
@@ -85,7 +85,7 @@ def vote_consensus(spark, sf_dir):
     return feedback.consensus(feedback.latest_votes(views.votes(spark, sf_dir)), 3)
 
 
-@query(sql(f"+{_LATEST} select task_id, vote, count(*) as n, round(count(*) / sum(count(*)) over (partition by task_id), 6) as share from latest group by all", "votes"))
+@query(sql(f"+{_LATEST} select task_id, vote, count(*) as n, round(count(*) / sum(count(*)) over (partition by task_id), 6) as share from latest group by task_id, vote", "votes"))
 def vote_distribution(spark, sf_dir):
     latest = feedback.latest_votes(views.votes(spark, sf_dir))
     by = latest.groupBy("task_id", "vote").agg(F.count(F.lit(1)).alias("n"))
@@ -94,9 +94,9 @@ def vote_distribution(spark, sf_dir):
 
 
 @query(sql("""+s as (select agent_id, task_id, max((vote = 'error')::int) as wrong from votes group by all), t as (select agent_id, count(*) as tasks, sum(wrong) as errors from s group by 1),
-p as (select x.agent_id as a, y.agent_id as b, count(*) as shared, sum(x.wrong * y.wrong)::bigint as both from s x join s y on x.task_id = y.task_id and x.agent_id < y.agent_id group by all),
-q as (select a, b, both, ta.tasks + tb.tasks - shared as n, ta.errors as ea, tb.errors as eb from p join t ta on ta.agent_id = a join t tb on tb.agent_id = b)
-select a, b, both, n as union, round(case when ea * (n - ea) * eb * (n - eb) = 0 then 0.0 else least(1.0, greatest(-1.0, (n * both - ea * eb) / sqrt((ea * (n - ea) * eb * (n - eb))::double))) end, 6) as correlation from q""", "votes").replace("as union,", 'as "union",'))
+p as (select x.agent_id as a, y.agent_id as b, count(*) as shared, sum(x.wrong * y.wrong)::bigint as joint from s x join s y on x.task_id = y.task_id and x.agent_id < y.agent_id group by all),
+q as (select a, b, joint, ta.tasks + tb.tasks - shared as n, ta.errors as ea, tb.errors as eb from p join t ta on ta.agent_id = a join t tb on tb.agent_id = b)
+select a, b, joint as "both", n as union, round(case when ea * (n - ea) * eb * (n - eb) = 0 then 0.0 else least(1.0, greatest(-1.0, (n * joint - ea * eb) / sqrt((ea * (n - ea) * eb * (n - eb))::double))) end, 6) as correlation from q""", "votes").replace("as union,", 'as "union",'))
 def agent_error_corr(spark, sf_dir):
     return feedback.agent_error_correlation(views.votes(spark, sf_dir), F.col("vote") == "error")
 

@@ -130,8 +130,8 @@ def filter_fuzzy(spark, sf_dir):
     return views.table(spark, sf_dir, "part").filter(text.fuzzy(F.col("p_name"), "red widgte")).select("p_partkey", "p_name")
 
 
-@query("""select p_partkey, p_name from part where len(list_filter(string_split(lower(p_name), ' '), w -> levenshtein(w, 'rde') <= 1)) > 0
- and len(list_filter(string_split(lower(p_name), ' '), w -> levenshtein(w, 'widgte') <= 1)) > 0""")
+@query("""select p_partkey, p_name from part where len(list_filter(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'rde') <= 1)) > 0
+ and len(list_filter(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'widgte') <= 1)) > 0""")
 def filter_fuzzy_terms(spark, sf_dir):
     return views.table(spark, sf_dir, "part").filter(text.fuzzy_terms(F.col("p_name"), "rde widgte")).select("p_partkey", "p_name")
 
@@ -198,8 +198,8 @@ def staleness(spark, sf_dir):
     return views.entries(spark, sf_dir).select("entry_id", reason.alias("reason")).filter("reason is not null")
 
 
-@query(sql(f"""select entry_id, recency, frequency, importance, round(0.35 * recency + 0.35 * frequency + 0.3 * importance, 6) as combined,
- priority >= 90 as protected, round(0.35 * recency + 0.35 * frequency + 0.3 * importance, 6) < 0.4 and priority < 90 as forget from (
+@query(sql(f"""select entry_id, recency, frequency, importance, round(0.35 * recency + 0.35 * frequency + 0.3 * importance, 9) as combined,
+ priority >= 90 as protected, round(0.35 * recency + 0.35 * frequency + 0.3 * importance, 9) < 0.4 and priority < 90 as forget from (
  select entry_id, priority, round(greatest(0.0, 1 - coalesce(idle, age) / 90), 3) as recency, round(least(1.0, ln(access_count + 1) / ln(21.0)), 6) as frequency, priority / 100.0 as importance from
  (select *, (744 - born_h) / 24.0 as age, case when access_lag_h is not null then greatest(0.0, (744 - born_h - access_lag_h) / 24.0) end as idle from entries))""", "entries"))
 def forgetting(spark, sf_dir):
@@ -209,7 +209,7 @@ def forgetting(spark, sf_dir):
         "entry_id", "priority", scoring.forget_recency(F.coalesce(idle, age)).alias("recency"),
         F.round(scoring.forget_frequency(F.col("access_count")), 6).alias("frequency"), (F.col("priority") / 100.0).alias("importance"),
     )
-    combined = F.round(0.35 * F.col("recency") + 0.35 * F.col("frequency") + 0.3 * F.col("importance"), 6)
+    combined = F.round(0.35 * F.col("recency") + 0.35 * F.col("frequency") + 0.3 * F.col("importance"), 9)
     return rows.select("entry_id", "recency", "frequency", "importance", combined.alias("combined"), (F.col("priority") >= 90).alias("protected"), ((combined < 0.4) & (F.col("priority") < 90)).alias("forget"))
 
 

@@ -22,7 +22,7 @@ def _steps(spark, sf_dir):
 
 
 def _timed(spark, sf_dir):
-    return views.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.unix_micros("ts").alias("us"))
+    return views.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", views.micros("ts").alias("us"))
 
 
 @query(f"""with {_STEPS}, a as (select user_id, min(n) as i from steps where event_type = 'view' group by 1), b as (select user_id, i, min(n) as j from steps join a using (user_id) where event_type = 'error' and n > i group by all)

@@ -11,14 +11,14 @@ from ..sources import views
 from ..sources.views import sql
 
 _TERMS = ("thing", "onat", "heit")
-_WORDS = "words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), t -> length(t) > 0) as w from documents)"
+_WORDS = "words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: length(t) > 0) as w from documents)"
 
 
 def _docs(spark, sf_dir):
     return views.table(spark, sf_dir, "documents")
 
 
-@query(f"with {_WORDS} select doc_id from words where len(list_filter(w, t -> starts_with(t, 'thoun') or t = 'sandbox' or t = 'heitver')) > 0")
+@query(f"with {_WORDS} select doc_id from words where len(list_filter(w, lambda t: starts_with(t, 'thoun') or t = 'sandbox' or t = 'heitver')) > 0")
 def fts_match_or(spark, sf_dir):
     wanted = fulltext.pattern_terms(text.fts_terms('the "thoun"* sandbox, heitver', fulltext.STOP_WORDS))
     return _docs(spark, sf_dir).filter(F.exists(fulltext.tokens(F.col("text")), lambda t: fulltext.term_match(t, wanted))).select("doc_id")
@@ -26,7 +26,7 @@ def fts_match_or(spark, sf_dir):
 
 def _bm25_sql(tail: str) -> str:
     return f"""with {_WORDS}, st as (select count(*)::double as n, avg(len(w)) as mean from words),
-hits as (select doc_id, len(w) as doc_len, unnest(list_filter(w, t -> t in ('onat', 'heit', 'nder'))) as term from words),
+hits as (select doc_id, len(w) as doc_len, unnest(list_filter(w, lambda t: t in ('onat', 'heit', 'nder'))) as term from words),
 tf as (select doc_id, doc_len, term, count(*) as tf from hits group by all), df as (select term, count(*) as df from tf group by 1),
 scored as (select doc_id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean))) as s from tf join df using (term), st group by 1)
 {tail}"""
@@ -112,19 +112,19 @@ def entity_counts(spark, sf_dir):
     return kinds.join(found, "kind", "left").select("kind", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
-@query("""select conv_id, turn, round(least(1.0, 0.3 + case when length(text) > 500 then 0.2 when length(text) > 200 then 0.1 else 0 end + case when contains(text, '`') then 0.2 else 0 end + case when regexp_matches(lower(text), '\\b(decid|chose|should|must|because|was|of the)') then 0.2 else 0 end), 6) as relevance from conversations""")
+@query("""select conv_id, turn, round(least(1.0, 0.3 + case when length(text) > 500 then 0.2 when length(text) > 200 then 0.1 else 0 end + case when contains(text, '`') then 0.2 else 0 end + case when regexp_matches(lower(text), '\\b(decid|chose|should|must|because|was|of the)') then 0.2 else 0 end), 6)::double as relevance from conversations""")
 def message_relevance(spark, sf_dir):
     return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(classify.message_relevance(F.col("text")), 6).alias("relevance"))
 
 
 @query("""select doc_id, (case when regexp_matches(text, '!!') then 1 else 0 end + case when regexp_matches(text, '[#*$%&|<>]{2,}') then 2 else 0 end + case when regexp_matches(text, '\\b[A-Z]{6,}\\b') then 4 else 0 end)::int as flags,
- round(case when regexp_matches(text, '!!') then 0.2 else 0 end + case when regexp_matches(text, '[#*$%&|<>]{2,}') then 0.4 else 0 end + case when regexp_matches(text, '\\b[A-Z]{6,}\\b') then 0.1 else 0 end, 6) as risk from documents""")
+ round(case when regexp_matches(text, '!!') then 0.2 else 0 end + case when regexp_matches(text, '[#*$%&|<>]{2,}') then 0.4 else 0 end + case when regexp_matches(text, '\\b[A-Z]{6,}\\b') then 0.1 else 0 end, 6)::double as risk from documents""")
 def redflags(spark, sf_dir):
     return classify.redflags(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
 @query("""with w as (select doc_id, string_split(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), ' ') as w from documents),
-h as (select doc_id, tag, len(list_filter(w, t -> list_contains(keys, t))) as hits, len(keys) as n from w, (values ('english', ['the', 'of', 'and', 'is']), ('german', ['der', 'die', 'und', 'ein']), ('french', ['le', 'la', 'et', 'des']), ('spanish', ['el', 'los', 'que', 'en'])) k(tag, keys))
+h as (select doc_id, tag, len(list_filter(w, lambda t: list_contains(keys, t))) as hits, len(keys) as n from w, (values ('english', ['the', 'of', 'and', 'is']), ('german', ['der', 'die', 'und', 'ein']), ('french', ['le', 'la', 'et', 'des']), ('spanish', ['el', 'los', 'que', 'en'])) k(tag, keys))
 select doc_id, tag, round(least(1.0, hits / greatest(3.0, 0.3 * n)), 6) as confidence from h where hits / greatest(3.0, 0.3 * n) >= 0.6""")
 def auto_tags(spark, sf_dir):
     return classify.auto_tags(_docs(spark, sf_dir).select("doc_id", "text"))
@@ -143,7 +143,7 @@ def intent(spark, sf_dir):
     return rows.select("event_id", classify.intent(F.col("text")).alias("intent"))
 
 
-@query("""select doc_id, sentence, piece from (select doc_id, unnest(range(1, len(p) + 1))::int as sentence, unnest(p) as piece from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), s -> trim(s)), s -> length(s) >= 200) as p from documents))""")
+@query("""select doc_id, sentence, piece from (select doc_id, unnest(range(1, len(p) + 1))::int as sentence, unnest(p) as piece from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 200) as p from documents))""")
 def split_compound(spark, sf_dir):
     return classify.split_sentences(_docs(spark, sf_dir).select("doc_id", "text"), 200)
 

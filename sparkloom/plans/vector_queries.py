@@ -72,10 +72,10 @@ def cohesion(spark, sf_dir):
     )
 
 
-_CODES = "list_transform(v, x -> floor((least(1.0, greatest(-1.0, x)) + 1.0) / 2.0 * 255 + 0.5))"
+_CODES = "list_transform(v, lambda x: floor((least(1.0, greatest(-1.0, x)) + 1.0) / 2.0 * 255 + 0.5))"
 
 
-@query(sql(f"+e as (select vec_id, unnest(v) as x, unnest(list_transform({_CODES}, c -> -1.0 + c / 255 * 2.0)) as y from vectors) select vec_id, round(avg((x - y) * (x - y)), 9) as mse, round(max(abs(x - y)), 6) as worst, round(avg(abs(x - y)), 6) as mean from e group by 1", "vectors"))
+@query(sql(f"+e as (select vec_id, unnest(v) as x, unnest(list_transform({_CODES}, lambda c: -1.0 + c / 255 * 2.0)) as y from vectors) select vec_id, round(avg((x - y) * (x - y)), 9) as mse, round(max(abs(x - y)), 6) as worst, round(avg(abs(x - y)), 6) as mean from e group by 1", "vectors"))
 def quantize_error(spark, sf_dir):
     v = F.col("v")
     back = vector.dequantise(vector.quantise(v, -1.0, 1.0), -1.0, 1.0)

@@ -6,7 +6,7 @@ common table expressions. Times are whole hours since ``EPOCH``; reference time
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ("tool", "guideline", "knowledge", "experience")
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a wall-clock time, whatever the session's time zone."""
+    parts = f"unix_date(cast({ts} as date)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60"
+    return F.expr(f"({parts}) * 1000000L + cast(extract(second from {ts}) * 1000000 as bigint)")
+
+
 def _pick(values: tuple[str, ...], index: str) -> str:
     return f"element_at(array({', '.join(repr(v) for v in values)}), cast({index} as int) + 1)"
 
@@ -98,7 +104,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(retrievals, outcomes, links): views and clicks; purchases, signups and errors; same user within a day."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("us"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", micros("ts").alias("us"))
     retrievals = events.filter("event_type in ('view', 'click')").selectExpr(
         "event_id as retrieval_id", "user_id", "us as retrieved_us", "event_id % 97 as entry_id", f"{_pick(TYPES, 'event_id % 97 % 4')} as entry_type"
     )

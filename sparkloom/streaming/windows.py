@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.views import micros
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,7 +23,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def events_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream over the parquet file or folder at ``path``; as a pattern it may be either."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
 
 
 def window_counts(events: DataFrame, width: str = "6 hours", late: str = "2 days") -> DataFrame:
@@ -48,5 +51,5 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 def windowed_totals(spark: SparkSession, path: str) -> DataFrame:
     updates = drain(window_counts(events_stream(spark, path)), "windows")
     # the last update of a window holds its totals
-    last = updates.groupBy(F.unix_micros("window.start").alias("start_us"), "event_type").agg(F.max(F.struct("batch_no", "n", "total")).alias("u"))
+    last = updates.groupBy(micros("window.start").alias("start_us"), "event_type").agg(F.max(F.struct("batch_no", "n", "total")).alias("u"))
     return last.select("start_us", "event_type", "u.n", F.round("u.total", 4).alias("total"))
