@@ -135,3 +135,22 @@ def project(v: Column, rows: list[list[tuple[int, float]]]) -> Column:
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """(key, place, value): the mean of each coordinate."""
     return vectors.select(key, F.posexplode("v").alias("place", "x")).groupBy(key, "place").agg(F.avg("x").alias("value"))
+
+
+def hierarchy(vectors: DataFrame, levels: int = 2, threshold: float = 0.5) -> DataFrame:
+    """(level, node, parent): communities of similar vectors, then of their centroids, and so on.
+
+    A parent is named after its smallest community label; a node without similar ones is its own parent.
+    """
+    from .graph import communities
+
+    current, out = cut(vectors.select("vec_id", "v")), None
+    for level in range(levels):
+        pairs = similar_pairs(current, threshold)
+        labels = communities(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")))
+        members = cut(current.join(labels, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("community", "vec_id").alias("parent"), "v"))
+        step = members.select(F.lit(level).alias("level"), F.col("vec_id").alias("node"), "parent")
+        out = step if out is None else out.unionByName(step)
+        middle = centroids(members, "parent").groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("v"))
+        current = cut(middle.select(F.col("parent").alias("vec_id"), "v"))
+    return out

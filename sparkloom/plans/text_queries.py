@@ -60,25 +60,6 @@ def fts_index_terms(spark, sf_dir):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses")).filter("docs >= 20")
 
 
-@query("""with w as (select p_partkey, p_name, unnest(list_distinct(string_split(lower(p_name), ' '))) as token from part where p_partkey < 400),
-c as (select distinct x.p_partkey as a, y.p_partkey as b, x.p_name as na, y.p_name as nb from w x join w y on x.token = y.token and x.p_partkey < y.p_partkey and x.p_name <> y.p_name)
-select na, nb, round(1 - levenshtein(lower(na), lower(nb)) / greatest(length(na), length(nb)), 6) as similarity, count(*) as pairs from c where 1 - levenshtein(lower(na), lower(nb)) / greatest(length(na), length(nb)) >= 0.6 group by all""")
-def name_duplicates(spark, sf_dir):
-    """Names that share a word and are close: pairs of distinct names, with how many part pairs each stands for."""
-    parts = views.table(spark, sf_dir, "part").filter("p_partkey < 400").groupBy("p_name").agg(F.collect_list("p_partkey").alias("keys"))
-    words = parts.select("p_name", "keys", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("token"))
-    x = words.select(F.col("p_name").alias("x"), F.col("keys").alias("kx"), "token")
-    y = words.select(F.col("p_name").alias("y"), F.col("keys").alias("ky"), "token")
-    near = x.join(y, "token").filter("x < y").drop("token").dropDuplicates(["x", "y"])
-    near = near.withColumn("similarity", F.round(text.edit_similarity(F.col("x"), F.col("y")), 6)).filter("similarity >= 0.6")
-    below = F.aggregate("kx", F.lit(0), lambda acc, k: acc + F.size(F.filter("ky", lambda j: k < j)))
-    counted = near.withColumn("xy", below).withColumn("yx", F.size("kx") * F.size("ky") - below)
-    both = counted.select(F.col("x").alias("na"), F.col("y").alias("nb"), "similarity", F.col("xy").alias("pairs")).unionByName(
-        counted.select(F.col("y").alias("na"), F.col("x").alias("nb"), "similarity", F.col("yx").alias("pairs"))
-    )
-    return both.filter("pairs > 0").withColumn("pairs", F.col("pairs").cast("long"))
-
-
 @query("""select a.p_partkey as a, b.p_partkey as b, levenshtein(a.p_name, b.p_name) as distance, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))), 6) as jaccard
  from part a join part b on b.p_partkey = a.p_partkey + 1""")
 def text_similarity(spark, sf_dir):

@@ -14,11 +14,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register
@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every query module."""
-    from .plans import analytics_queries, graph_queries, learning_queries, retrieval_queries, sequence_queries, text_queries, vector_queries  # noqa: F401
+    from .plans import analytics_queries, exchange_queries, graph_queries, learning_queries, maintenance_queries, policy_queries, retrieval_queries, sequence_queries, text_queries, vector_queries  # noqa: F401
 
 
 load()
