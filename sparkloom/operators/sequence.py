@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_pattern(steps: DataFrame, first: Column, then: Column, last: Column) -> DataFrame:
@@ -52,3 +55,56 @@ def turn_windows(turns: DataFrame, size: int = 10, overlap: int = 3, least_new:
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(step).cast("long"))).alias("start")
     stop = F.least(F.col("start") + size - 1, F.col("last"))
     return last.select("conv_id", "last", starts).withColumn("stop", stop).filter(F.col("stop") - F.col("start") + 1 - F.when(F.col("start") > 0, overlap).otherwise(0) >= least_new).select("conv_id", "start", "stop")
+
+
+def first_pair(steps: DataFrame, first: Column, then: Column) -> DataFrame:
+    """(user_id, i, j): in each session the first step that matches ``first`` and the next that matches ``then``."""
+    a = steps.filter(first).groupBy("user_id").agg(F.min("n").alias("i"))
+    return steps.filter(then).join(a, "user_id").filter("n > i").groupBy("user_id", "i").agg(F.min("n").alias("j"))
+
+
+def repeated_command(rows: DataFrame) -> DataFrame:
+    """(user_id, i, j): the first command (user_id, k, base, command) that comes again with other arguments, one command between at least.
+
+    Whether a later one exists is told from the last place of each command: no two commands of a session are paired.
+    """
+    last = rows.groupBy("user_id", "base", "command").agg(F.max("k").alias("m"))
+    top = last.groupBy("user_id", "base").agg(F.max(F.struct("m", "command")).alias("t"))
+    second = last.join(top, ["user_id", "base"]).filter("command <> t.command").groupBy("user_id", "base").agg(F.max("m").alias("m2"))
+    reach = top.join(second, ["user_id", "base"], "left")
+    far = F.when(F.col("command") == F.col("t.command"), F.col("m2")).otherwise(F.col("t.m"))
+    first = rows.join(reach, ["user_id", "base"]).filter(far >= F.col("k") + 2).groupBy("user_id").agg(F.min(F.struct("k", "base", "command")).alias("f"))
+    first = first.select("user_id", F.col("f.k").alias("i"), F.col("f.base").alias("base"), F.col("f.command").alias("own"))
+    return rows.join(first, ["user_id", "base"]).filter("command <> own and k >= i + 2").groupBy("user_id", "i").agg(F.min("k").alias("j"))
+
+
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for x in a:
+        match = np.array([x == y for y in b], dtype=np.int64)
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + match))
+    return int(row[-1])
+
+
+@F.pandas_udf(T.LongType())
+def common_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def trajectory_similarity(events: DataFrame) -> DataFrame:
+    """(user_id, day, similarity, confidence) of each user's day with the day after.
+
+    0.35 common subsequence, 0.25 step sets, 0.15 tool sets (here the steps again), 0.15 outcomes by edit distance, 0.1 length;
+    a day is short (one session's steps), so it fits into a row.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"])
+    days = events.groupBy("user_id", "day").agg(ordered.alias("a"))
+    after = days.select("user_id", F.date_sub("day", 1).alias("day"), F.col("a").alias("b"))
+    both = days.join(after, ["user_id", "day"]).withColumn("common", common_length_udf("a", "b"))
+    na, nb = F.size("a"), F.size("b")
+    sets = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    outcome = lambda c: F.array_join(F.transform(c, lambda t: F.when(t == "error", "0").otherwise("1")), "")
+    edits = 1 - F.levenshtein(outcome("a"), outcome("b")) / F.greatest(na, nb)
+    value = 0.35 * (2 * F.col("common") / (na + nb)) + 0.4 * sets + 0.15 * edits + 0.1 * (F.least(na, nb) / F.greatest(na, nb))
+    return both.select("user_id", "day", F.round(value, 6).alias("similarity"), F.least(F.lit(1.0), (na + nb) / 10.0).alias("confidence"))

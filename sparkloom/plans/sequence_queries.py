@@ -99,3 +99,55 @@ def stream_windows(spark, sf_dir):
     from ..streaming.windows import windowed_totals
 
     return windowed_totals(spark, f"{sf_dir}/events.parquet")
+
+
+@query("select user_id, event_type, count(*) as n, max(epoch_us(ts)) as last_us from events group by all")
+def stream_counters(spark, sf_dir):
+    """Counts per user and type, kept as the state of a stream."""
+    from ..streaming.windows import running_counters
+
+    return running_counters(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""with l as (select user_id, epoch_us(ts) as us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) >= 1800000000)::int, 1) as s, event_id from events),
+g as (select *, sum(s) over (partition by user_id order by us, event_id rows unbounded preceding) as k from l) select user_id, min(us) as first_us, max(us) as last_us, count(*) as n from g group by user_id, k""")
+def session_spans(spark, sf_dir):
+    """Sessions of thirty quiet minutes, by session windows."""
+    from ..streaming.windows import session_spans as spans
+
+    events = views.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return spans(events)
+
+
+@query()
+def episode_boundaries(spark, sf_dir):
+    """Boundaries between episodes, by a stateful stream; tests compare with the rule in plain Python."""
+    from ..streaming.boundaries import episode_boundaries as found
+
+    return found(spark, f"{sf_dir}/events.parquet")
+
+
+_FIRST_TWO = "select user_id, i, min(n) as j from steps join (select user_id, min(n) as i from steps where event_type = 'view' group by 1) using (user_id) where event_type = 'click' and n > i group by all"
+
+
+@query(f"with {_STEPS} {_FIRST_TWO}")
+def seq_config_discovery(spark, sf_dir):
+    """The first look that an edit follows, and that edit."""
+    return sequence.first_pair(_steps(spark, sf_dir), _is("view"), _is("click"))
+
+
+@query("""with c as (select user_id, row_number() over (partition by user_id order by ts, event_id) as k, json_extract_string(props, '$.k')::int as cmd from events where event_type = 'purchase'),
+p as (select x.user_id, x.k as i, y.k as j from c x join c y on x.user_id = y.user_id and x.cmd % 7 = y.cmd % 7 and x.cmd <> y.cmd and y.k >= x.k + 2)
+select user_id, i, min(j) as j from p where (user_id, i) in (select user_id, min(i) from p group by user_id) group by user_id, i""")
+def seq_dependency_chain(spark, sf_dir):
+    """A command, and the same command with other arguments after at least one other command."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    cmd = F.get_json_object("props", "$.k").cast("int")
+    rows = views.table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("user_id", F.row_number().over(order).cast("long").alias("k"), cmd.alias("command"), (cmd % 7).alias("base"))
+    return sequence.repeated_command(rows)
+
+
+@query()
+def trajectory_similarity(spark, sf_dir):
+    """Each user's day against their next one: step order, step sets, length; tests compare with brute force."""
+    return sequence.trajectory_similarity(views.table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type"))

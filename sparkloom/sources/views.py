@@ -155,3 +155,34 @@ links as (select * from retrievals join outcomes using (user_id) where retrieved
 def sql(body: str, *views: str) -> str:
     """A query over the named views."""
     return "with recursive " + ",\n".join(SQL[v] for v in views) + (",\n" if body.lstrip().startswith("+") else "\n") + body.lstrip().lstrip("+")
+
+
+#: What people say in the message view, so that patterns have something to match.
+SENTENCES = (
+    "We decided to use the cache instead of the queue because tests show it is faster than before.",
+    "Always use `make lint` before you commit.",
+    "npm run build failed with an error again, the issue is still broken.",
+    "It works now, thanks! Looks good.",
+    "No idea what is wrong, giving up on this, will revisit.",
+    "The report is mostly done, except for one more issue.",
+    "Rule: never use tabs, we always use spaces over tabs.",
+    "How to set up the environment variables?",
+    "What is the difference between red and blue or green? And also when is it better?",
+    "docker compose up",
+    "Fact: the service is located in the north, as we found that it helps.",
+    "We realized the bug and learned to fix it; avoid loops and prefer maps because they are more reliable.",
+)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, user_id, us, text): an event as a message of its user."""
+    events = table(spark, sf_dir, "events")
+    spoken = F.element_at(F.array(*[F.lit(s) for s in SENTENCES]), (F.col("event_id") % len(SENTENCES) + 1).cast("int"))
+    return events.select("event_id", "user_id", micros("ts").alias("us"), F.concat(spoken, F.lit(" "), F.col("event_type")).alias("text"))
+
+
+SQL["messages"] = (
+    "messages as (select event_id, user_id, epoch_us(ts) as us, ["
+    + ", ".join("'" + s.replace("'", "''") + "'" for s in SENTENCES)
+    + f"][(event_id % {len(SENTENCES)} + 1)::int] || ' ' || event_type as text from events)"
+)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.views import micros
 
@@ -32,8 +33,8 @@ def window_counts(events: DataFrame, width: str = "6 hours", late: str = "2 days
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run an update-mode stream over all that is there; each batch overwrites its own folder, so a repeated batch adds nothing.
+def drain(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there; each batch overwrites its own folder, so a repeated batch adds nothing.
 
     Returns every update, with its batch number.
     """
@@ -43,8 +44,8 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{home}/out/b{number}")
 
-    stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    schema = stream.schema.add("batch_no", "long")
+    stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_no", T.LongType())])
     return spark.read.schema(schema).parquet(f"{home}/out/*")
 
 
@@ -53,3 +54,20 @@ def windowed_totals(spark: SparkSession, path: str) -> DataFrame:
     # the last update of a window holds its totals
     last = updates.groupBy(micros("window.start").alias("start_us"), "event_type").agg(F.max(F.struct("batch_no", "n", "total")).alias("u"))
     return last.select("start_us", "event_type", "u.n", F.round("u.total", 4).alias("total"))
+
+
+def session_spans(events: DataFrame, quiet: str = "30 minutes") -> DataFrame:
+    """(user_id, first_us, last_us, n): sessions that end after a quiet time, by session windows; works on streams too."""
+    by = events.groupBy("user_id", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+    return by.select("user_id", micros("w.start").alias("first_us"), micros("last").alias("last_us"), "n")
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """(user_id, event_type, n, last_us) so far; on a stream the counts are its state."""
+    return events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max(micros("ts")).alias("last_us"))
+
+
+def running_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters after the last batch of a drained stream."""
+    updates = drain(counters(events_stream(spark, path)), "counters")
+    return updates.groupBy("user_id", "event_type").agg(F.max("n").alias("n"), F.max("last_us").alias("last_us"))
