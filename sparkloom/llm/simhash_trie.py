@@ -4,9 +4,10 @@
    fingerprints are one class from here on.
 2. The trie's upper levels are walked in Spark: a table of node pairs, with the differing bits
    of their prefixes, is expanded level by level. A pair is dropped when its bits exceed the
-   budget, and expanded further while its two nodes together hold more than ``cap`` fingerprints.
-3. Fingerprints join the node pairs that they belong to; each task walks its pairs down the rest
-   of the trie and emits a spanning forest of the links (fewer edges than fingerprints).
+   budget, and expanded further while one of its nodes holds more than ``cap`` fingerprints.
+3. Fingerprints join the node pairs that they belong to: a node's task has its own fingerprints once
+   and those of each partner above it. It walks them down the rest of the trie and emits a spanning
+   forest of the links (fewer edges than fingerprints).
 4. Connected components of the forest give each class its component.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows
@@ -27,7 +28,8 @@ from .common import materialize
 from .components import components
 
 BITS = 64
-STEP = 4
+STEP = 2
+CAP = 8192
 SHINGLE = 3
 SEED = 42
 
@@ -147,14 +149,16 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def _walk(budget: int):
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        one = bool(group["one"].iloc[0])
         values = group["fp"].to_numpy().view(np.uint64)
         right_side = group["right_side"].to_numpy()
-        left = np.sort(values[~right_side])
-        right = None if one else np.sort(values[right_side])
+        left, right = np.sort(values[~right_side]), np.sort(values[right_side])
         a, b = trie_links(left, right, budget)
-        every = left if one else np.concatenate([left, right])
-        edges = forest(a, b if one else b + len(left), len(every))
+        b = b + len(left)
+        if group["one"].any():  # the node with itself
+            inner_a, inner_b = trie_links(left, None, budget)
+            a, b = np.concatenate([a, inner_a]), np.concatenate([b, inner_b])
+        every = np.concatenate([left, right])
+        edges = forest(a, b, len(every))
         x = np.array([i for i, _ in edges], dtype=np.int64)
         y = np.array([j for _, j in edges], dtype=np.int64)
         return pd.DataFrame({"a": every[x].view(np.int64), "b": every[y].view(np.int64)})
@@ -171,8 +175,7 @@ def node_pairs(fps: DataFrame, budget: int, cap: int) -> list[tuple[int, DataFra
     work, depth = [], 0
     pairs = fps.agg(F.count(F.lit(1)).alias("na")).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("bits"), "na", F.col("na").alias("nb"))
     while True:
-        rows = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb"))
-        heavy = (rows > cap) & F.lit(depth < BITS - STEP)
+        heavy = (F.greatest("na", "nb") > cap) & F.lit(depth < BITS - STEP)
         pairs = materialize(pairs, "trie")
         work.append((depth, pairs.filter(~heavy).select("a", "b")))
         deeper = pairs.filter(heavy)
@@ -192,19 +195,18 @@ def node_pairs(fps: DataFrame, budget: int, cap: int) -> list[tuple[int, DataFra
         )
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 2, cap: int = 20_000) -> DataFrame:
+def fingerprint_links(fps: DataFrame, budget: int = 2, cap: int = CAP) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints in ``fps`` (fp) whose components are those of all links."""
     dealt = None
     for depth, pairs in node_pairs(fps, budget, cap):
-        pairs = pairs.select("a", "b", F.lit(depth).alias("depth"), (F.col("a") == F.col("b")).alias("one"))
-        left = pairs.select("*", F.lit(False).alias("right_side"), F.col("a").alias("node"))
-        right = pairs.filter("not one").select("*", F.lit(True).alias("right_side"), F.col("b").alias("node"))
-        own = fps.withColumn("node", _node("fp", depth)).join(left.unionByName(right), "node").drop("node")
+        left = pairs.groupBy("a").agg(F.max(F.col("a") == F.col("b")).alias("one")).select("a", "one", F.lit(False).alias("right_side"), F.col("a").alias("node"))
+        right = pairs.filter("a <> b").select("a", F.lit(False).alias("one"), F.lit(True).alias("right_side"), F.col("b").alias("node"))
+        own = fps.withColumn("node", _node("fp", depth)).join(left.unionByName(right), "node").select(F.lit(depth).alias("depth"), "a", "one", "right_side", "fp")
         dealt = own if dealt is None else dealt.unionByName(own)
-    return dealt.groupBy("depth", "a", "b").applyInPandas(_walk(budget), "a long, b long")
+    return dealt.groupBy("depth", "a").applyInPandas(_walk(budget), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, budget: int = 2, cap: int = 20_000) -> DataFrame:
+def simhash_components(docs: DataFrame, budget: int = 2, cap: int = CAP) -> DataFrame:
     """doc_id, fp (long), component_id for each row of ``docs`` (doc_id, text)."""
     prints = materialize(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
