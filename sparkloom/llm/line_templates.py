@@ -38,25 +38,31 @@ FIELDS = 5
 MIN_TOKENS = 4
 MIN_GENERAL = 8
 VARIABLE = b"<*>"
-_VARIABLE = re.compile(rb"\S*(?:\d|@|://|www\.)\S*")
+_VARIABLE = re.compile(rb"[0-9@]|://|www\.")
 ROWS = "doc_id long, salt long, high long, low int"
 
 
 def templates(line: str) -> list[bytes]:
     """Digests of the templates that one line belongs to; none for a short line."""
-    tokens = _VARIABLE.sub(VARIABLE, line.encode("utf-8", "surrogatepass").lower()).split()
+    raw = line.encode("utf-8", "surrogatepass").lower()
+    tokens = raw.split()
+    if _VARIABLE.search(raw):
+        tokens = [VARIABLE if _VARIABLE.search(t) else t for t in tokens]
     n = len(tokens)
     if n < MIN_TOKENS:
         return []
     path = b"%d\0%s\0" % (n, b" ".join(tokens[:LEADING]))
     rest = tokens[LEADING:]
-    found = [xxhash.xxh3_128_digest(path + b" ".join(rest))]
-    if n >= MIN_GENERAL:
-        for k in range(FIELDS):
-            at, to = k * len(rest) // FIELDS, (k + 1) * len(rest) // FIELDS
-            if at < to:
-                found.append(xxhash.xxh3_128_digest(b"%s%d\0%s %s %s" % (path, k, b" ".join(rest[:at]), VARIABLE, b" ".join(rest[to:]))))
-    return [x[:12] for x in found]
+    if n < MIN_GENERAL:
+        return [xxhash.xxh3_128_digest(path + b" ".join(rest))[:12]]
+    cuts = [k * len(rest) // FIELDS for k in range(FIELDS + 1)]
+    fields = [b" ".join(rest[at:to]) for at, to in zip(cuts, cuts[1:])]
+    found = [xxhash.xxh3_128_digest(path + b" ".join(fields))[:12]]
+    for k, field in enumerate(fields):
+        fields[k] = VARIABLE
+        found.append(xxhash.xxh3_128_digest(b"%s%d\0%s" % (path, k, b" ".join(fields)))[:12])
+        fields[k] = field
+    return found
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
