@@ -15,12 +15,13 @@ are packed like others; an empty table gives no pieces; other columns of the inp
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,58 +36,94 @@ SEQUENCE = 2048
 TOKENS_PER_RANGE = 16_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Word caches of a Python worker, by tokenizer file. Cleared when full; what is not in them is computed.
-CACHE_WORDS = 400_000
+#: Text that is tokenised at a time, in bytes; a longer document is a slice of its own.
+SLICE_BYTES = 8_000_000
+#: Word parts that go to the tokenizer in one text, and that a Python worker remembers; when full, it starts anew.
+PARTS_PER_TEXT = 500
+CACHE_PARTS = 500_000
 _tokenizers: dict = {}
-# Latin letters whose lower case is one letter and doesn't depend on its neighbours; then ASCII punctuation without the apostrophe.
-_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# ASCII punctuation but the apostrophe, around Latin letters whose lower case is one letter and doesn't depend on its neighbours.
+_PLAIN = r"^(?P<before>[!-&(-/:-@\[-`{-~]*)(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[!-&(-/:-@\[-`{-~]*)$"
+
+
+def _runs(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + length], one after the other."""
+    ends = np.cumsum(lengths)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
 class Words:
-    """Token ids of white-space separated words, as little-endian uint32 bytes.
+    """Token ids of texts by way of their distinct words.
 
     The tokenizer splits at white space and never joins over it, so a text's ids are its words' ids
-    in order. Only words not met before reach the tokenizer, letters apart from the punctuation around them.
+    in order, and each distinct word is encoded once in a slice. Most words are Latin letters with
+    punctuation around them; the tokenizer takes these apart, so the distinct letter runs and punctuation runs are
+    encoded, many in one text: each run's last id is one that ends a word. Runs are remembered from slice to slice.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> None:
-        for part, enc in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(enc.ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > 2 * CACHE_WORDS:
-            self.parts.clear()
-        split = {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(text)
-            split[w] = [x for x in (m[1], m[2].lower(), m[3]) if x] if m and "<|" not in text else [text]
-        self._encode(sorted({p for parts in split.values() for p in parts if p not in self.parts}))
-        for w, parts in split.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, parts))
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 256):
-            split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[at : at + 256]]
-            known = self.words
-            self.learn({w for words in split for w in words if w not in known})
-            for words in split:
-                try:
-                    out.append(b"".join(map(known.__getitem__, words)))
-                except KeyError:  # the cache was cleared meanwhile
-                    self.learn({w for w in words if w not in known})
-                    out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = {"": b""}
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *found]), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > CACHE_PARTS:
+            self.known = {"": b""}
+        new = [x for x in parts if x not in self.known]
+        pool, _ = self._encode([" ".join(new[k : k + PARTS_PER_TEXT]) for k in range(0, len(new), PARTS_PER_TEXT)])
+        raw, stops = pool.tobytes(), ((np.flatnonzero(self.ends[pool]) + 1) * 4).tolist()
+        self.known.update(zip(new, (raw[at:to] for at, to in zip([0, *stops], stops, strict=False)), strict=True))
+        found = list(map(self.known.__getitem__, parts))
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, length of each)."""
+        plain = pc.extract_regex(words, _PLAIN)
+        is_plain = pc.and_(plain.is_valid(), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        columns = [pc.fill_null(pc.struct_field(plain, k), "") for k in range(3)]
+        columns[1] = pc.utf8_lower(columns[1])
+        coded = pa.concat_arrays(columns).dictionary_encode()
+        pool, lengths = self._encode_parts(coded.dictionary.to_pylist())
+        starts = np.cumsum(lengths) - lengths
+        codes = coded.indices.to_numpy().reshape(3, -1).T
+        # words of other kinds go to the tokenizer whole
+        odd = np.flatnonzero(~is_plain)
+        whole, sizes = self._encode(words.take(pa.array(odd)).to_pylist())
+        runs, spans = starts[codes], lengths[codes]
+        spans[odd] = 0
+        runs[odd, 0], spans[odd, 0] = len(pool) + np.cumsum(sizes) - sizes, sizes
+        return _runs(np.concatenate([pool, whole]), runs.ravel(), spans.ravel()), spans.sum(axis=1)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, length of each); a null text has none."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten()
+        real = pc.not_equal(pc.binary_length(words), 0)
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))[real.to_numpy(zero_copy_only=False)]
+        coded = words.filter(real).dictionary_encode()
+        pool, lengths = self._word_ids(coded.dictionary)
+        at = coded.indices.to_numpy()
+        starts, spans = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        return _runs(pool, starts, spans), np.bincount(owner, weights=spans, minlength=len(texts)).astype(np.int64)
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of pieces of about ``most`` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, stop - start
+        start = stop
 
 
 def words_of(path: str) -> Words:
@@ -135,21 +172,23 @@ def curve_key(vector: np.ndarray) -> np.ndarray:
 
 def _tokenise(path: str, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, signs = words_of(path), projection(seed).astype(np.float64)
-        hashed = (np.arange(BUCKETS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)  # id to bucket
-        small = words.tokenizer.get_vocab_size() <= 1 << 16
+        words = words_of(path)
+        bucket = (np.arange(len(words.ends), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        signs = np.ascontiguousarray(projection(seed)[bucket].T)  # of each id, by dimension
+        kind = "<u2" if len(words.ends) <= 1 << 16 else "<u4"
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids, vectors = [], np.zeros((part.num_rows, DIMS))
-                for k, raw in enumerate(words.ids(part.column(2).to_pylist())):
-                    own = np.frombuffer(raw, dtype="<u4")
-                    if len(own):
-                        vectors[k] = signs[hashed[own % BUCKETS]].sum(axis=0)
-                    own = np.append(own, np.uint32(END))
-                    ids.append((own.astype("<u2") if small else own).tobytes())
-                tokens = np.fromiter((len(x) // (2 if small else 4) for x in ids), dtype=np.int64, count=len(ids))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(curve_key(vectors)), pa.array(tokens), pa.array(ids, pa.binary())], ["doc_id", "tie", "key", "tokens", "ids"])
+            for start, length in slices(batch.column(2)):
+                part = batch.slice(start, length)
+                ids, lengths = words.ids(part.column(2))
+                ends = np.cumsum(lengths)
+                vectors = np.empty((length, DIMS))
+                for d in range(DIMS):
+                    sums = np.cumsum(np.append(np.int8(0), signs[d][ids]), dtype=np.int64)
+                    vectors[:, d] = sums[ends] - sums[ends - lengths]
+                raw = np.insert(ids, ends, END).astype(kind)  # each document's ids and the end token
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * raw.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(curve_key(vectors)), pa.array(lengths + 1), packed], ["doc_id", "tie", "key", "tokens", "ids"])
 
     return run
 

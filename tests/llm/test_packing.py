@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,18 +17,25 @@ def tokenizer():
 TEXTS = ["Hello, World! it's 42 o'clock", "naïve Straße ÀÉ ǅ İstanbul ΣΑΣ", "é café", "a b c", "<|endoftext|> x <|startoftext|>", "foo<|endoftext|>bar's", "!!\"#%(x)[y]_z_", "", " \n\t ", "漢字 かな 🙂🙂", "don't we'll I'M", "x" * 3000, "it''s 's", "ªº²Ⅷ 9a9"]
 
 
+def by_text(words, texts):
+    ids, lengths = words.ids(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
 def test_word_ids_are_the_tokenizer_s(tokenizer, prose):
-    words = hilbert_packing.words_of(tokenizer_path())
     texts = [*TEXTS, *prose]
-    for text, raw in zip(texts, words.ids(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    for text, ids in zip(texts, by_text(hilbert_packing.words_of(tokenizer_path()), texts), strict=True):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-def test_cache_may_be_cleared(tokenizer, prose, monkeypatch):
-    monkeypatch.setattr(hilbert_packing, "CACHE_WORDS", 3)
+def test_slices_cover_all_texts(tokenizer, prose):
+    texts = pa.array([*prose, None, "", "z" * 5000, None], pa.string())
+    found = list(hilbert_packing.slices(texts, 3000))
+    assert [a for a, _ in found] == [0, *np.cumsum([n for _, n in found])[:-1].tolist()] and sum(n for _, n in found) == len(texts)
+    assert len(found) > 5 and list(hilbert_packing.slices(pa.array([], pa.string()))) == []
     words = hilbert_packing.Words(tokenizer_path())
-    for text, raw in zip(prose[:40], words.ids(prose[:40]), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    parts = [ids for a, n in found for ids in by_text(words, texts.slice(a, n).to_pylist())]
+    assert parts == by_text(words, texts.to_pylist())
 
 
 def check(pieces, docs, tokenizer, sequence):
