@@ -121,5 +121,5 @@ def communities(spark, sf_dir):
     """Label propagation over similar vectors; checked by tests (labels are stable, modularity is positive on planted groups)."""
     from ..operators import vector
 
-    pairs = vector.similar_pairs(views.vectors(spark, sf_dir), 0.6)
+    pairs = vector.similar_pairs(views.vectors(spark, sf_dir), 0.3)
     return graph.communities(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")))

@@ -43,15 +43,15 @@ def distance_forms(spark, sf_dir):
 _PAIRS = "pairs as (select x.vec_id as a, y.vec_id as b, round(list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))), 6) as similarity from vectors x join vectors y on x.vec_id < y.vec_id)"
 
 
-@query(sql(f"+{_PAIRS} select * from pairs where similarity >= 0.5", "vectors"))
+@query(sql(f"+{_PAIRS} select * from pairs where similarity >= 0.3", "vectors"))
 def similar_pairs(spark, sf_dir):
-    return vector.similar_pairs(views.vectors(spark, sf_dir), 0.5)
+    return vector.similar_pairs(views.vectors(spark, sf_dir), 0.3)
 
 
 @query()
 def lsh_pairs(spark, sf_dir):
     """Candidates by hyperplane buckets; tests measure recall against the exact join."""
-    return vector.lsh_pairs(views.vectors(spark, sf_dir), 0.6, 64)
+    return vector.lsh_pairs(views.vectors(spark, sf_dir), 0.4, 64)
 
 
 @query(sql("select label, place - 1 as place, round(avg(x), 6) as value from (select label, unnest(v) as x, generate_subscripts(v, 1) as place from vectors) group by all", "vectors"))
@@ -137,7 +137,7 @@ def hybrid_search(spark, sf_dir):
 @query()
 def inferred_edges(spark, sf_dir):
     """Similar pairs from the best down, at most five per entry; tests compare with the sequential rule."""
-    return graph.greedy_degree_cap(vector.similar_pairs(views.vectors(spark, sf_dir), 0.5).withColumnRenamed("similarity", "score"))
+    return graph.greedy_degree_cap(vector.similar_pairs(views.vectors(spark, sf_dir), 0.3).withColumnRenamed("similarity", "score"))
 
 
 @query(sql(f"""+one as (select v as q from vectors where vec_id = 0), cents as (select label, list(value order by place) as v from (select label, place, avg(x) as value from (select label, unnest(v) as x, generate_subscripts(v, 1) as place from vectors) group by all) group by label),
