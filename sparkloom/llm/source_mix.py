@@ -3,9 +3,9 @@
 A source's documents are taken ``target / source_size`` times on average: the whole part of that
 factor for all of them, the fractional part by a sample. The sample starts from equal fractional
 inclusion probabilities and moves them through the null space of two constraints (words and
-documents), three units at a time, until each is 0 or 1: the totals stay what they were. This runs
+documents), the largest unit first, until each is 0 or 1: the totals stay what they were. This runs
 in blocks of a source; the units that a block can't settle (two at most) meet in larger blocks, level by level,
-until one block per source lands its last units by the rounding nearest to the word total.
+until one block per source lands its last and smallest units by the rounding nearest to the word total.
 
 Blocks and random numbers come from hashes of the rows, so reruns agree.
 
@@ -16,8 +16,6 @@ an empty table gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +26,8 @@ from .common import attach, materialize, n_words
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
-BLOCK = 4096
+BLOCK = 1024
+LANDING = 12
 EPS = 1e-9
 UNIT = "source string, block long, doc_id long, row_hash long, size long, pi double"
 
@@ -60,51 +59,51 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     return table.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move the probabilities to 0 or 1 with sum(pi) and sum(pi * size) unchanged; at most two stay between.
+def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Move the probabilities to 0 or 1 with sum(pi) and sum(pi * size) unchanged, until at most ``leave`` (two or more) stay between.
 
-    Three open units at a time have a null vector (the cross product of their sizes and ones); a step
-    along it, in a direction drawn so that the mean stays, settles one unit at least.
+    Each step goes along the null space of the two constraints: the unit vector of the largest open unit, less its
+    projection on (1, size) over the open units. So what a large unit gains or gives up is spread over all others. A step goes as far as
+    some probability is 0 or 1, in a direction drawn so that the mean stays. Large units settle first; the last ones are small.
     """
     pi = pi.astype(float).copy()
-    open_: list[int] = []
-    draws = iter(rng.random(2 * len(pi) + 16))
-    for k in range(len(pi)):
-        if EPS < pi[k] < 1 - EPS:
-            open_.append(k)
-        while len(open_) >= 3:
-            i, j, m = open_
-            a, b, c = float(size[i]), float(size[j]), float(size[m])
-            u = (b - c, c - a, a - b)
-            if u == (0.0, 0.0, 0.0):
-                u = (1.0, -1.0, 0.0)
-            up = down = np.inf
-            for x, unit in zip(u, (i, j, m), strict=True):
-                p = pi[unit]
-                if x > 0:
-                    up, down = min(up, (1 - p) / x), min(down, p / x)
-                elif x < 0:
-                    up, down = min(up, p / -x), min(down, (1 - p) / -x)
-            draw = next(draws, None)
-            draw = rng.random() if draw is None else draw
-            step = up if draw * (up + down) < down else -down
-            for x, unit in zip(u, (i, j, m), strict=True):
-                pi[unit] += step * x
-            open_ = [unit for unit in (i, j, m) if EPS < pi[unit] < 1 - EPS]
+    order = np.argsort(-size, kind="stable")
+    index = order[(pi[order] > EPS) & (pi[order] < 1 - EPS)]
+    scale = float(size.max(initial=1)) or 1.0
+    while len(index) > leave:
+        p, s = pi[index], size[index] / scale
+        n, first, second = float(len(s)), s.sum(), s @ s
+        spread = n * second - first * first
+        lead = 0
+        if spread > EPS * n * second:
+            # a unit that the constraints alone decide (such as the only one of its size) can't lead
+            free = np.flatnonzero((second - 2 * first * s + n * s * s) / spread < 1 - 1e-6)
+            if not len(free):
+                break
+            lead = free[0]
+            beta = (n * s[lead] - first) / spread
+            u = -((1 - beta * first) / n + beta * s)
+        else:  # equal sizes
+            u = np.full(len(s), -1 / n)
+        u[lead] += 1
+        rises, falls = u > EPS, u < -EPS
+        up = min(((1 - p[rises]) / u[rises]).min(), (p[falls] / -u[falls]).min())
+        down = min((p[rises] / u[rises]).min(), ((1 - p[falls]) / -u[falls]).min())
+        p = np.clip(p + u * (up if rng.random() * (up + down) < down else -down), 0.0, 1.0)
+        pi[index] = p
+        index = index[(p > EPS) & (p < 1 - EPS)]
     settled = (pi <= EPS) | (pi >= 1 - EPS)
     pi[settled] = np.round(pi[settled])
     return pi
 
 
 def landing(size: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """Round the last open units (two at most) so that the word total is missed least, then the document total."""
+    """Round the last open units (``LANDING`` at most: all ways are tried) so that the word total is missed least, then the document total."""
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
-    best = min(
-        itertools.product((0.0, 1.0), repeat=len(open_)),
-        key=lambda c: (abs(float(((np.array(c) - pi[open_]) * size[open_]).sum())), abs(float((np.array(c) - pi[open_]).sum())), c),
-    )
+    ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
+    words, documents = np.abs((ways - pi[open_]) @ size[open_]), np.abs((ways - pi[open_]).sum(axis=1))
     pi = pi.copy()
-    pi[open_] = best
+    pi[open_] = ways[np.lexsort((documents, np.round(words, 6)))[0]]
     return pi
 
 
@@ -113,7 +112,7 @@ def _settle(seed: int, land: bool):
         block = block.take(pc.sort_indices(block, sort_keys=[(c, "ascending") for c in ("row_hash", "size", "pi")]))
         row_hash, size = block["row_hash"].to_numpy(), block["size"].to_numpy()
         mix = [seed, *(int(x) & 0xFFFFFFFF for x in (block["block"][0].as_py(), row_hash[0], row_hash[-1]))]
-        pi = flight(size, block["pi"].to_numpy(), np.random.default_rng(mix))
+        pi = flight(size, block["pi"].to_numpy(), np.random.default_rng(mix), LANDING if land else 2)
         if land:
             pi = landing(size, pi)
         return block.set_column(block.schema.get_field_index("pi"), "pi", pa.array(pi))
