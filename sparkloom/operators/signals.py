@@ -123,6 +123,77 @@ DECISION_WORDS = (
     "decided", "chose", "choosing", "selected", "picking", "going with", "settled on", "determined", "concluded", "because", "reason", "therefore", "thus", "approach", "strategy", "solution",
     "fix", "fixed", "resolved", "implemented", "added", "removed", "updated", "changed", "refactored",
 )
+# Fixed values: (trigger, confidence, type to store as, boost of priority, patterns) that make a message worth keeping; ``.`` spans lines.
+TRIGGERS = (
+    ("correction", 0.9, "knowledge", 30, (
+        r"\b(no,?\s*(actually|wait|that's wrong|that's not right|incorrect))", r"\b(actually,?\s*(it's|it should|you should|we should|the correct))", r"\b(that's\s*(wrong|incorrect|not right|not correct|a mistake))",
+        r"\b(you're\s*(wrong|mistaken|incorrect|confused))", r"\b(let me correct|i need to correct|correction:)", r"\b(that's not how|that's not what|that's not the way)",
+        r"\b(the (right|correct|proper) (way|approach|method) is)", r"\b(you (misunderstood|got it wrong|missed))",
+    )),
+    ("recovery", 0.85, "experience", 35, (
+        r"\b(fixed\s*(it|the|by|with|using))", r"\b(solved\s*(it|the|by|with|using))", r"\b(the\s*(fix|solution|answer|resolution)\s*(is|was))", r"\b(that\s*(fixed|solved|resolved|worked))",
+        r"\b(finally\s*(got it|working|fixed|solved))", r"\b(after\s*(debugging|investigating|trying),?\s*(found|discovered))", r"\b(the\s*issue\s*was)", r"\b(root\s*cause\s*(was|is|:))",
+        r"\b(workaround\s*(is|was|:))", r"\b(this\s*resolved\s*the)",
+    )),
+    ("enthusiasm", 0.8, "knowledge", 20, (
+        r"\b(perfect!|exactly!|that's it!|yes!|great!|awesome!|brilliant!)", r"\b(this\s+is\s+(exactly|precisely)\s+what)", r"\b(love\s+(this|it|that))", r"\b(this\s+(works|worked)\s+(perfectly|great|well))",
+        r"\b(thank\s+you,?\s+this\s+(is|was)\s+(exactly|perfect))", r"\b(nailed\s+it)", r"\b(spot\s+on)",
+    )),
+    ("decision", 0.85, "knowledge", 25, (
+        r"\b(we\s*(decided|chose|picked|selected|went with))", r"\b(let's\s*(use|go with|pick|choose|stick with))", r"\b(i('m|'ve)?\s*(going to|gonna)\s*use)", r"\b(the\s*decision\s*(is|was)\s*to)",
+        r"\b(we('ll|'re going to)\s*use)", r"\b(our\s*(choice|decision|pick)\s*(is|was))", r"\b(after\s*considering,?\s*(we|i)\s*(decided|chose))", r"\b(final\s*decision:)",
+    )),
+    ("rule", 0.9, "guideline", 40, (
+        r"\b(always\s+(use|do|make sure|ensure|check|include|add))", r"\b(never\s+(use|do|allow|commit|push|merge|skip))", r"\b(we\s+(always|never)\s+(should|must|need to))", r"\b(rule\s*(is|:)\s*)",
+        r"\b(standard\s*(is|:)\s*)", r"\b(convention\s*(is|:)\s*)", r"\b(best\s*practice\s*(is|:)\s*)", r"\b(don't\s+(ever|forget to|skip))", r"\b(make\s+sure\s+(to|you)\s+(always|never))",
+        r"\b(must\s+(always|never))", r"\b(required\s+to)",
+    )),
+    ("command", 0.8, "tool", 25, (
+        r"\b(run\s+(this|the)\s+command:?)", r"\b(use\s+(this|the)\s+command:?)", r"""\b(execute:?)\s*[`"']""", r"\b(the\s+command\s+(is|to use):?)", r"\b(here's\s+(the|a)\s+command)",
+        r"\$\s*(npm|yarn|pnpm|npx|git|docker|kubectl|make)\s+\w+", r"```(bash|sh|shell|zsh)\n",
+    )),
+    ("preference", 0.75, "guideline", 20, (
+        r"\b(i\s*(prefer|like|want)\s+(to\s+)?(use|have|see))", r"\b(i'd\s*(rather|prefer))", r"\b(please\s+(always|don't|never))", r"\b(my\s+(preference|style)\s+(is|:))",
+        r"\b(i\s+(typically|usually|normally)\s+(use|do|prefer))", r"\b(for\s+me,?\s+(it's|the)\s+better)",
+    )),
+    ("error_recovery", 0.9, "experience", 45, (
+        r"\b(error|exception|failure|failed)\b.{0,100}\b(fixed|solved|resolved|working now)", r"\b(was\s+failing).{0,50}\b(now\s+(works|working|fixed))", r"\b(the\s+error\s+was\s+caused\s+by)",
+        r"\b(debugging|investigated).{0,30}\b(found|discovered|identified)\s+(the|that)", r"\b(stack\s*trace|traceback).{0,100}\b(fix|solution|cause)", r"\b(build\s+(failed|error)).{0,100}\b(fixed|resolved)",
+        r"\b(test(s)?\s+(failing|failed)).{0,100}\b(pass(ing|ed)?|fixed)",
+    )),
+    ("problem_solved", 0.85, "experience", 40, (
+        r"\b(finally\s+(got|figured|worked|fixed|solved))", r"\b(that\s+(did\s+it|worked|fixed\s+it|solved\s+it))", r"\b(problem\s+(solved|fixed|resolved))", r"\b(issue\s+(resolved|fixed|gone|solved))",
+        r"\b(it('s|\s+is)\s+(working|fixed)\s+now)", r"\b(success!|it\s+works!|working!)", r"\b(the\s+solution\s+was)", r"\b(solved\s+by\s+(using|changing|adding|removing))",
+    )),
+    ("workaround_found", 0.8, "experience", 35, (
+        r"\b(workaround\s*(is|was|:))", r"\b(alternative\s+(solution|approach|method|way))", r"\b(instead,?\s*(we|i|you)\s*(can|could|should))", r"\b(a\s+hack\s+(is|was|:))", r"\b(temporary\s+(fix|solution))",
+        r"\b(as\s+a\s+fallback)", r"\b(found\s+a\s+way\s+around)", r"\b(bypass(ed|ing)?\s+the\s+(issue|problem|error))",
+    )),
+    ("lesson_learned", 0.85, "experience", 40, (
+        r"\b(lesson\s+learned)", r"\b(learned\s+that)", r"\b(next\s+time,?\s*(i|we)\s*(will|should|must))", r"\b(note\s+to\s+self)", r"\b(remember\s+to\s+always)",
+        r"\b(in\s+the\s+future,?\s*(i|we)\s*(will|should))", r"\b(won't\s+make\s+that\s+mistake\s+again)", r"\b(now\s+i\s+(know|understand)\s+that)", r"\b(the\s+takeaway\s+(is|was))", r"\b(key\s+(insight|learning|takeaway))",
+    )),
+)
+# Fixed values: (kind, ignores case, pattern) of things named in technical text; the first group is the thing.
+NAMED = (
+    ("FILE_PATH", False, r"""(?:^|[\s"'`({\[])([.]{0,2}/[\w\-./]+\.\w{1,10})(?:[\s"'`)\]}]|$)"""),
+    ("FUNCTION_NAME", False, r"""(?:^|[\s.`"'({\[])([a-zA-Z][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)*(?:[A-Z][a-zA-Z0-9]*)*)(?:[\s()`"'\]}).,;:]|$)"""),
+    ("PACKAGE_NAME", False, r"""(?:^|[\s"'`])(@[\w-]+/[\w-]+|[\w-]+/[\w-]+)(?:[\s"'`@]|$)"""),
+    ("URL", True, r"""(https?://[^\s"'`<>)\]]+)"""),
+    ("ERROR_CODE", False, r"""(?:^|[\s"'`:(\[])([A-Z][a-zA-Z]*(?:Error|Exception)|E[A-Z0-9_]+|ERR_[A-Z0-9_]+|[A-Z][A-Z0-9_]{2,})(?:[\s"'`:;,.\])]|$)"""),
+    ("COMMAND", True, r"(?:^|[\s`$])((?:npm|yarn|pnpm|npx|git|docker|kubectl|make|cargo|go|pip|python|node|deno|bun)\s+[a-z][\w-]*)(?:[\s`.,;]|$)"),
+)
+# Words that are no function names, whatever their case.
+NO_FUNCTIONS = (
+    "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "throw", "try", "catch", "finally", "new", "delete", "typeof", "instanceof", "void", "in", "of", "with", "debugger",
+    "the", "and", "or", "not", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can",
+    "this", "that", "these", "those", "it", "its", "to", "from", "by", "at", "on", "out", "up", "down", "over", "under", "above", "below", "between", "through", "during", "before", "after",
+    "when", "where", "why", "how", "what", "which", "who", "whom", "whose", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "only", "own", "same", "than", "too", "very",
+    "string", "number", "boolean", "object", "array", "null", "undefined", "true", "false", "function", "class", "interface", "type", "enum", "const", "let", "var", "async", "await", "import", "export",
+    "default", "extends", "implements", "static", "public", "private", "protected", "readonly", "a", "an", "as", "so", "we", "us", "my", "me", "he", "she", "ok",
+    "api", "url", "sql", "css", "html", "xml", "json", "yaml", "tsx", "jsx",
+)
+KEPT_CASE = ("FUNCTION_NAME", "ERROR_CODE")
 BUG_WORDS = r"\b(bug|issue|broken|error|doesn't work|not working|problem with|fails|crashing)\b"
 RULE_WORDS = r"\b(must|should|always|never|use|avoid|prefer|require|recommend)\b"
 _BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -266,3 +337,29 @@ def pattern_feedback(events: DataFrame, rate: float = 0.1, low: float = 0.7, hig
     whole = blocks.groupBy("key").agg(fold(F.col("block")).alias("f"))
     value = F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.col("f.a") + F.col("f.b")))
     return whole.select("key", value.alias("multiplier"))
+
+
+def triggers(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, ...) with trigger, confidence, suggested_type and boost, one row for each trigger that the text pulls."""
+    found = []
+    for name, confidence, kind, boost, patterns in TRIGGERS:
+        hit = reduce(lambda a, b: a | b, [F.col("text").rlike("(?s)" + java(p)) for p in patterns])
+        found.append(F.when(hit, F.struct(F.lit(name).alias("trigger"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("suggested_type"), F.lit(boost).alias("boost"))))
+    return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("_t")).select(*rows.columns, "_t.*")
+
+
+def named_things(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, ...) with kind and value, each thing named in a text once; function names mix case or have an underscore, have 3 to 50 letters and are no common words."""
+    found = []
+    for kind, ignores_case, pattern in NAMED:
+        values = F.regexp_extract_all("text", F.lit(("(?i)" if ignores_case else "") + pattern), F.lit(1))
+        if kind == "FUNCTION_NAME":
+            values = F.filter(values, lambda v: F.length(v).between(3, 50) & ((v.rlike("[A-Z]") & v.rlike("[a-z]")) | v.contains("_")) & ~F.lower(v).isin(*NO_FUNCTIONS))
+        if kind not in KEPT_CASE:
+            values = F.transform(values, F.lower)
+        found.append(F.transform(F.array_distinct(values), _of_kind(kind)))
+    return rows.select("*", F.explode(F.concat(*found)).alias("_n")).select(*rows.columns, "_n.*")
+
+
+def _of_kind(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))

@@ -133,3 +133,35 @@ def pattern_feedback(spark, sf_dir):
         F.col("event_type").alias("key"), F.to_date("ts").alias("block"), F.struct("ts", "event_id").alias("at"), (F.col("value") < 300).alias("correct")
     )
     return signals.pattern_feedback(events).select("key", F.round("multiplier", 6).alias("multiplier"))
+
+
+def _trigger_sql() -> str:
+    some = lambda patterns: "(" + " or ".join(f"regexp_matches(text, {_lit(p)}, 'is')" for p in patterns) + ")"
+    return " union all ".join(f"select event_id, '{n}' as \"trigger\", {c}::double as confidence, '{k}' as suggested_type, {b}::int as boost from messages where {some(p)}" for n, c, k, b, p in signals.TRIGGERS)
+
+
+@query(sql(_trigger_sql(), "messages"))
+def extraction_triggers(spark, sf_dir):
+    return signals.triggers(views.messages(spark, sf_dir)).select("event_id", "trigger", "confidence", "suggested_type", "boost")
+
+
+def _named_sql() -> str:
+    parts = []
+    for kind, ignores_case, pattern in signals.NAMED:
+        value = "v" if kind in signals.KEPT_CASE else "lower(v)"
+        keep = "where length(v) between 3 and 50 and ((regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')) or contains(v, '_')) and lower(v) not in (" + ", ".join(map(_lit, signals.NO_FUNCTIONS)) + ")" if kind == "FUNCTION_NAME" else ""
+        found = f"unnest(regexp_extract_all(text, {_lit(('(?i)' if ignores_case else '') + pattern)}, 1))"
+        parts.append(f"select distinct event_id, '{kind}' as kind, {value} as value from (select event_id, {found} as v from told) {keep}")
+    return " union all ".join(parts)
+
+
+_TOLD = ("See When ./src/main.rs and loadConfig() in @scope/pkg-one", "TypeError: fetch_all failed at https://Example.org/A?b=1 with ENOENT", "run git commit, then npm install lodash/fp", "nothing here")
+_TOLD_SQL = f"told as (select event_id, [{', '.join(map(_lit, _TOLD))}][(event_id % 4 + 1)::int] || ' ' || event_type as text from events)"
+
+
+@query(f"with {_TOLD_SQL} {_named_sql()}")
+def named_things(spark, sf_dir):
+    """Paths, functions, packages, addresses, error codes and commands in technical messages."""
+    said = F.element_at(F.array(*[F.lit(t) for t in _TOLD]), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = views.table(spark, sf_dir, "events").select("event_id", F.concat(said, F.lit(" "), F.col("event_type")).alias("text"))
+    return signals.named_things(rows).select("event_id", "kind", "value")
