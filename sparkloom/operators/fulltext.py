@@ -49,3 +49,19 @@ def bm25(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
 
 def highlight(text: Column, terms: list[str]) -> Column:
     return F.regexp_replace(text, rf"(?i)\b({'|'.join(sorted(terms))})\b", "<mark>$1</mark>") if terms else text
+
+
+def expand(queries: DataFrame, synonyms: DataFrame, most: int = 3) -> DataFrame:
+    """(id, expanded, confidence): each query (id, text) with one word replaced by one of its synonyms (word, place, of, synonym).
+
+    Earlier words and earlier synonyms come first, ``most`` of them stay; an earlier synonym is surer. The synonyms
+    meet the words in a join, so neither the queries nor the dictionary need be small.
+    """
+    words = queries.select("id", F.split(F.lower("text"), " ").alias("w")).select("id", "w", F.posexplode("w").alias("at", "word"))
+    found = words.join(synonyms, "word").select(
+        "id", "at", "place",
+        F.array_join(F.transform("w", lambda x, k: F.when(k == F.col("at"), F.col("synonym")).otherwise(x)), " ").alias("expanded"),
+        (0.8 - F.col("place") / F.col("of") * 0.2).alias("confidence"),
+    )
+    first = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "place", "expanded", "confidence"))), 1, most).alias("x"))  # a query's words times synonyms
+    return first.select("id", F.explode("x").alias("x")).select("id", "x.expanded", F.round("x.confidence", 6).alias("confidence"))

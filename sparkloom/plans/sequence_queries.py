@@ -151,3 +151,30 @@ def seq_dependency_chain(spark, sf_dir):
 def trajectory_similarity(spark, sf_dir):
     """Each user's day against their next one: step order, step sets, length; tests compare with brute force."""
     return sequence.trajectory_similarity(views.table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type"))
+
+
+# How sure each detector is.
+_CONFIDENCE = {
+    "seq_three_step": ("stale_code", 0.85), "seq_config_discovery": ("config_discovery", 0.8), "seq_dependency_chain": ("dependency_chain", 0.75), "retry_variant": ("retry_variant", 0.7),
+    "seq_build_then_test": ("build_then_test", 0.85), "seq_investigation": ("investigation_success", 0.75), "islands_iterative_fix": ("iterative_fix", 0.7),
+}
+_LEAST = 0.75
+
+
+def _observed_sql() -> str:
+    from ..registry import ORACLES
+
+    return " union all ".join(f"select distinct user_id, '{kind}' as pattern, {c}::double as confidence from ({ORACLES[name]})" for name, (kind, c) in _CONFIDENCE.items() if c >= _LEAST)
+
+
+@query(_observed_sql())
+def observed_behaviours(spark, sf_dir):
+    """The patterns that each session shows, of detectors that are sure enough."""
+    from ..registry import QUERIES
+
+    out = None
+    for name, (kind, confidence) in _CONFIDENCE.items():
+        if confidence >= _LEAST:
+            one = QUERIES[name](spark, sf_dir).select("user_id").distinct().select("user_id", F.lit(kind).alias("pattern"), F.lit(confidence).alias("confidence"))
+            out = one if out is None else out.unionByName(one)
+    return out

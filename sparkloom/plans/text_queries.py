@@ -134,3 +134,18 @@ def complexity(spark, sf_dir):
     n = F.col("n_chars")
     level = sum(((n > k).cast("int") for k in (2000, 8000, 20000)), F.lit(0))
     return _docs(spark, sf_dir).select("doc_id", level.alias("level"), F.lower("text").rlike(r"\b(the|of)\b").cast("int").alias("english"))
+
+
+_SYNONYMS = {"red": ("crimson", "scarlet", "ruby"), "small": ("little", "tiny"), "plate": ("dish",), "widget": ("gadget", "device"), "hot": ("warm", "heated")}
+_SYNONYM_ROWS = [(w, k, len(v), x) for w, v in _SYNONYMS.items() for k, x in enumerate(v)]
+
+
+@query(f"""with s(word, place, n, synonym) as (values {', '.join(map(str, _SYNONYM_ROWS))}), w as (select p_partkey as id, string_split(lower(p_name), ' ') as w from part),
+t as (select id, w, unnest(range(1, len(w) + 1)) as pos, unnest(w) as word from w),
+x as (select id, pos, place, list_transform(w, lambda y, k: case when k = pos then synonym else y end) as e, 0.8 - place / n * 0.2 as c, row_number() over (partition by id order by pos, place) as r from t join s using (word))
+select id, array_to_string(e, ' ') as expanded, round(c, 6)::double as confidence from x where r <= 3""")
+def expand_queries(spark, sf_dir):
+    """Part names as queries, with words replaced by their synonyms."""
+    synonyms = spark.createDataFrame(_SYNONYM_ROWS, "word string, place int, of int, synonym string")
+    parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return fulltext.expand(parts, synonyms)
