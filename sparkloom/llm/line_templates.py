@@ -9,7 +9,7 @@ field (a fifth of the tokens at most), share a template.
 A template that recurs across documents is dropped: the document with the smallest doc_id keeps its
 lines, every other document loses them.
 
-A template travels as a 96-bit digest. Finding its first document is a minimum that each map task
+A template travels as a 96-bit digest; the digests are written once and read twice. Finding a template's first document is a minimum that each map task
 combines first, so a line that a third of all documents contain costs one row per task there; the
 join back to the documents' lines is one that Spark splits where it is skewed.
 
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
 
 LEADING = 3
 FIELDS = 5
@@ -98,8 +99,9 @@ def _without(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
 
 def recurring(docs: DataFrame) -> DataFrame:
     """doc_id, salt, gone (digests): for each document the templates that an earlier document has."""
-    rows = docs.select("doc_id", _salt().alias("salt"), "text").mapInArrow(_parsed, ROWS)
-    first = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first")).filter("first is not null")
+    rows = materialize(docs.select("doc_id", _salt().alias("salt"), "text").mapInArrow(_parsed, ROWS), "line-templates")
+    found = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    first = found.filter("first < last or (unnamed and first is not null)").select("high", "low", "first")
     later = rows.join(first.hint("merge"), ["high", "low"]).filter("doc_id is null or doc_id > first")
     return later.groupBy("doc_id", "salt").agg(F.collect_set("high").alias("gone"))
 
