@@ -38,10 +38,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     The sum of all sizes is shared by weight; a target stops at ``limit`` times its source's size and
     the excess is shared again by weight among the rest, until none is above.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
-    place = F.row_number().over(order) - 1
+    # places in the order of all sources, without a task that has them all: the place in a range and the rows of the ranges before
+    by_source = F.col("source").asc_nulls_last()
+    ranged = materialize(sizes.orderBy(by_source).withColumn("range", F.spark_partition_id()), "mix-order")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row per range
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(by_source)) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    table = materialize(sizes.withColumn("weight", weight), "mix-sources")
+    table = materialize(ranged.join(F.broadcast(before), "range").withColumn("weight", weight).select("source", "source_size", "weight"), "mix-sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     room = F.lit(float(limit)) * F.col("source_size")
     level, capped = None, F.lit(False)

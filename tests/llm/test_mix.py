@@ -82,3 +82,14 @@ def test_edges(spark, clashing, empty_docs):
     assert out.columns == clashing.columns
     assert out.count() == sum(r["copies"] for r in source_mix.mix_sources(clashing, F.xxhash64(*clashing.columns)).collect())
     assert source_mix.mixed(empty_docs).count() == 0
+
+
+def test_targets_over_many_ranges(spark):
+    sizes = {f"s{k:05d}": k % 97 for k in range(3000)} | {None: 5, "": 7, "é": 11}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["source"]: r["target"] for r in source_mix.source_targets(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == pytest.approx(slow_targets(sizes))
