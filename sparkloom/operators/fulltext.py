@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem_udf
+
 K1, B = 1.2, 0.75
 # Words that queries drop, and terms that are searched whole though short.
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
@@ -65,3 +67,20 @@ def expand(queries: DataFrame, synonyms: DataFrame, most: int = 3) -> DataFrame:
     )
     first = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "place", "expanded", "confidence"))), 1, most).alias("x"))  # a query's words times synonyms
     return first.select("id", F.explode("x").alias("x")).select("id", "x.expanded", F.round("x.confidence", 6).alias("confidence"))
+
+
+def stemmed_postings(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, doc_len, term, tf) with terms by their stems: each distinct term is stemmed once and joined back."""
+    plain = postings(docs, text)
+    stems = plain.select("term").distinct().select("term", stem_udf("term").alias("stem"))
+    return plain.join(stems, "term").groupBy("doc_id", "doc_len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def ranked(index: DataFrame, docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, score): BM25 of an OR of ``terms`` over an index (doc_id, doc_len, term, tf)."""
+    n, mean = docs.count(), index.select("doc_id", "doc_len").distinct().agg(F.sum("doc_len")).first()[0]
+    found = index.filter(F.col("term").isin(terms))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most as many rows as query terms
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit((mean or 0) / max(n, 1) or 1.0)))
+    return found.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(idf * tf).alias("score"))

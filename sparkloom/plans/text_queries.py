@@ -149,3 +149,13 @@ def expand_queries(spark, sf_dir):
     synonyms = spark.createDataFrame(_SYNONYM_ROWS, "word string, place int, of int, synonym string")
     parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
     return fulltext.expand(parts, synonyms)
+
+
+@query()
+def fts_stemmed_topk(spark, sf_dir):
+    """The best matches of stems over the stemmed index; tests compare with the rule in plain Python."""
+    from ..functions.stem import stem
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    found = fulltext.ranked(fulltext.stemmed_postings(docs, "text"), docs, [stem(t) for t in ("hating", "onions", "tied")])
+    return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)

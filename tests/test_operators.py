@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
-from sparkloom.operators import classify, filters, graph, maintenance, policies, scope, sequence, signals, stats, vector
+from sparkloom.functions.stem import stem
+from sparkloom.operators import classify, filters, fulltext, graph, maintenance, policies, scope, sequence, signals, stats, vector
 from sparkloom.plans.search import SearchPlan
 from sparkloom.sources import exchange
 from sparkloom.streaming import boundaries, windows
@@ -257,3 +258,34 @@ def test_incremental_collector(spark):
     new, cursor = maintenance.collect_since(rows, "at", 4)
     assert new.count() == 2 and cursor == 9
     assert maintenance.collect_since(rows, "at", 9)[1] == 9 and maintenance.collect_since(rows.limit(0), "at", None)[1] is None
+
+
+STEMS = (
+    "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall "
+    "hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit radicalli radic vileli vile vietnamization vietnam "
+    "predication predic operator oper decisiveness decis sensibiliti sensibl triplicate triplic formative form electrical electr hopeful hope goodness good revival reviv airliner airlin irritant irrit "
+    "replacement replac adoption adopt homologou homolog communism commun effective effect probate probat rate rate cease ceas controll control roll roll über über by by"
+).split()
+
+
+@pytest.mark.parametrize("word,want", list(zip(STEMS[::2], STEMS[1::2], strict=True)))
+def test_stems(word, want):
+    assert stem(word) == want
+
+
+def test_stemmed_search_against_brute_force(spark):
+    import math
+    import re
+
+    texts = {1: "Running runs and runners", 2: "the run of a running gag", 3: "nothing here", 4: "", 5: "Cats, cats! A cat runs."}
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(6, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in fulltext.ranked(fulltext.stemmed_postings(docs, "text"), docs, ["run", "cat"]).collect()}
+    bags = {k: [stem(w) for w in re.split(r"[^a-z0-9à-öø-ÿ]+", t.lower()) if w] for k, t in texts.items()}
+    mean, want = sum(map(len, bags.values())) / 6, {}
+    for term in ("run", "cat"):
+        df = sum(term in b for b in bags.values())
+        for k, b in bags.items():
+            if term in b:
+                tf, idf = b.count(term), max(1e-6, math.log((6 - df + 0.5) / (df + 0.5)))
+                want[k] = want.get(k, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / mean))
+    assert got == pytest.approx(want)
