@@ -6,7 +6,8 @@ that key and packed one after the other, so that neighbours on the curve share s
 where a sequence is full. What a range leaves over is cut into sequences of power-of-two lengths, so
 nothing is padded.
 
-Tokenising happens once: token ids are written (two or four bytes each) with the key, then sorted.
+Tokenising happens once: token ids are written (two or four bytes each) with the key, then sorted. They are
+written in rows of ``ROW_TOKENS`` at most, so that ranges with as many rows are of like size, however long their documents are.
 Equal keys, such as those of copies, are spread by a hash of the row, so a group of copies may cross ranges.
 
 Defined cases: a null or empty text is the end token alone; rows without doc_id and repeated rows
@@ -34,6 +35,8 @@ GRID_BITS = 12
 BUCKETS = 1 << 16
 SEQUENCE = 2048
 TOKENS_PER_RANGE = 16_000_000
+ROW_TOKENS = 2048
+TOKENS = "doc_id long, tie long, key long, start long, length long, tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Text that is tokenised at a time, in bytes; a longer document is a slice of its own.
@@ -186,9 +189,16 @@ def _tokenise(path: str, seed: int):
                     sums = np.cumsum(np.append(np.int8(0), signs[d][ids]), dtype=np.int64)
                     vectors[:, d] = sums[ends] - sums[ends - lengths]
                 raw = np.insert(ids, ends, END).astype(kind)  # each document's ids and the end token
-                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * raw.itemsize
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(curve_key(vectors)), pa.array(lengths + 1), packed], ["doc_id", "tie", "key", "tokens", "ids"])
+                tokens = lengths + 1
+                rows = -(-tokens // ROW_TOKENS)
+                of = np.repeat(np.arange(length), rows)
+                first = (np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)) * ROW_TOKENS
+                size = np.minimum(ROW_TOKENS, tokens[of] - first)
+                offsets = np.append(0, np.cumsum(size)) * raw.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                at = pa.array(of)
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(curve_key(vectors)[of]), pa.array(first), pa.array(size), pa.array(tokens[of]), packed]
+                yield pa.record_batch(columns, ["doc_id", "tie", "key", "start", "length", "tokens", "ids"])
 
     return run
 
@@ -212,13 +222,16 @@ def _pack(sequence: int):
 
         for batch in batches:
             rows = []
-            for doc_id, total, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * total else "<u4")
-                start = 0
-                while start < total:
-                    take = min(total - start, sequence - offset)
-                    held.append((doc_id, start, ids[start : start + take], total))
-                    start, offset = start + take, offset + take
+            for doc_id, start, length, total, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * length else "<u4")
+                while len(ids):
+                    own, ids = ids[: sequence - offset], ids[sequence - offset :]
+                    last = held[-1] if held else (None, 0, own[:0], 0)
+                    if start and (doc_id, start, total) == (last[0], last[1] + len(last[2]), last[3]):  # goes on where the last piece ends
+                        held[-1] = (doc_id, last[1], np.concatenate([last[2], own]), total)
+                    else:
+                        held.append((doc_id, start, own, total))
+                    start, offset = start + len(own), offset + len(own)
                     if offset == sequence:
                         at = 0
                         for piece in held:
@@ -248,7 +261,7 @@ def _pack(sequence: int):
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, seed: int = 11, tokens_per_range: int = TOKENS_PER_RANGE) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), "text")
-    tokens = materialize(rows.mapInArrow(_tokenise(tokenizer, seed), "doc_id long, tie long, key long, tokens long, ids binary"), "pack-tokens")
-    ranges = max(1, -(-(tokens.agg(F.sum("tokens")).first()[0] or 0) // tokens_per_range))
-    placed = tokens.repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie")
-    return placed.select("doc_id", "tokens", "ids").mapInArrow(_pack(sequence), PIECES)
+    tokens = materialize(rows.mapInArrow(_tokenise(tokenizer, seed), TOKENS), "pack-tokens")
+    ranges = max(1, -(-(tokens.agg(F.sum("length")).first()[0] or 0) // tokens_per_range))
+    placed = tokens.repartitionByRange(ranges, "key", "tie", "start").sortWithinPartitions("key", "tie", "start")
+    return placed.select("doc_id", "start", "length", "tokens", "ids").mapInArrow(_pack(sequence), PIECES)
