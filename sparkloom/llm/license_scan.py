@@ -6,8 +6,10 @@ and a term that no template has gets the highest. A line that reaches ``threshol
 licence; a text that reaches it as a whole is a licence file and covers its directory. A file without own licence takes
 that of its nearest ancestor directory. DataFrame operations only.
 
-Only units with a probe term are compared: the terms of each template, heaviest first, until what remains
-can't reach the threshold alone (the remaining norm is below it). So nothing is lost.
+Only units that can reach the threshold are split into rows of terms. The dot product with a template is a sum over a
+unit's tokens, and the unit's norm is at least that of its known terms together with one ``unseen`` weight for each token that no template has. Both
+are folded over the unit's own token array, first with the best weight that any template gives any token, then that token, then exactly; what stays below the
+threshold there stays below it in truth. So nothing is lost, and what is shuffled are the few units left.
 
 Defined cases: null and empty texts have no licence of their own; a null path part is an empty name; ties go to the
 smaller licence name; equal rows get equal results; an empty table works; other columns are not read.
@@ -18,13 +20,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach
+from .common import attach, materialize
 
 THRESHOLD = 0.6
+# Frequent words, the most frequent first; a look-up tries them first.
+FREQUENT = "the of and a in to is for by are or that it with as on this not you".split()
 TERM_RE = r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*"
 # Short notices of public licences.
 TEMPLATES = (
@@ -60,20 +65,59 @@ class Model:
         self.idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in sorted(df.items())}
         self.unseen = math.log(1 + len(bags)) + 1
         self.weights: list[tuple[int, str, str, float]] = []
-        self.probes: set[str] = set()
         for k, ((name, _), bag) in enumerate(zip(templates, bags, strict=True)):
             w = {t: n * self.idf[t] for t, n in bag.items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
-            rest = 1.0
-            for t, x in sorted(w.items(), key=lambda p: (-p[1], p[0])):
-                self.weights.append((k, name, t, x / norm))
-                if rest >= threshold**2 - 1e-9:
-                    self.probes.add(t)
-                rest -= (x / norm) ** 2
+            self.weights += [(k, name, t, x / norm) for t, x in sorted(w.items())]
 
+    def gains(self) -> list[dict[str, float]]:
+        """For each template, what one more token of each of its terms adds to the dot product."""
+        out: dict[int, dict[str, float]] = {}
+        for k, _, t, x in self.weights:
+            out.setdefault(k, {})[t] = x * self.idf[t]
+        return list(out.values())
 
-def _terms_of(text: str) -> Column:
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TERM_RE})"), F.lit(1))
+
+def _table(values: dict[str, float]) -> Column:
+    order = sorted(values.items(), key=lambda p: (FREQUENT.index(p[0]) if p[0] in FREQUENT else len(FREQUENT), p[0]))
+    return F.create_map(*[F.lit(x) for pair in order for x in pair])
+
+
+def _once(value: Column) -> Column:
+    """The value by way of a generator: filters on it are not pushed below, so it is computed once a row."""
+    return F.explode(F.array(value))
+
+
+def _dot(counts: str, values: dict[str, float]) -> Column:
+    """Sum of count * value over (term, n) pairs."""
+    table = _table(values)
+    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["n"] * F.coalesce(F.try_element_at(table, c["term"]), F.lit(0.0)))
+
+
+def able_units(texts: DataFrame, model: Model) -> DataFrame:
+    """path, row_key, line (-1 for the whole text), terms of the units of ``texts`` (path, row_key, text) that may reach the threshold."""
+    per_line = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({TERM_RE})"), F.lit(1)))
+    split = texts.select("path", "row_key", _once(per_line).alias("terms"))
+    unit = lambda line, terms: F.struct(line.alias("line"), terms.alias("terms"), F.filter(terms, lambda t: t.isin(*model.idf)).alias("known"))
+    both = F.concat(F.array(unit(F.lit(-1), F.flatten("terms"))), F.transform("terms", lambda terms, k: unit(k, terms)))
+    units = split.select("path", "row_key", F.explode(both).alias("u")).select("path", "row_key", "u.line", "u.terms", "u.known")
+    gains, square = model.gains(), (model.threshold - 1e-6) ** 2  # scores are rounded
+    most = {t: max(g.get(t, 0.0) for g in gains) for t in model.idf}
+    strange = model.unseen**2 * (F.size("terms") - F.size("known"))
+    enough = lambda reach: reach * reach * (1 - square) >= square * strange
+    near = units.filter((F.size("known") > 0) & enough(F.size("known") * max(most.values(), default=0.0)))
+    counts = F.transform(F.array_distinct("known"), lambda t: F.struct(t.alias("term"), F.size(F.filter("known", lambda x: x == t)).alias("n")))
+    near = near.select("*", _once(counts).alias("counts"))
+    near = near.select("*", _once(F.struct(_dot("counts", most).alias("reach"), _square_norm("counts", model.idf).alias("norm2"))).alias("b"))
+    near = near.filter(enough(F.col("b.reach")) & (F.col("b.reach") * F.col("b.reach") >= square * (F.col("b.norm2") + strange)))
+    fits = [_dot("counts", g) * _dot("counts", g) >= square * (F.col("b.norm2") + strange) for g in gains]
+    return near.filter(reduce(lambda a, b: a | b, fits)).select("path", "row_key", "line", "terms")
+
+
+def _square_norm(counts: str, idf: dict[str, float]) -> Column:
+    """Sum of (count * idf) squared over (term, n) pairs."""
+    table = _table(idf)
+    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + F.pow(c["n"] * F.try_element_at(table, c["term"]), F.lit(2.0)))
 
 
 def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
@@ -85,12 +129,8 @@ def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
     spark = files.sparkSession
     path = F.coalesce("path", F.lit(""))
     named = files.select(path.alias("path"), "text", F.xxhash64(path, "text").alias("row_key"))
-    probe = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(re.escape(p) for p in sorted(model.probes)) + ")(?![A-Za-z0-9])"
-    likely = named.filter(F.col("text").rlike(probe)).dropDuplicates(["path", "row_key"])
-    lines = likely.select("path", "row_key", F.posexplode(F.split("text", "\n")).alias("line", "unit")).filter(F.col("unit").rlike(probe))
-    whole = likely.select("path", "row_key", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    units = lines.unionByName(whole).select("path", "row_key", "line", F.explode(_terms_of("unit")).alias("term"))
-    tf = units.groupBy("path", "row_key", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    units = able_units(named, model).dropDuplicates(["path", "row_key", "line"]).select("path", "row_key", "line", F.explode("terms").alias("term"))
+    tf = materialize(units.groupBy("path", "row_key", "line", "term").agg(F.count(F.lit(1)).alias("tf")), "license-terms")
 
     # a few hundred rows, whatever the input
     weights = F.broadcast(spark.createDataFrame(model.weights, "template int, license string, term string, weight double"))
@@ -105,6 +145,7 @@ def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
         F.min(F.when(F.col("line") >= 0, F.struct((-F.col("score")).alias("s"), "license"))).alias("own"),
         F.min(F.when(F.col("line") < 0, F.struct((-F.col("score")).alias("s"), "license"))).alias("file"),
     )
+    best = materialize(best, "license-best")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     covers = best.filter("file is not null").groupBy(folder.alias("dir")).agg(F.min("file").alias("file"))
