@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_udf
+from .graph import cut
 
 K1, B = 1.2, 0.75
 # Words that queries drop, and terms that are searched whole though short.
@@ -40,7 +41,9 @@ def bm25(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
 
     Only postings of the wanted terms are built; lengths of all documents give the average.
     """
-    words = docs.select("doc_id", tokens(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.filter("w", lambda t: t.isin(terms)).alias("w"))
+    # by way of a generator, so that a text is split once; what is left of it is written and read twice
+    split = docs.select("doc_id", F.explode(F.array(tokens(F.col(text)))).alias("w"))
+    words = cut(split.select("doc_id", F.size("w").alias("doc_len"), F.filter("w", lambda t: t.isin(terms)).alias("w")), "bm25")
     n, mean = words.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     found = words.filter(F.size("w") > 0).select("doc_id", "doc_len", F.explode("w").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most as many rows as query terms
