@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import hilbert_packing, line_templates, quality_rules, simhash_trie, source_mix
+from sparkloom.llm import hilbert_packing, line_templates, near_copies, quality_rules, source_mix
 from sparkloom.llm.common import materialize, table
 from sparkloom.llm.queries import tokenizer_path
 
@@ -25,7 +25,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash_trie.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", rules_stage),
     ("line dedup", lines_stage),
-    ("SimHash near-dedup", near_stage),
+    ("near-dedup", near_stage),
     ("source mix", mix_stage),
     ("packing", pack_stage),
 ]
