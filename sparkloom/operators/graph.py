@@ -121,18 +121,19 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return inside / total - (ends.agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0) / (4 * total * total)
 
 
-def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 50) -> DataFrame:
+def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 10_000) -> DataFrame:
     """Pairs (a, b, score) taken from the best down while both ends have fewer than ``cap``.
 
     The sequential rule in rounds: a pair is taken when it is among the best open ones at both of its ends
-    that still fit; ends that are full close the rest.
+    that still fit; ends that are full close the rest. Each round takes the best open pair at least; a run
+    that still has open pairs after ``max_rounds`` fails.
     """
     from pyspark.sql import Window
 
     open_ = cut(pairs.select("a", "b", "score"))
     taken = None
     used = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         ends = open_.select("*", F.explode(F.array("a", "b")).alias("end"))
         order = Window.partitionBy("end").orderBy(F.desc("score"), "a", "b")
         ranked = ends.withColumn("rank", F.row_number().over(order))
@@ -145,6 +146,7 @@ def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 50) -> D
         if now.isEmpty():
             break
         taken = now if taken is None else taken.unionByName(now)
+        taken = cut(taken) if k % 20 == 19 else taken
         used = cut(taken.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n")))
         full = used.filter(F.col("n") >= cap).select("end")
         rest = open_.join(now, ["a", "b"], "left_anti")
@@ -152,4 +154,6 @@ def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 50) -> D
         open_ = cut(rest.select("a", "b", "score"))
         if open_.isEmpty():
             break
+    else:
+        raise RuntimeError(f"greedy_degree_cap did not settle in {max_rounds} rounds")
     return taken if taken is not None else pairs.select("a", "b", "score").limit(0)

@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, greedy_degree_cap
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,6 +67,37 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     return dealt.groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 
 
+def nearest_edges(vectors: DataFrame, threshold: float, cap: int = 5) -> DataFrame:
+    """(a, b, score): ``greedy_degree_cap`` of the similar pairs, where equal vectors cost no pairs and no rounds.
+
+    Pairs of equal vectors come first, by id: each ``cap + 1`` copies in the order of their ids are linked among
+    themselves and full. Only the last few copies of a vector and vectors without copies take part in the join.
+    A vector that ties with others at 1.0 by rounding takes part with all its copies.
+    """
+    full = cap + 1
+    rows = vectors.select("vec_id", "v", F.xxhash64("v").alias("h"), (norm(F.col("v")) > 0).alias("able")).filter("able")
+    order = Window.partitionBy("h", "v").orderBy("vec_id")
+    placed = rows.withColumn("place", F.row_number().over(order) - 1)
+    sizes = rows.groupBy("h", "v").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("cls"))
+    placed = placed.join(sizes.hint("merge"), ["h", "v"]).withColumn("whole", F.col("place") < F.col("size") - F.col("size") % full)
+    placed = cut(placed.select("vec_id", "v", "cls", "place", "whole"))
+    # what is left, and the first copy of each vector, which stands for the copies that are full
+    pairs = cut(similar_pairs(placed.filter("not whole or vec_id = cls").select("vec_id", "v"), threshold))
+    known = placed.select("vec_id", "cls", "whole")
+    a, b = known.toDF("a", "cls_a", "whole_a"), known.toDF("b", "cls_b", "whole_b")
+    both = pairs.join(a, "a").join(b, "b")
+    tied = cut(both.filter("similarity >= 1.0 and cls_a <> cls_b").select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct())
+    if not tied.join(placed.filter("whole and vec_id = cls"), "cls").isEmpty():
+        placed = cut(placed.join(tied.withColumn("tied", F.lit(True)), "cls", "left").withColumn("whole", F.col("whole") & F.col("tied").isNull()).drop("tied"))
+        pairs = similar_pairs(placed.filter("not whole").select("vec_id", "v"), threshold)
+    else:
+        pairs = both.filter("not whole_a and not whole_b")
+    blocks = placed.filter("whole").groupBy("cls", F.floor(F.col("place") / full).alias("block")).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    x = blocks.select("ids", F.posexplode("ids").alias("i", "a"))
+    inside = x.select("a", F.explode(F.slice("ids", F.col("i") + 2, full)).alias("b"), F.lit(1.0).alias("score"))
+    return inside.unionByName(greedy_degree_cap(pairs.select("a", "b", F.col("similarity").alias("score")), cap))
+
+
 def hyperplanes(dim: int, tables: int, bits: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 

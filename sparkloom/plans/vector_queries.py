@@ -138,7 +138,7 @@ def hybrid_search(spark, sf_dir):
 @query()
 def inferred_edges(spark, sf_dir):
     """Similar pairs from the best down, at most five per entry; tests compare with the sequential rule."""
-    return graph.greedy_degree_cap(vector.similar_pairs(views.vectors(spark, sf_dir), 0.3).withColumnRenamed("similarity", "score"))
+    return vector.nearest_edges(views.vectors(spark, sf_dir), 0.3)
 
 
 @query(sql(f"""+one as (select v as q from vectors where vec_id = 0), cents as (select label, list(value order by place) as v from (select label, place, avg(x) as value from (select label, unnest(v) as x, generate_subscripts(v, 1) as place from vectors) group by all) group by label),

@@ -1,8 +1,12 @@
 """Registered queries give whole results: no pairs, edges or matches are left out."""
 
+from itertools import combinations
+
 import numpy as np
+import pytest
 
 from sparkloom import registry
+from sparkloom.operators import graph, vector
 from sparkloom.sources import views
 
 
@@ -15,3 +19,39 @@ def test_lsh_pairs_recall_of_the_registered_query(spark):
     x, y = np.nonzero(np.triu(m @ m.T >= 0.4, 1))
     want = {tuple(sorted((ids[i], ids[j]))) for i, j in zip(x, y, strict=True)}
     assert got <= want and len(got) >= 0.9 * len(want) > 20
+
+
+def slow_edges(v, threshold, cap):
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(v @ v.T, 6)
+    used, want = [0] * len(v), set()
+    for _, a, b in sorted((-sims[a, b], a, b) for a, b in combinations(range(len(v)), 2) if sims[a, b] >= threshold):
+        if used[a] < cap and used[b] < cap:
+            want.add((a, b))
+            used[a], used[b] = used[a] + 1, used[b] + 1
+    return want
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_nearest_edges_of_equal_vectors_follow_the_sequential_rule(spark, tied):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 8))
+    v = np.concatenate([base, np.repeat(base[:3], [14, 5, 3], axis=0), base[:1] + 0.2 * rng.standard_normal((6, 8)), base[:2] * (1 + 1e-9 * tied)])
+    if tied:
+        v = np.concatenate([v, base[:1] * 2])
+    v = v[rng.permutation(len(v))]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<double>")
+    got = [(r["a"], r["b"]) for r in vector.nearest_edges(df, 0.3).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_edges(v, 0.3, 5)
+
+
+def test_many_copies_keep_their_edges(spark):
+    df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(2000)], "vec_id long, v array<double>")
+    got = {(r["a"], r["b"]) for r in vector.nearest_edges(df, 0.3).collect()}
+    assert got == {p for at in range(0, 2000, 6) for p in combinations(range(at, min(at + 6, 2000)), 2)}
+
+
+def test_degree_cap_raises_when_pairs_stay_open(spark):
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in combinations(range(30), 2)], "a long, b long, score double")
+    with pytest.raises(RuntimeError):
+        graph.greedy_degree_cap(df, 5, max_rounds=2)
