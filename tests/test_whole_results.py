@@ -55,3 +55,9 @@ def test_degree_cap_raises_when_pairs_stay_open(spark):
     df = spark.createDataFrame([(a, b, 1.0) for a, b in combinations(range(30), 2)], "a long, b long, score double")
     with pytest.raises(RuntimeError):
         graph.greedy_degree_cap(df, 5, max_rounds=2)
+
+
+def test_highlight_marks_matches_beyond_the_head(spark, tmp_path):
+    spark.createDataFrame([(1, "x " * 100 + "The end of it"), (2, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["fts_highlight_whole"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(1, "x " * 100 + "<mark>The</mark> end <mark>of</mark> it")]
