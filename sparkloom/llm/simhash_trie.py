@@ -17,10 +17,12 @@ member has an id); an empty table gives an empty result; other columns of the in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,10 +172,32 @@ def _node(fp: str, depth: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def node_pairs(fps: DataFrame, budget: int, cap: int) -> list[tuple[int, DataFrame]]:
-    """The walk of the upper trie: (depth, pairs of nodes a <= b at that depth within the budget) for the tasks below."""
-    work, depth = [], 0
-    pairs = fps.agg(F.count(F.lit(1)).alias("na")).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("bits"), "na", F.col("na").alias("nb"))
+def hamming(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y))
+
+
+def expand_pairs(at_x: np.ndarray, n_x: np.ndarray, at_y: np.ndarray, n_y: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the blocks [at_x, at_x + n_x) x [at_y, at_y + n_y), in pieces of bounded size (a larger block comes in rows)."""
+    big = n_x * n_y > most
+    for k in np.flatnonzero(big):
+        step = max(1, most // int(n_y[k]))
+        for i in range(int(at_x[k]), int(at_x[k] + n_x[k]), step):
+            own = np.arange(i, min(i + step, int(at_x[k] + n_x[k])))
+            yield np.repeat(own, n_y[k]), np.tile(np.arange(at_y[k], at_y[k] + n_y[k]), len(own))
+    at_x, n_x, at_y, n_y = (v[~big] for v in (at_x, n_x, at_y, n_y))
+    sizes = n_x * n_y
+    piece = np.cumsum(sizes) // most
+    for number in np.unique(piece):
+        own = piece == number
+        pair = np.repeat(np.flatnonzero(own), sizes[own])
+        inner = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        yield at_x[pair] + inner // n_y[pair], at_y[pair] + inner % n_y[pair]
+
+
+def node_pairs(fps: DataFrame, budget: int, cap: int, depth: int = 0) -> list[tuple[int, DataFrame]]:
+    """The walk of the upper trie from the nodes at ``depth``: (depth, pairs of nodes a <= b there within the budget) for the tasks below."""
+    work = []
+    pairs = fps.groupBy(_node("fp", depth).alias("a")).agg(F.count(F.lit(1)).alias("na")).select("a", F.col("a").alias("b"), F.lit(0).alias("bits"), "na", F.col("na").alias("nb"))
     while True:
         heavy = (F.greatest("na", "nb") > cap) & F.lit(depth < BITS - STEP)
         pairs = materialize(pairs, "trie")
@@ -195,35 +219,49 @@ def node_pairs(fps: DataFrame, budget: int, cap: int) -> list[tuple[int, DataFra
         )
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 2, cap: int = CAP) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints in ``fps`` (fp) whose components are those of all links."""
+def deal(rows: DataFrame, budget: int, cap: int, depth: int = 0) -> GroupedData:
+    """``rows`` (fp, ...) grouped into tasks: those of one trie node, once, and those of its partners within the budget (right_side).
+
+    ``one`` is true on a node's own rows if the node is to be joined with itself too.
+    """
     dealt = None
-    for depth, pairs in node_pairs(fps, budget, cap):
+    for at, pairs in node_pairs(rows.select("fp").distinct(), budget, cap, depth):
         left = pairs.groupBy("a").agg(F.max(F.col("a") == F.col("b")).alias("one")).select("a", "one", F.lit(False).alias("right_side"), F.col("a").alias("node"))
         right = pairs.filter("a <> b").select("a", F.lit(False).alias("one"), F.lit(True).alias("right_side"), F.col("b").alias("node"))
-        own = fps.withColumn("node", _node("fp", depth)).join(left.unionByName(right), "node").select(F.lit(depth).alias("depth"), "a", "one", "right_side", "fp")
+        own = rows.withColumn("node", _node("fp", at)).join(left.unionByName(right), "node").drop("node").withColumn("depth", F.lit(at))
         dealt = own if dealt is None else dealt.unionByName(own)
-    return dealt.groupBy("depth", "a").applyInPandas(_walk(budget), "a long, b long")
+    return dealt.groupBy("depth", "a")
+
+
+def fingerprint_links(fps: DataFrame, budget: int = 2, cap: int = CAP) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints in ``fps`` (fp) whose components are those of all links."""
+    return deal(fps.select("fp"), budget, cap).applyInPandas(_walk(budget), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, budget: int = 2, cap: int = CAP) -> DataFrame:
     """doc_id, fp (long), component_id for each row of ``docs`` (doc_id, text)."""
-    prints = materialize(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    return _labelled(materialize(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "simhash"), budget, cap).drop("keep")
+
+
+def _labelled(prints: DataFrame, budget: int, cap: int) -> DataFrame:
+    """``prints`` (doc_id, fp, ...) with component_id, and keep: (doc_id, row_hash) of the component's first row with an id, where there is a row_hash."""
+    row = F.struct("doc_id", "row_hash") if "row_hash" in prints.columns else F.struct("doc_id")
+    classes = prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("low"))
     links = materialize(fingerprint_links(classes.select("fp"), budget, cap), "simhash-links")
-    roots = components(links)
-    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = materialize(labelled.join(least, "root").select("fp", "component_id"), "simhash-labels")
+    labelled = classes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = labelled.groupBy("root").agg(F.min("low").alias("keep"))
+    by_print = materialize(labelled.join(least, "root").select("fp", "keep", F.col("keep.doc_id").alias("component_id")), "simhash-labels")
     return prints.join(by_print, "fp")
 
 
 def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """One document of each component, with all columns: the one with the smallest doc_id, once.
+    """One document of each component, with all columns: the one with the smallest (doc_id, row hash), once.
 
-    Rows without doc_id can't be told apart by name and stay.
+    Rows of one doc_id with different texts are told apart by a hash of the row. Rows without doc_id
+    can't be told apart by name and stay.
     """
-    found = simhash_components(docs, budget)
-    keepers = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keepers.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = materialize(docs.select("doc_id", F.xxhash64(*docs.columns).alias("row_hash"), fingerprint_udf("text").alias("fp")), "simhash")
+    keepers = _labelled(rows, budget, CAP).filter(F.struct("doc_id", "row_hash") == F.col("keep")).select("doc_id", F.col("row_hash").alias("_st_hash")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("_st_hash", F.xxhash64(*docs.columns))
+    named = named.join(keepers.hint("merge"), ["doc_id", "_st_hash"], "left_semi").dropDuplicates(["doc_id", "_st_hash"])
     return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))

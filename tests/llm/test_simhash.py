@@ -110,3 +110,16 @@ def test_keep_one_is_one_per_component(spark, data):
     kept = sorted(r[0] for r in simhash_trie.keep_one(docs).select("doc_id").collect())
     assert kept == sorted(r[0] for r in found.select("component_id").distinct().collect())
     assert simhash_trie.keep_one(docs).filter(F.col("text").isNull()).count() == 0
+
+
+def test_equal_ids_keep_their_own_texts(spark):
+    """Two texts under one doc_id are two documents; one near to nothing stays."""
+    docs = spark.createDataFrame([(5, "alpha beta gamma delta epsilon zeta"), (5, "completely other words stand in this one"), (6, "alpha beta gamma delta epsilon zeta")], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"][:5]) for r in simhash_trie.keep_one(docs).collect())
+    assert kept == [(5, "alpha"), (5, "compl")]
+
+
+def test_expand_pairs_in_pieces():
+    at_x, n_x, at_y, n_y = (np.array(v) for v in ([0, 3, 9], [3, 6, 1], [5, 0, 2], [2, 7, 1]))
+    got = sorted((i, j) for p in simhash_trie.expand_pairs(at_x, n_x, at_y, n_y, most=10) for i, j in zip(p[0].tolist(), p[1].tolist(), strict=True))
+    assert got == sorted((i, j) for a, n, b, m in zip(at_x, n_x, at_y, n_y, strict=True) for i in range(a, a + n) for j in range(b, b + m))
