@@ -24,7 +24,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the trie join on many prints, confirmed at a Jaccard of 0.8 on five words."""
     return near_copies.keep_one(docs)
 
 
@@ -41,8 +41,8 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", rules_stage),
     ("line dedup", lines_stage),
-    ("near-dedup", near_stage),
-    ("source mix", mix_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing sources", mix_stage),
     ("packing", pack_stage),
 ]
 #: Label model, balanced sampling and packing can't be said in SQL; the stages are tested against brute force.
