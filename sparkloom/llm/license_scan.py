@@ -1,15 +1,20 @@
 """License scans: sparse TF-IDF cosine against templates, then inheritance from the nearest directory.
 
-Every line of every whole text is a unit, and so is the text itself (a licence file). Units and
-templates are sparse TF-IDF vectors; the inverse document frequencies are those of the templates,
-and a term that no template has gets the highest. A line that reaches ``threshold`` gives its file that
-licence; a text that reaches it as a whole is a licence file and covers its directory. A file without own licence takes
-that of its nearest ancestor directory. DataFrame operations only.
+A text's units are its lines, its blocks (two or more lines between lines without terms, so a wrapped header or a paragraph),
+its leading comment (what comes before the first line of code, where the text starts with a comment sign) and the text itself.
+Units and templates are sparse TF-IDF vectors; the inverse document frequencies are those of the templates,
+and a term that no template has gets the highest. A unit that reaches ``threshold`` gives its file that licence; of several the
+one with the most matched weight (the unit's norm times the cube of the cosine), so a full text counts for more than a
+sentence in it, and a unit of little else for more than the same with code around it.
+
+A licence file covers its directory: one whose name says so (``NAMED``) and of which any unit reaches the threshold, or one that
+reaches it as a whole and is not source code by its suffix (``PROSE``). So a source file that holds little but a header covers nothing.
+A file without own licence takes that of its nearest ancestor directory. DataFrame operations only.
 
 Only units that can reach the threshold are split into rows of terms. The dot product with a template is a sum over a
-unit's tokens, and the unit's norm is at least that of its known terms together with one ``unseen`` weight for each token that no template has. Both
-are folded over the unit's own token array, first with the best weight that any template gives any token, then that token, then exactly; what stays below the
-threshold there stays below it in truth. So nothing is lost, and what is shuffled are the few units left.
+unit's tokens, and the unit's norm is at least that of its known terms together with one ``unseen`` weight for each token that no
+template has. Both are bounded over the unit's own token array, first by its length, then by the best weight that any template gives
+each token; what stays below the threshold there stays below it in truth. So nothing is lost, and what is shuffled are the few units left.
 
 Defined cases: null and empty texts have no licence of their own; a null path part is an empty name; ties go to the
 smaller licence name; equal rows get equal results; an empty table works; other columns are not read.
@@ -20,35 +25,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, materialize
+from .license_texts import TEMPLATES
 
 THRESHOLD = 0.6
-# Frequent words, the most frequent first; a look-up tries them first.
-FREQUENT = "the of and a in to is for by are or that it with as on this not you".split()
 TERM_RE = r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*"
-# Short notices of public licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+#: Names of licence files, and suffixes of files that are text and not code.
+NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([._-][^/]*)?$"
+PROSE = r"(?i)(^|/)[^/.]*$|\.(txt|md|rst|text)$"
+#: What a line of a leading comment starts with.
+COMMENT = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--|\"{3}|'{3})"
+#: Steps that the best gains are rounded up to; coarser steps only let more units through to the exact score.
+GAIN_STEP = 0.05
 
 
 def terms(text: str) -> list[str]:
@@ -70,17 +62,20 @@ class Model:
             norm = math.sqrt(sum(x * x for x in w.values()))
             self.weights += [(k, name, t, x / norm) for t, x in sorted(w.items())]
 
-    def gains(self) -> list[dict[str, float]]:
-        """For each template, what one more token of each of its terms adds to the dot product."""
-        out: dict[int, dict[str, float]] = {}
-        for k, _, t, x in self.weights:
-            out.setdefault(k, {})[t] = x * self.idf[t]
-        return list(out.values())
+    def most(self) -> dict[str, float]:
+        """What one more token of each term adds to the dot product with any template at most, rounded up to steps."""
+        out: dict[str, float] = {}
+        for _, _, t, x in self.weights:
+            out[t] = max(out.get(t, 0.0), x * self.idf[t])
+        return {t: math.ceil(x / GAIN_STEP) * GAIN_STEP for t, x in out.items()}
 
 
-def _table(values: dict[str, float]) -> Column:
-    order = sorted(values.items(), key=lambda p: (FREQUENT.index(p[0]) if p[0] in FREQUENT else len(FREQUENT), p[0]))
-    return F.create_map(*[F.lit(x) for pair in order for x in pair])
+def _level(term: Column, values: dict[str, float]) -> Column:
+    """A term's value; one set of terms for each of the few values."""
+    out = F.lit(0.0)
+    for value in sorted(set(values.values())):
+        out = F.when(term.isin([t for t, x in sorted(values.items()) if x == value]), F.lit(value)).otherwise(out)
+    return out
 
 
 def _once(value: Column) -> Column:
@@ -88,36 +83,54 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _dot(counts: str, values: dict[str, float]) -> Column:
-    """Sum of count * value over (term, n) pairs."""
-    table = _table(values)
-    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["n"] * F.coalesce(F.try_element_at(table, c["term"]), F.lit(0.0)))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _units() -> Column:
+    """Units of a row (terms and known by line, code: the first line of code or null): structs of id, terms, known.
+
+    Ids: lines from 0 up, -1 the text, -2 the leading comment, blocks from -3 down.
+    """
+
+    def unit(number: Column, first: Column, n: Column) -> Column:
+        part = lambda c: F.flatten(F.slice(c, first + 1, n))
+        return F.struct(number.cast("int").alias("line"), part("terms").alias("terms"), part("known").alias("known"))
+
+    n = F.size("terms")
+    empty = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.size(F.get("terms", k)) == 0)
+    edges = F.concat(F.array(F.lit(-1)), empty, F.array(n))
+    spans = F.transform(F.slice(edges, 2, F.size(edges)), lambda stop, k: F.struct((F.get(edges, k) + 1).alias("first"), (stop - F.get(edges, k) - 1).alias("n")))
+    blocks = F.filter(spans, lambda s: (s["n"] >= 2) & (s["n"] < n))
+    lead = F.when(F.col("code") >= 2, F.array(unit(F.lit(-2), F.lit(0), F.col("code")))).otherwise(F.array())
+    return F.concat(
+        F.array(unit(F.lit(-1), F.lit(0), n)), lead,
+        F.transform(blocks, lambda s, k: unit(-3 - k, s["first"], s["n"])),
+        F.transform("terms", lambda t, k: F.struct(k.cast("int").alias("line"), t.alias("terms"), F.get("known", k).alias("known"))),
+    )
 
 
 def able_units(texts: DataFrame, model: Model) -> DataFrame:
     """path, row_key, line (-1 for the whole text), terms of the units of ``texts`` (path, row_key, text) that may reach the threshold."""
-    per_line = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({TERM_RE})"), F.lit(1)))
-    split = texts.select("path", "row_key", _once(per_line).alias("terms"))
-    unit = lambda line, terms: F.struct(line.alias("line"), terms.alias("terms"), F.filter(terms, lambda t: t.isin(*model.idf)).alias("known"))
-    both = F.concat(F.array(unit(F.lit(-1), F.flatten("terms"))), F.transform("terms", lambda terms, k: unit(k, terms)))
-    units = split.select("path", "row_key", F.explode(both).alias("u")).select("path", "row_key", "u.line", "u.terms", "u.known")
-    gains, square = model.gains(), (model.threshold - 1e-6) ** 2  # scores are rounded
-    most = {t: max(g.get(t, 0.0) for g in gains) for t in model.idf}
-    strange = model.unseen**2 * (F.size("terms") - F.size("known"))
-    enough = lambda reach: reach * reach * (1 - square) >= square * strange
-    near = units.filter((F.size("known") > 0) & enough(F.size("known") * max(most.values(), default=0.0)))
+    lines = F.split("text", "\n")
+    per_line = F.transform(lines, lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({TERM_RE})"), F.lit(1)))
+    split = texts.select("path", "row_key", "text", _once(per_line).alias("terms"))
+    known = F.transform("terms", lambda t: F.filter(t, lambda x: x.isin(*model.idf)))
+    # the lines before the first that has terms and is no comment; all of them where there is none
+    code = F.array_position(F.transform(lines, lambda line: ~line.rlike(COMMENT) & line.rlike("[A-Za-z0-9]")), True)
+    code = F.when(F.ltrim("text").rlike(COMMENT), F.when(code > 0, code - 1).otherwise(F.size(lines))).cast("int")
+    split = split.select("path", "row_key", "terms", _once(known).alias("known"), code.alias("code")).filter(F.exists("known", lambda t: F.size(t) > 0))
+    most, square = model.most(), (model.threshold - 1e-6) ** 2  # scores are rounded
+    strange = lambda terms, known: model.unseen**2 * (F.size(terms) - F.size(known))
+    enough = lambda reach, extra: reach * reach * (1 - square) >= square * extra
+    long_enough = lambda u: (F.size(u["known"]) > 0) & enough(F.size(u["known"]) * max(most.values(), default=0.0), strange(u["terms"], u["known"]))
+    units = split.select("path", "row_key", F.explode(F.filter(_units(), long_enough)).alias("u")).select("path", "row_key", "u.line", "u.terms", "u.known")
+    reach = _sum(F.transform("known", lambda t: _level(t, most)))
+    near = units.select("*", _once(reach).alias("reach")).filter(enough(F.col("reach"), strange("terms", "known")))
     counts = F.transform(F.array_distinct("known"), lambda t: F.struct(t.alias("term"), F.size(F.filter("known", lambda x: x == t)).alias("n")))
-    near = near.select("*", _once(counts).alias("counts"))
-    near = near.select("*", _once(F.struct(_dot("counts", most).alias("reach"), _square_norm("counts", model.idf).alias("norm2"))).alias("b"))
-    near = near.filter(enough(F.col("b.reach")) & (F.col("b.reach") * F.col("b.reach") >= square * (F.col("b.norm2") + strange)))
-    fits = [_dot("counts", g) * _dot("counts", g) >= square * (F.col("b.norm2") + strange) for g in gains]
-    return near.filter(reduce(lambda a, b: a | b, fits)).select("path", "row_key", "line", "terms")
-
-
-def _square_norm(counts: str, idf: dict[str, float]) -> Column:
-    """Sum of (count * idf) squared over (term, n) pairs."""
-    table = _table(idf)
-    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + F.pow(c["n"] * F.try_element_at(table, c["term"]), F.lit(2.0)))
+    norm2 = _sum(F.transform(counts, lambda c: F.pow(c["n"] * _level(c["term"], model.idf), F.lit(2.0))))
+    near = near.select("*", _once(norm2).alias("norm2"))
+    return near.filter(F.col("reach") * F.col("reach") >= square * (F.col("norm2") + strange("terms", "known"))).select("path", "row_key", "line", "terms")
 
 
 def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
@@ -140,12 +153,11 @@ def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
     norms = vectors.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = vectors.join(weights, "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, unit).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= model.threshold)
-    # the best: highest score, then the smaller name (negated scores make it one minimum)
-    best = scores.groupBy("path", "row_key").agg(
-        F.min(F.when(F.col("line") >= 0, F.struct((-F.col("score")).alias("s"), "license"))).alias("own"),
-        F.min(F.when(F.col("line") < 0, F.struct((-F.col("score")).alias("s"), "license"))).alias("file"),
-    )
-    best = materialize(best, "license-best")
+    # the best: most matched weight, then the highest score, then the smaller name (negated, so that it is one minimum)
+    found = F.struct((-F.round(F.col("dot") * F.pow(F.col("dot") / F.col("norm"), F.lit(2.0)), 6)).alias("mass"), (-F.col("score")).alias("s"), "license")
+    best = scores.groupBy("path", "row_key").agg(F.min(found).alias("own"), F.min(F.when(F.col("line") == -1, found)).alias("whole"))
+    covering = F.when(F.col("path").rlike(NAMED), F.coalesce("whole", "own")).when(F.col("path").rlike(PROSE), F.col("whole"))
+    best = materialize(best.withColumn("file", covering), "license-best")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     covers = best.filter("file is not null").groupBy(folder.alias("dir")).agg(F.min("file").alias("file"))
@@ -160,7 +172,7 @@ def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows = named.select("path", "row_key", folder.alias("dir")).join(best, ["path", "row_key"], "left")
     rows = attach(rows, nearest, "dir", F.col("row_key"))
-    own, near = F.coalesce("own", "file"), F.col("near")
+    own, near = F.col("own"), F.col("near")
     return rows.select(
         "path", "row_key",
         F.coalesce(own["license"], near["license"]).alias("license"),

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -19,18 +21,41 @@ def slow_scan(files, model):
         bag = Counter(license_scan.terms(unit))
         x = {t: n * model.idf.get(t, model.unseen) for t, n in bag.items()}
         norm = math.sqrt(sum(v * v for v in x.values()))
-        scores = [(-round(sum(v * w.get(t, 0) for t, v in x.items()) / norm, 6), name) for (_, name), w in templates.items()] if norm else []
-        scores = [s for s in scores if -s[0] >= model.threshold]
+        dots = [(sum(v * w.get(t, 0) for t, v in x.items()), name) for (_, name), w in templates.items()] if norm else []
+        scores = [(-round(d * (d / norm) ** 2, 6), -round(d / norm, 6), name) for d, name in dots if round(d / norm, 6) >= model.threshold]
         return min(scores, default=None)
 
+    def units(text):
+        """Lines; runs of two or more lines with terms; the lines before the first line of code."""
+        lines = text.split("\n")
+        found, run = list(lines), []
+        for line in [*lines, ""]:
+            if re.search("[A-Za-z0-9]", line):
+                run.append(line)
+                continue
+            if 2 <= len(run) < len(lines):
+                found.append("\n".join(run))
+            run = []
+        if re.match(license_scan.COMMENT, text.lstrip(" ")):
+            head = []
+            for line in lines:
+                if re.search("[A-Za-z0-9]", line) and not re.match(license_scan.COMMENT, line):
+                    break
+                head.append(line)
+            if len(head) >= 2:
+                found.append("\n".join(head))
+        return found
+
     own, covers = {}, {}
     for path, text in files:
-        lines = [b for b in map(best, (text or "").split("\n")) if b]
+        parts = [b for b in map(best, units(text or "")) if b]
         whole = best(text or "")
-        own[path, text] = min(lines) if lines else whole
-        if whole:
+        own[path, text] = min([*parts, whole] if whole else parts, default=None)
+        named, name = re.search(r"(^|/)(license|licence|copying|unlicense|notice)([._-][^/]*)?$", path.lower()), path.rpartition("/")[2].lower()
+        cover = (whole or own[path, text]) if named else whole if "." not in name or name.endswith((".txt", ".md", ".rst", ".text")) else None
+        if cover:
             folder = path.rpartition("/")[0]
-            covers[folder] = min(covers.get(folder, whole), whole)
+            covers[folder] = min(covers.get(folder, cover), cover)
     out = []
     for path, text in files:
         found, origin, at = own[path, text], "own", None
@@ -43,7 +68,7 @@ def slow_scan(files, model):
                 if not folder:
                     break
                 folder = folder.rpartition("/")[0]
-        out.append((path, found[1] if found else None, -found[0] if found else None, origin, at))
+        out.append((path, found[2] if found else None, -found[1] if found else None, origin, at))
     return sorted(out, key=repr)
 
 
@@ -62,7 +87,7 @@ def scanned(df):
 def test_license_scan_against_brute_force(spark, prose):
     rnd = random.Random(2)
     notices = [t for _, t in license_scan.TEMPLATES]
-    files = FILES + [(f"r/{k % 5}/{k % 3}/f{k}", f"{p[:200]}\n{rnd.choice(notices)} {' '.join(p.split()[: rnd.randrange(6)])}\n{p[200:300]}") for k, p in enumerate(prose[:60])]
+    files = FILES + [(p, t) for p, t, *_ in planted()] + [(f"r/{k % 5}/{k % 3}/f{k}", f"{p[:200]}\n{rnd.choice(notices)} {' '.join(p.split()[: rnd.randrange(6)])}\n{p[200:300]}") for k, p in enumerate(prose[:60])]
     model = license_scan.Model()
     got = license_scan.license_scan(spark.createDataFrame(files, "path string, text string"))
     want = slow_scan(files, model)
@@ -71,6 +96,46 @@ def test_license_scan_against_brute_force(spark, prose):
     assert all(r[2] == pytest.approx(w[2], abs=2e-6) if r[2] is not None else w[2] is None for r, w in zip(rows, want, strict=True))
 
 
+def wrapped(text, width, sign=""):
+    """A text's paragraphs wrapped and put behind a comment sign."""
+    return "\n".join((f"{sign} {line}").rstrip() for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""])
+
+
+def planted():
+    """(path, text, licence, is a licence file): full texts with a holder, wrapped headers over code, tags."""
+    full = {name: max((t for n, t in license_scan.TEMPLATES if n == name), key=len) for name, _ in license_scan.TEMPLATES}
+    code = "\nimport sys\n\ndef run(a, b):\n    return a + b * 2\n"
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        text = wrapped(full[name].replace("Copyright (c)", "Copyright (c) 2019-2024 Some Holder and contributors"), 79)
+        yield f"{name}/LICENSE", text, name, True
+        yield f"{name}/LICENSE.md", wrapped(text, 60), name, True
+        yield f"{name}/head.c", f"/*\n{wrapped(text, 72, ' *')}\n */\nint main(void) {{ return 0; }}\n", name, False
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"):
+        for width in (50, 78):
+            yield f"src/{name}{width}.py", "# Copyright 2021 Some Holder\n#\n" + wrapped(full[name], width, "#") + code, name, False
+        yield f"only/{name}.py", wrapped(full[name], 70, "#"), name, False
+    yield "gpl/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Every word of the long text that follows here is left out.\n" * 400, "GPL-3.0", True
+    yield "asf/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n" + "some long text of terms\n" * 200, "Apache-2.0", True
+    for tag, name in (("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-2.0-only", "GPL-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("CC0-1.0", "CC0-1.0")):
+        yield f"tag/{tag}.rs", f"// SPDX-License-Identifier: {tag}\nfn main() {{}}\n", name, False
+
+
+def test_planted_licences(spark):
+    cases = list(planted())
+    rest = [(f"{p.rpartition('/')[0]}/deep/er/none.x", "no words of a licence") for p, *_ in cases]
+    files = [(p, t) for p, t, *_ in cases] + rest
+    rows = {r["path"]: r for r in license_scan.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [(p, rows[p]["license"], rows[p]["is_license_file"]) for p, *_ in cases] == [(p, n, f) for p, _, n, f in cases]
+    assert {(rows[p]["license"], rows[p]["origin"]) for p, _ in rest if p.startswith("MIT/")} == {("MIT", "inherited")}
+    assert {rows[p]["origin"] for p, _ in rest if p.startswith(("src/", "only/", "tag/"))} == {"none"}
+    assert rows["gpl/deep/er/none.x"]["license"] == "GPL-3.0"
+
+
+def test_an_unknown_tag_is_no_licence(spark):
+    files = spark.createDataFrame([("a.rs", "// SPDX-License-Identifier: Own-1.0\n")], "path string, text string")
+    assert license_scan.license_scan(files).first()["license"] is None
+
+
 def test_license_edges(spark):
     extra = spark.createDataFrame([(None, MIT, "d", 1), (None, None, "d", 1), ("a/b", "word " * 90_000 + "\n" + MIT, "d", 1)], "path string, text string, dir string, score int")
     got = {(r["path"], r["license"], r["origin"]) for r in license_scan.license_scan(extra).collect()}
@@ -120,6 +185,17 @@ def test_url_filter_against_brute_force(spark, digits):
     assert got == sorted((k, h, p, str(r), v) for k, h, p, r, v in want)
 
 
+def test_urls_and_rules_of_any_length(spark):
+    """Rules beyond any usual length, and urls as long, against the same plain rule."""
+    long = "/x" * 1051 + "/"
+    rules = [("net", long, "block"), ("a.net", long + "deeper/", "allow"), ("org", "/", "block")]
+    urls = [f"http://b.net{long}page", f"http://a.net{long}deeper/page", f"http://a.net{long}deep", f"http://net{long[:-1]}", "http://org/" + "y" * 50_000, f"http://{'s.' * 200}org/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.url_filter(pages, spark.createDataFrame([*rules, (None, "/", "block"), ("net", None, "block")], "host string, path string, action string")).collect()
+    got = [r["verdict"] for r in sorted(found, key=lambda r: r["page_id"])]
+    assert got == ["block", "allow", "block", "allow", "block", "block"]
+
+
 def test_url_filter_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     rules = spark.createDataFrame([], "host string, path string, action string")
