@@ -7,7 +7,8 @@ the longest wins (then the longer host, then block before allow).
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and gets
 ``default``; repeated rows are judged alike (each distinct host and path is judged once); empty
-tables of urls or rules work; other columns of the input are not read.
+tables of urls or rules work; urls and rules may be of any length; a rule without host or path fits nothing; other columns
+of the input are not read.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A path longer than this can't be named by a rule in whole; rules themselves may not be longer.
-MAX_RULE_PATH = 2048
 
 
 def _rest(url: str) -> Column:
@@ -47,17 +46,17 @@ def host_suffixes(host: Column) -> Column:
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_digits: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url); ``rules``: host, path, action."""
     rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "action").distinct()
-    # rule paths are at most MAX_RULE_PATH long, so this list is too
-    lengths = sorted(r[0] for r in rules.filter(F.length("rule_path") <= MAX_RULE_PATH).select(F.length("rule_path")).distinct().collect())
+    # one short list, whatever the number of urls and rules: the distinct lengths that rule paths have
+    lengths = sorted(r[0] for r in rules.filter("rule_path is not null").select(F.length("rule_path")).distinct().collect())
     rules = rules.withColumn("full", F.sha2(expression(F.col("rule_host"), F.col("rule_path")), 256)).withColumn("short", F.substring("full", 1, prefix_digits))
 
     rows = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
     places = rows.filter("host <> ''").select("host", "path").distinct()
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    within = F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
+    prefixes = F.transform(within, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expanded = (
         places.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("h"))
         .select("host", "path", "h", F.explode(prefixes).alias("p"))
-        .filter("p is not null")
         .select("host", "path", F.sha2(expression(F.col("h"), F.col("p")), 256).alias("digest"))
         .withColumn("short", F.substring("digest", 1, prefix_digits))
     )
@@ -67,6 +66,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
     )
     fits = expanded.join(rules, "short").filter(F.col("digest") == F.col("full"))
     best = fits.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    # Rows without a host fit no rule and never meet; those of one hot url are one row on the right, which skewed joins copy.
+    judged = rows.filter("host <> ''").join(best, ["host", "path"], "left").unionByName(rows.filter("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
