@@ -5,7 +5,8 @@ factor for all of them, the fractional part by a sample. The sample starts from
 inclusion probabilities and moves them through the null space of two constraints (words and
 documents), the largest unit first, until each is 0 or 1: the totals stay what they were. This runs
 in blocks of a source; the units that a block can't settle (two at most) meet in larger blocks, level by level,
-until one block per source lands its last and smallest units by the rounding nearest to the word total.
+until a source has one block: that lands its last and smallest units by the rounding nearest to the word total,
+whatever the size of the other sources.
 
 Blocks and random numbers come from hashes of the rows, so reruns agree.
 
@@ -111,8 +112,10 @@ def landing(size: np.ndarray, pi: np.ndarray) -> np.ndarray:
     return pi
 
 
-def _settle(seed: int, land: bool):
+def _settle(seed: int):
     def settle(block: pa.Table) -> pa.Table:
+        land = block["land"][0].as_py()
+        block = block.drop_columns("land")
         block = block.take(pc.sort_indices(block, sort_keys=[(c, "ascending") for c in ("row_hash", "size", "pi")]))
         row_hash, size = block["row_hash"].to_numpy(), block["size"].to_numpy()
         mix = [seed, *(int(x) & 0xFFFFFFFF for x in (block["block"][0].as_py(), row_hash[0], row_hash[-1]))]
@@ -128,24 +131,21 @@ def cube_sample(units: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFram
     """source, doc_id, row_hash, size, pi in {0, 1} for ``units`` with fractional pi; balanced in each source.
 
     Each level hashes the open units of a source into blocks of about ``block`` and settles all but two of
-    each block's; a source with one block lands. log(rows) levels, and each shuffles only what is still open.
+    each block's; a source with one block lands and is done. log(rows) levels, and each shuffles only what is still open.
     """
     done, level = None, 0
     open_ = units
     while True:
         counts = open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
-        deepest = counts.agg(F.max("blocks")).first()[0]
-        if deepest is None:
+        if counts.isEmpty():
             break
-        land = deepest <= 1
         spread = F.xxhash64("row_hash", "doc_id", "size", F.lit(seed + level))
         dealt = attach(open_, counts.select("source", "blocks"), "source", F.xxhash64("row_hash"))
-        dealt = dealt.withColumn("block", F.pmod(spread, F.col("blocks")).cast("long"))
-        settled = materialize(dealt.select("source", "block", "doc_id", "row_hash", "size", "pi").groupBy("source", "block").applyInArrow(_settle(seed + level, land), UNIT), "mix-level")
+        dealt = dealt.withColumn("block", F.pmod(spread, F.col("blocks")).cast("long")).withColumn("land", F.col("blocks") <= 1)
+        settled = dealt.select("source", "block", "doc_id", "row_hash", "size", "pi", "land").groupBy("source", "block").applyInArrow(_settle(seed + level), UNIT)
+        settled = materialize(settled, "mix-level")
         part = settled.filter("pi = 0 or pi = 1")
         done = part if done is None else done.unionByName(part)
-        if land:
-            break
         open_, level = settled.filter("pi > 0 and pi < 1").drop("block"), level + 1
     return (done if done is not None else units).select("source", "doc_id", "row_hash", "size", "pi")
 
@@ -170,8 +170,10 @@ def mix_sources(docs: DataFrame, row_hash: Column | None = None) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Equal rows are taken together."""
     key = F.xxhash64(*docs.columns)
-    taken = mix_sources(docs, key).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("_copies"))
-    once = docs.withColumn("_mix_row", key).dropDuplicates(["doc_id", "_mix_row"])
-    same = once["doc_id"].eqNullSafe(taken["doc_id"]) & (once["_mix_row"] == taken["row_hash"])
-    both = once.join(taken.filter("_copies > 0").hint("merge"), same).select(*[once[c] for c in docs.columns], "_copies")
-    return both.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
+    # plain keys without nulls, so that both steps share one shuffle of the texts
+    own, named = F.coalesce("doc_id", F.lit(-1)).cast("long"), F.col("doc_id").isNotNull()
+    taken = mix_sources(docs, key).groupBy(own.alias("_mix_id"), named.alias("_mix_named"), F.col("row_hash").alias("_mix_row")).agg(F.sum("copies").alias("_mix_copies"))
+    keys = ["_mix_id", "_mix_named", "_mix_row"]
+    once = docs.withColumns({"_mix_id": own, "_mix_named": named, "_mix_row": key}).dropDuplicates(keys)
+    both = once.join(taken.filter("_mix_copies > 0").hint("merge"), keys)
+    return both.withColumn("_mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))).select(docs.columns)

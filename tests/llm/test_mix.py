@@ -93,3 +93,20 @@ def test_targets_over_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == pytest.approx(slow_targets(sizes))
+
+
+def test_a_source_lands_alike_beside_larger_ones(spark):
+    """A source of one block is settled the same way whether or not another source has many blocks."""
+    small = [("small", k, 7 * k, 1 + k % 13, 0.4) for k in range(15)]
+    large = [("large", 100 + k, 11 * k, 1 + k % 29, 0.3) for k in range(400)]
+    schema = "source string, doc_id long, row_hash long, size long, pi double"
+    alone = sorted(tuple(r) for r in source_mix.cube_sample(spark.createDataFrame(small, schema), block=20).collect())
+    beside = sorted(tuple(r) for r in source_mix.cube_sample(spark.createDataFrame(small + large, schema), block=20).collect())
+    assert alone == [r for r in beside if r[0] == "small"] and len(beside) == 415
+    assert abs(sum(r[3] * r[4] for r in alone) - 0.4 * sum(r[3] for r in small)) < 1
+
+
+def test_mixed_shuffles_each_text_once(spark, edge_docs):
+    plan = source_mix.mixed(edge_docs)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(_mix_id" in x and "text" not in x for x in plan.split("\n")) <= 2
+    assert sorted(source_mix.mixed(edge_docs).columns) == sorted(edge_docs.columns)
