@@ -5,8 +5,8 @@ estimates how often each is right, and the posterior probability of good quality
 label of a linear scorer over hashed features (words, word shapes and repetitions). The scorer then judges
 every row by its words alone.
 
-The scorer is fitted on a bounded sample: the ``max_training_docs`` rows with the smallest row hash. Labellers'
-statistics, their estimate and the scores cover all rows.
+The scorer is fitted on a bounded sample: the ``max_training_docs`` distinct texts with the smallest hash, each
+once, however many copies it has. Labellers' statistics, their estimate and the scores cover all rows.
 
 Defined cases: null and empty texts have no votes and no features, so they score the bias and are not kept;
 rows are judged one by one, so repeated rows agree; an empty table gives an empty result; other columns are not read.
@@ -106,14 +106,16 @@ def _scored(weights: np.ndarray):
 
 def quality_classifier(docs: DataFrame, min_score: float = 0.5, max_training_docs: int = MAX_TRAINING_DOCS) -> DataFrame:
     """doc_id, score, kept for each row of ``docs`` (doc_id, text)."""
-    key = F.xxhash64("doc_id", "text")
+    key = F.xxhash64("text")
     votes = materialize(docs.select(key.alias("row_key"), text_stats("text")["votes"].alias("votes")), "classifier-votes")
     histogram = weak_supervision.vote_histogram(votes, "votes", len(RULES))
     model = weak_supervision.fit(histogram, len(RULES))
     spark = docs.sparkSession
     known = spark.createDataFrame([(p, model.posterior(p)) for p in sorted(histogram)], "votes string, posterior double")
-    sample = votes.orderBy("row_key").limit(max_training_docs).dropDuplicates(["row_key"]).join(F.broadcast(known), "votes")
-    picked = docs.withColumn("row_key", key).select("row_key", "text").join(F.broadcast(sample), "row_key")  # bounded by max_training_docs
+    distinct = votes.groupBy("row_key").agg(F.min("votes").alias("votes"))
+    sample = distinct.orderBy("row_key").limit(max_training_docs).join(F.broadcast(known), "votes")
+    # copies of a text collapse in each map task, so the driver gets max_training_docs rows at most
+    picked = docs.select(key.alias("row_key"), "text").join(F.broadcast(sample), "row_key").groupBy("row_key").agg(F.min("posterior").alias("posterior"), F.min("text").alias("text"))
     rows = picked.select("posterior", "text").mapInArrow(_featured, "posterior double, buckets array<int>, features array<float>")
     got = rows.toPandas()
     # order by content, so that reruns fit the same weights

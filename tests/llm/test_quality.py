@@ -1,5 +1,8 @@
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import pytest
 
@@ -99,3 +102,80 @@ def test_classifier_is_the_same_twice(spark, data):
     assert a == {r["doc_id"]: round(r["score"], 9) for r in quality_classifier.quality_classifier(docs.repartition(7)).collect()}
 
 
+
+
+def slow_model(votes, rules=7, rounds=50):
+    """The label model row by row, in plain loops."""
+    q = [(1 + v.count("g")) / (2 + v.count("g") + v.count("b")) for v in votes]
+    for _ in range(rounds):
+        good, bad = [], []
+        for k in range(rules):
+            said = [(p, v[k]) for p, v in zip(q, votes, strict=True) if v[k] != "-"]
+            good.append((8 + sum(p for p, x in said if x == "g")) / (10 + sum(p for p, _ in said)))
+            bad.append((8 + sum(1 - p for p, x in said if x == "b")) / (10 + sum(1 - p for p, _ in said)))
+        prior = (8 + sum(q)) / (10 + len(q))
+        chance = lambda v: prior * math.prod(g if x == "g" else 1 - g for x, g in zip(v, good, strict=True) if x != "-")
+        other = lambda v: (1 - prior) * math.prod(b if x == "b" else 1 - b for x, b in zip(v, bad, strict=True) if x != "-")
+        q = [chance(v) / (chance(v) + other(v)) for v in votes]
+    return q
+
+
+def test_verdicts_against_brute_force(spark, edge_docs, data):
+    """Posterior and verdict of every row against the label model run row by row."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").unionByName(edge_docs)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    votes = [quality_rules.measure(t)[-1] for _, t in texts]
+    want = sorted((str(d), p) for (d, _), p in zip(texts, slow_model(votes), strict=True))
+    rows = quality_rules.quality_rules(docs).collect()
+    got = sorted((str(r["doc_id"]), r["posterior"]) for r in rows)
+    assert [d for d, _ in got] == [d for d, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want], abs=1e-6)
+    assert all(r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5) for r in rows)
+
+
+def slow_features(text):
+    words = (text or "").split()
+    bags = Counter()
+    for w in words:
+        shape = re.sub("[0-9]+", "0", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", w)))
+        bags[zlib.crc32(b"w" + w.lower().encode()) % quality_classifier.FEATURES] += 1
+        bags[zlib.crc32(b"s" + shape.encode()) % quality_classifier.FEATURES] += 1
+    out = [(k, math.sqrt(n / len(words))) for k, n in sorted(bags.items())]
+    again = (len(words) - len(set(words))) / max(1, len(words))
+    return out + [(quality_classifier.REPEAT, math.sqrt(again)), (quality_classifier.FRESH, math.sqrt(1 - again))] if words else []
+
+
+def test_classifier_against_brute_force(spark):
+    """Votes, posteriors, features, fit and scores in plain loops over a small table."""
+    rnd = random.Random(6)
+    good = [" ".join(rnd.choice("the of and house river stone paper light water".split()) for _ in range(40)) + "." for _ in range(14)]
+    bad = [" ".join(rnd.choice(["BUY", "$$$", "NOW", "##", "WIN%"]) for _ in range(40)) for _ in range(8)]
+    texts = [*good, *bad, good[0], good[0], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    posterior = dict(zip(texts, slow_model([quality_rules.measure(t)[-1] for t in texts]), strict=True))
+    rows = [(slow_features(t), posterior[t]) for t in dict.fromkeys(texts)]
+    weights, past = Counter(), Counter()
+    for _ in range(150):
+        grad = Counter()
+        for found, p in rows:
+            miss = (1 / (1 + math.exp(-sum(weights[k] * x for k, x in found) - weights["bias"])) - p) / len(rows)
+            grad["bias"] += miss
+            for k, x in found:
+                grad[k] += miss * x
+        for k in set(grad) | set(weights):
+            g = grad[k] + 1e-5 * weights[k]
+            past[k] += g * g
+            weights[k] -= g / math.sqrt(1e-8 + past[k])
+    want = {k: 1 / (1 + math.exp(-sum(weights[b] * x for b, x in slow_features(t)) - weights["bias"])) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: r for r in quality_classifier.quality_classifier(docs).collect()}
+    assert {k: r["score"] for k, r in got.items()} == pytest.approx(want, abs=1e-4)
+    assert all(got[k]["kept"] == (bool(texts[k]) and want[k] >= 0.5) for k in want)
+
+
+def test_copies_do_not_crowd_the_sample(spark, prose, monkeypatch):
+    """The driver gets the bounded number of rows, each text once, however many copies there are."""
+    seen = []
+    train = quality_classifier.train
+    monkeypatch.setattr(quality_classifier, "train", lambda p, b, v: seen.append(len(p)) or train(p, b, v))
+    docs = spark.createDataFrame([(None, prose[0])] * 3000 + list(enumerate(prose)), "doc_id long, text string")
+    assert quality_classifier.quality_classifier(docs, max_training_docs=50).count() == docs.count()
+    assert seen == [50]
