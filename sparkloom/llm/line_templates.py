@@ -1,10 +1,11 @@
 """Line deduplication by a log-template tree.
 
 A line is parsed down a tree of fixed depth: its token count, then its leading tokens (tokens with
-a digit, an address or a link in them are variable and read ``<*>``). A leaf holds templates: the
-masked line itself, and the line with one of its fields generalised to ``<*>``, where the tokens after the
-leading ones are dealt into ``FIELDS`` fields. So lines that differ in variable tokens, or within one
-field (a fifth of the tokens at most), share a template.
+a digit, an address or a link in them are variable and read ``<*>``). The tokens after those are dealt into
+``FIELDS`` fields. A leaf holds templates: the line with all but ``KEPT`` of its fields generalised to ``<*>``, one for each
+choice of fields. So lines of one path that differ in variable tokens, or in up to FIELDS - KEPT fields, share
+a template; what they share is then half of their tokens at least, in place. A line of fewer than ``MIN_GENERAL`` tokens
+is its own only template, and one of fewer than ``MIN_MASKED`` is so with its variable tokens as they are.
 
 A template that recurs across documents is dropped: the document with the smallest doc_id keeps its
 lines, every other document loses them.
@@ -13,8 +14,8 @@ A template travels as a 96-bit digest; the digests are written once and read twi
 combines first, so a line that a third of all documents contain costs one row per task there; the
 join back to the documents' lines is one that Spark splits where it is skewed.
 
-Defined cases: null and empty texts have no lines and pass unchanged; lines of fewer than
-``MIN_TOKENS`` tokens are never dropped; rows with equal doc_id are one document, so a line that only they
+Defined cases: null and empty texts have no lines and pass unchanged; lines without tokens
+are never dropped; rows with equal doc_id are one document, so a line that only they
 share stays; rows without doc_id lose what a row with doc_id has, and keep what only such rows
 share; an empty table works; other columns pass through, whatever their names.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,36 +36,34 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-LEADING = 3
-FIELDS = 5
-MIN_TOKENS = 4
-MIN_GENERAL = 8
+LEADING = 1
+FIELDS, KEPT = 4, 2
+MIN_MASKED = 4
+MIN_GENERAL = 16
+CHOICES = tuple(combinations(range(FIELDS), KEPT))
 VARIABLE = b"<*>"
 _VARIABLE = re.compile(rb"[0-9@]|://|www\.")
 ROWS = "doc_id long, salt long, high long, low int"
 
 
 def templates(line: str) -> list[bytes]:
-    """Digests of the templates that one line belongs to; none for a short line."""
+    """Digests of the templates that one line belongs to; none for a line without tokens."""
     raw = line.encode("utf-8", "surrogatepass").lower()
     tokens = raw.split()
-    if _VARIABLE.search(raw):
-        tokens = [VARIABLE if _VARIABLE.search(t) else t for t in tokens]
     n = len(tokens)
-    if n < MIN_TOKENS:
+    if not n:
         return []
+    if n < MIN_MASKED:
+        return [xxhash.xxh3_128_digest(b"%d\0%s" % (n, b" ".join(tokens)))[:12]]
+    if _VARIABLE.search(raw):
+        tokens = [VARIABLE if _VARIABLE.search(t) else t for t in tokens]
     path = b"%d\0%s\0" % (n, b" ".join(tokens[:LEADING]))
     rest = tokens[LEADING:]
     if n < MIN_GENERAL:
         return [xxhash.xxh3_128_digest(path + b" ".join(rest))[:12]]
     cuts = [k * len(rest) // FIELDS for k in range(FIELDS + 1)]
     fields = [b" ".join(rest[at:to]) for at, to in zip(cuts, cuts[1:])]
-    found = [xxhash.xxh3_128_digest(path + b" ".join(fields))[:12]]
-    for k, field in enumerate(fields):
-        fields[k] = VARIABLE
-        found.append(xxhash.xxh3_128_digest(b"%s%d\0%s" % (path, k, b" ".join(fields)))[:12])
-        fields[k] = field
-    return found
+    return [xxhash.xxh3_128_digest(b"%s%d %d\0%s\0%s" % (path, i, j, fields[i], fields[j]))[:12] for i, j in CHOICES]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import random
+
 from sparkloom.llm import line_templates
 
 LINE = "please read the terms of use before you go on with the rest of this page today"
@@ -30,11 +32,13 @@ def test_templates_generalise_fields():
     base = set(line_templates.templates(LINE))
     assert base & set(line_templates.templates(LINE.replace("terms of", "rules of")))
     assert base & set(line_templates.templates(LINE.upper()))
-    assert not base & set(line_templates.templates(LINE.replace("terms", "rules").replace("today", "now")))
+    assert base & set(line_templates.templates(LINE.replace("terms", "rules").replace("today", "now")))  # two fields
+    assert not base & set(line_templates.templates(LINE.replace("read", "see").replace("before", "till").replace("today", "now")))  # three
     assert not base & set(line_templates.templates("and " + LINE))
     assert not base & set(line_templates.templates(LINE.replace("please", "kindly")))  # leading tokens are the path
     assert set(line_templates.templates("posted on 2024-01-02 by a@b.example to 17 readers")) & set(line_templates.templates("posted on 2023-11-30 by c@d.example to 9 readers"))
-    assert line_templates.templates("too short line") == []
+    assert line_templates.templates("Too short line") == line_templates.templates("too short  line") != line_templates.templates("too short text")
+    assert line_templates.templates("page 12") != line_templates.templates("page 13") and line_templates.templates(" \t") == []
 
 
 def test_against_brute_force(spark, prose):
@@ -61,3 +65,20 @@ def test_long_passages_that_repeat_are_caught(spark, prose):
     docs = [(k, f"{prose[k]}\n{passage}") for k in range(10, 20)]
     got = dict(cleaned(spark, docs))
     assert passage in got[10] and not any(passage in got[k] for k in range(11, 20)) and all(prose[k] in got[k] for k in range(10, 20))
+
+
+def test_recall_of_edited_passages(spark, prose):
+    """Planted passages of 60 words with up to four edited words: how many are caught in all documents but the first."""
+    rnd = random.Random(9)
+    docs, planted = [], {}
+    for k in range(100):
+        words = [f"p{chr(97 + k % 26)}{rnd.choice('xyz')}{w}" for w in prose[k].split()[:30] * 2]
+        docs.append((2 * k, f"{prose[k]}\n{' '.join(words)}"))
+        for _ in range(1 + k % 4):
+            words[rnd.randrange(60)] = "edited"
+        planted[2 * k + 1] = " ".join(words)
+        docs.append((2 * k + 1, f"{' '.join(reversed(prose[k].split()))}\n{planted[2 * k + 1]}"))
+    got = dict(cleaned(spark, docs))
+    caught = {edits: [planted[d] not in got[d] for d in planted if 1 + (d // 2) % 4 == edits] for edits in (1, 2, 3, 4)}
+    assert sum(caught[1]) >= 24 and sum(caught[2]) >= 23 and sum(caught[3]) >= 14
+    assert all("".join(text.split("\n")[0]) in got[d] for d, text in docs)
