@@ -11,14 +11,18 @@ def norm(t):
 
 
 def slow(rows):
+    """One row of each text stays, with the smallest doc_id; one without doc_id only where no other row has the text."""
     groups = {}
     for doc_id, text in rows:
         groups.setdefault(norm(text), []).append(doc_id)
-    out = []
+    out, stays = [], set()
     for doc_id, text in rows:
         ids = [d for d in groups[norm(text)] if d is not None]
         keep = min(ids) if ids else None
-        out.append((str(doc_id), str(keep), len(groups[norm(text)]), doc_id is not None and doc_id == keep))
+        kept = doc_id == keep and norm(text) not in stays
+        if kept:
+            stays.add(norm(text))
+        out.append((str(doc_id), str(keep), len(groups[norm(text)]), kept))
     return sorted(out)
 
 
@@ -71,3 +75,24 @@ def test_locator_names_the_kept_row(spark, tmp_path):
     for r in streaming_dedup.exact_dedup(spark, path).collect():
         row = spark.read.parquet(r["keep_file"]).select("doc_id", F.col("_metadata.row_index").alias("n")).filter(F.col("n") == r["keep_row"]).first()
         assert row["doc_id"] == r["keep_id"]
+
+
+def test_each_text_keeps_exactly_one_row(spark, tmp_path):
+    rows = [(7, "twice"), (7, "twice"), (8, "twice"), (None, "no id"), (None, "no  id"), (None, "twice"), (9, "alone"), (None, "alone too")]
+    found = streaming_dedup.exact_dedup(spark, written(spark, tmp_path, rows, files=4)).collect()
+    kept = [r for r in found if r["kept"]]
+    assert len(found) == 8 and sorted(str(r["doc_id"]) for r in kept) == ["7", "9", "None", "None"]
+    assert len({r["digest"] for r in kept}) == 4
+
+
+def test_salted_lookup_gives_the_same(spark, tmp_path, monkeypatch):
+    path = written(spark, tmp_path, ROWS, files=3)
+    attach = streaming_dedup.attach
+    monkeypatch.setattr(streaming_dedup, "attach", lambda *a, **k: attach(*a, broadcast_rows=0, **k))
+    assert got(streaming_dedup.exact_dedup(spark, path)) == slow(ROWS)
+
+
+def test_the_stream_leaves_the_callers_settings(spark, tmp_path):
+    before = {k: spark.conf.get(k, None) for k in streaming_dedup.STATE_CONF}
+    streaming_dedup.run_stream(spark, written(spark, tmp_path, ROWS[:5])).count()
+    assert {k: spark.conf.get(k, None) for k in streaming_dedup.STATE_CONF} == before
