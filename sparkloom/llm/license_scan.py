@@ -13,8 +13,9 @@ A file without own licence takes that of its nearest ancestor directory. DataFra
 
 Only units that can reach the threshold are split into rows of terms. The dot product with a template is a sum over a
 unit's tokens, and the unit's norm is at least that of its known terms together with one ``unseen`` weight for each token that no
-template has. Both are bounded over the unit's own token array, first by its length, then by the best weight that any template gives
-each token; what stays below the threshold there stays below it in truth. So nothing is lost, and what is shuffled are the few units left.
+template has. Both are taken over the unit's own token array, first by its length, then by the best weight that any template gives
+each token, then for each template; what stays below the threshold there stays below it in truth. So nothing is lost, and what is
+shuffled are the few units left.
 
 Defined cases: null and empty texts have no licence of their own; a null path part is an empty name; ties go to the
 smaller licence name; equal rows get equal results; an empty table works; other columns are not read.
@@ -22,8 +23,10 @@ smaller licence name; equal rows get equal results; an empty table works; other
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +44,7 @@ PROSE = r"(?i)(^|/)[^/.]*$|\.(txt|md|rst|text)$"
 COMMENT = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--|\"{3}|'{3})"
 #: Steps that the best gains are rounded up to; coarser steps only let more units through to the exact score.
 GAIN_STEP = 0.05
+BUCKETS = 1024
 
 
 def terms(text: str) -> list[str]:
@@ -69,6 +73,17 @@ class Model:
             out[t] = max(out.get(t, 0.0), x * self.idf[t])
         return {t: math.ceil(x / GAIN_STEP) * GAIN_STEP for t, x in out.items()}
 
+    def gains(self) -> str:
+        """JSON of a hash table, ``BUCKETS`` lists of (term, what one more token of it adds to the dot product with each template)."""
+        width = 1 + max((k for k, *_ in self.weights), default=-1)
+        rows: dict[str, list[float]] = {}
+        for k, _, t, x in self.weights:
+            rows.setdefault(t, [0.0] * width)[k] = x * self.idf[t]
+        table: list[list[dict]] = [[] for _ in range(BUCKETS)]
+        for t, w in sorted(rows.items()):
+            table[zlib.crc32(t.encode()) % BUCKETS].append({"t": t, "w": w})
+        return json.dumps(table)
+
 
 def _level(term: Column, values: dict[str, float]) -> Column:
     """A term's value; one set of terms for each of the few values."""
@@ -128,9 +143,23 @@ def able_units(texts: DataFrame, model: Model) -> DataFrame:
     reach = _sum(F.transform("known", lambda t: _level(t, most)))
     near = units.select("*", _once(reach).alias("reach")).filter(enough(F.col("reach"), strange("terms", "known")))
     counts = F.transform(F.array_distinct("known"), lambda t: F.struct(t.alias("term"), F.size(F.filter("known", lambda x: x == t)).alias("n")))
-    norm2 = _sum(F.transform(counts, lambda c: F.pow(c["n"] * _level(c["term"], model.idf), F.lit(2.0))))
-    near = near.select("*", _once(norm2).alias("norm2"))
-    return near.filter(F.col("reach") * F.col("reach") >= square * (F.col("norm2") + strange("terms", "known"))).select("path", "row_key", "line", "terms")
+    norm2 = _sum(F.transform("counts", lambda c: F.pow(c["n"] * _level(c["term"], model.idf), F.lit(2.0))))
+    near = near.select("*", _once(counts).alias("counts")).select("*", _once(norm2).alias("norm2"))
+    near = near.filter(F.col("reach") * F.col("reach") >= square * (F.col("norm2") + strange("terms", "known")))
+    best = near.select("*", _once(F.array_max(_dots("counts", model))).alias("best"))
+    return best.filter(F.col("best") * F.col("best") >= square * (F.col("norm2") + strange("terms", "known"))).select("path", "row_key", "line", "terms")
+
+
+def _dots(counts: str, model: Model) -> Column:
+    """The dot product with each template of (term, n) pairs; each term is looked up once."""
+    table = F.from_json(F.lit(model.gains()), "array<array<struct<t: string, w: array<double>>>>")
+    width = 1 + max((k for k, *_ in model.weights), default=-1)
+
+    def gain(term: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int"))
+        return F.get(F.filter(bucket, lambda e: e["t"] == term), F.lit(0))["w"]
+
+    return F.aggregate(counts, F.array_repeat(F.lit(0.0), width), lambda acc, c: F.zip_with(acc, gain(c["term"]), lambda a, w: a + c["n"] * w))
 
 
 def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
