@@ -32,6 +32,8 @@ from .components import components
 BITS = 64
 STEP = 2
 CAP = 8192
+#: Node pairs that are walked at once: some 10 MB of indices.
+PIECE = 20_000
 SHINGLE = 3
 SEED = 42
 
@@ -105,8 +107,8 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int) -> tuple
         differing = np.bitwise_count((left[a0] ^ right[b0]) >> shift)
         live = differing <= budget
         a0, a1, b0, b1 = (x[live] for x in (a0, a1, b0, b1))
-        for at in range(0, len(a0), 500_000):  # bounded pieces, depth first
-            frontier.append(tuple(x[at : at + 500_000] for x in (a0, a1, b0, b1)))
+        for at in range(0, len(a0), PIECE):  # bounded pieces, depth first
+            frontier.append(tuple(x[at : at + PIECE] for x in (a0, a1, b0, b1)))
     if not found_a:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
@@ -176,7 +178,7 @@ def hamming(x: Column, y: Column) -> Column:
     return F.bit_count(x.bitwiseXOR(y))
 
 
-def expand_pairs(at_x: np.ndarray, n_x: np.ndarray, at_y: np.ndarray, n_y: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def expand_pairs(at_x: np.ndarray, n_x: np.ndarray, at_y: np.ndarray, n_y: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the blocks [at_x, at_x + n_x) x [at_y, at_y + n_y), in pieces of bounded size (a larger block comes in rows)."""
     big = n_x * n_y > most
     for k in np.flatnonzero(big):
