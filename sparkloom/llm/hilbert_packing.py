@@ -40,7 +40,7 @@ TOKENS = "doc_id long, tie long, key long, start long, length long, tokens long,
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Text that is tokenised at a time, in bytes; a longer document is a slice of its own.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 #: Word parts that go to the tokenizer in one text, and that a Python worker remembers; when full, it starts anew.
 PARTS_PER_TEXT = 500
 CACHE_PARTS = 500_000
