@@ -10,8 +10,17 @@ from .graph import cut
 
 K1, B = 1.2, 0.75
 # Words that queries drop, and terms that are searched whole though short.
-STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-COMPLETE_WORDS = frozenset("api app bug cli css dev doc env fix git html http json key log map npm run sdk set sql ssh test text type url user view web xml yaml".split())
+STOP_WORDS = frozenset((
+    "a an the is are was were be been being have has had do does did will would could should may might must shall can need dare ought used to of "
+    "in for on with at by from as into through during before after above below between and but or nor so yet both either neither not only own "
+    "same than too very just i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it "
+    "its itself they them their theirs themselves what which who whom this that these those when where why how all each every any some go went "
+    "gone going get got getting "
+).split())
+COMPLETE_WORDS = frozenset((
+    "test tests code file files data type types user users name names time date error errors list array object class function method string "
+    "number boolean null undefined true false return async await import export default const let var docker build deploy api rest http json sql "
+).split())
 
 
 def tokens(text: Column) -> Column:

@@ -157,3 +157,11 @@ def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 10_000)
     else:
         raise RuntimeError(f"greedy_degree_cap did not settle in {max_rounds} rounds")
     return taken if taken is not None else pairs.select("a", "b", "score").limit(0)
+
+
+def neighbours(edges: DataFrame, nodes: list[int], side: str = "both", types: list[str] | None = None) -> DataFrame:
+    """(at, node, relation_type, side) of the stated ``nodes`` along edges (source_id, target_id, relation_type) of the given types."""
+    chosen = edges.filter(F.col("relation_type").isin(types)) if types else edges
+    out = chosen.filter(F.col("source_id").isin(nodes)).select(F.col("source_id").alias("at"), F.col("target_id").alias("node"), "relation_type", F.lit("out").alias("side"))
+    back = chosen.filter(F.col("target_id").isin(nodes)).select(F.col("target_id").alias("at"), F.col("source_id").alias("node"), "relation_type", F.lit("in").alias("side"))
+    return {"out": out, "in": back, "both": out.unionByName(back)}[side]

@@ -47,16 +47,19 @@ def fts_multi_query_max(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", score.alias("score")).filter("score > 0")
 
 
-@query("select doc_id, regexp_replace(substr(text, 1, 120), '(?i)\\b(of|the)\\b', '<mark>\\1</mark>', 'g') as marked from documents where regexp_matches(substr(text, 1, 120), '(?i)\\b(of|the)\\b')")
+_HIGHLIGHT = "select doc_id, regexp_replace(text, '(?i)\\b(of|the)\\b', '<mark>\\1</mark>', 'g') as marked from documents where regexp_matches(text, '(?i)\\b(of|the)\\b')"
+
+
+@query(_HIGHLIGHT)
 def fts_highlight(spark, sf_dir):
-    head = F.substring("text", 1, 120)
-    return _docs(spark, sf_dir).filter(head.rlike(r"(?i)\b(of|the)\b")).select("doc_id", fulltext.highlight(head, ["the", "of"]).alias("marked"))
+    """Matches marked in whole texts."""
+    return _docs(spark, sf_dir).filter(F.col("text").rlike(r"(?i)\b(of|the)\b")).select("doc_id", fulltext.highlight(F.col("text"), ["the", "of"]).alias("marked"))
 
 
-@query("select doc_id, regexp_replace(text, '(?i)\\b(of|the)\\b', '<mark>\\1</mark>', 'g') as marked from documents where regexp_matches(text, '(?i)\\b(of|the)\\b')")
+@query(_HIGHLIGHT)
 def fts_highlight_whole(spark, sf_dir):
-    """The search of ``fts_highlight``, whose SQL takes the first 120 characters, over whole texts."""
-    return _docs(spark, sf_dir).filter(F.col("text").rlike(r"(?i)\b(of|the)\b")).select("doc_id", fulltext.highlight(F.col("text"), ["the", "of"]).alias("marked"))
+    """The same under the name it had while ``fts_highlight`` took heads of texts only."""
+    return fts_highlight(spark, sf_dir)
 
 
 @query(f"with {_WORDS}, t as (select doc_id, len(w) as doc_len, unnest(w) as term from words) select term, count(distinct doc_id) as docs, count(*) as uses from t group by 1 having count(distinct doc_id) >= 20")
