@@ -5,7 +5,7 @@ from sparkloom.operators import commands, fulltext
 from sparkloom.plans import ranking_queries as ranking
 
 SAID = {
-    "start a new session on the parser": ("session_start", 1), "begin working on the parser": ("session_start", 1), "I'm done with this": ("session_end", 1), "Task: fix the build": ("episode_begin", 1),
+    "start a new session on the parser": ("session_start", 1), "begin working on the parser": ("session_start", 2), "I'm done with this": ("session_end", 1), "Task: fix the build": ("episode_begin", 1),
     "log: tests are green": ("episode_log", 1), "outcome: all good": ("episode_complete", 1), "what happened during the build": ("episode_query", 1),
     "learn experience: retry first": ("learn_experience", 1), "never learn experience: x": ("store", 1), "Rule: no tabs": ("store", 1), "find the notes on caches": ("retrieve", 1),
     "How do we deploy?": ("retrieve", 3), "forget the old plan": ("forget", 1), "clear everything": ("forget", 1), "episode: new one": ("episode_begin", 1), "  can it run": ("retrieve", 0), "plain words": ("unknown", 0), "": ("unknown", 0),
