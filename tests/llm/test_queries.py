@@ -42,7 +42,7 @@ def test_pipeline(spark, data):
         sizes.append(docs.count())
         if name == "line dedup":
             assert sizes[-1] == sizes[-2]
-        elif name != "source mix":
+        elif name != "mixing sources":
             assert 0 < sizes[-1] < sizes[-2]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert pieces.filter("start = 0").count() == sizes[-1]
