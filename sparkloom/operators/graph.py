@@ -77,18 +77,72 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def ancestors(parents: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(node, ancestor, depth) of a parent table (node, parent); cycles stop at ``max_depth``."""
-    step = cut(parents.filter("parent is not null").select("node", F.col("parent").alias("ancestor")))
-    up, out, depth = step, step.withColumn("depth", F.lit(1)), 1
-    while depth < max_depth:
-        depth += 1
-        one = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-        up = cut(up.join(one, "ancestor").select("node", F.col("next").alias("ancestor")))
-        if up.isEmpty():
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of a parent table (node, parent), each ancestor once at its smallest depth, however far up it is.
+
+    Each round doubles the reach: whoever is exactly 2^k above a node brings all of its own known ancestors along.
+    On a cycle a node becomes its own ancestor and the walk ends there, since a round without new pairs is the last.
+    """
+    known = cut(parents.filter("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    reach = 1
+    while True:
+        top = known.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"), F.col("depth").alias("below"))
+        above = known.select(F.col("node").alias("via"), "ancestor", F.col("depth").alias("above"))
+        far = top.join(above, "via").groupBy("node", "ancestor").agg(F.min(F.col("below") + F.col("above")).alias("depth"))
+        new = cut(far.join(known, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, reach = cut(known.unionByName(new)), reach * 2
+
+
+def _settled(step, rows: DataFrame) -> DataFrame:
+    """``step`` applied until the number of rows no longer falls."""
+    n = rows.count()
+    while n:
+        rows = cut(step(rows))
+        left = rows.count()
+        if left == n:
             break
-        out = out.unionByName(up.withColumn("depth", F.lit(depth)))
-    return out
+        n = left
+    return rows
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node): the nodes that lie on a directed cycle of any length, in rounds of joins.
+
+    Edges that nothing enters or leaves go first. Then each node takes the largest id among those that reach it; of the nodes
+    with one such id, those that reach it back are its cycle class. The classes go, and the rest is looked at again.
+    """
+    all_edges = directed(edges, "forward")
+    loops = all_edges.filter("a = b").select(F.col("a").alias("node"))
+    found = cut(loops)
+
+    def trim(e: DataFrame) -> DataFrame:
+        return e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+
+    rest = cut(all_edges.filter("a <> b"))
+    while True:
+        rest = _settled(trim, rest)
+        if rest.isEmpty():
+            return found.distinct()
+        colour = cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            best = rest.join(colour, F.col("a") == F.col("node")).groupBy("b").agg(F.max("colour").alias("best"))
+            new = cut(colour.join(best, F.col("node") == F.col("b"), "left").select("node", F.greatest("colour", F.coalesce("best", "colour")).alias("colour"), F.col("colour").alias("was")))
+            colour = new.select("node", "colour")
+            if new.filter("colour <> was").isEmpty():
+                break
+        own = colour.select(F.col("node").alias("a"), F.col("colour").alias("ca"))
+        inner = cut(rest.join(own, "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b"))
+        seen = front = cut(colour.filter("node = colour").select("node"))
+        while not front.isEmpty():
+            front = cut(inner.join(front, F.col("b") == F.col("node")).select(F.col("a").alias("node")).distinct().join(seen, "node", "left_anti"))
+            seen = cut(seen.unionByName(front))
+        # a root alone is on no cycle: one that is has a neighbour in its class
+        classes = inner.join(seen, F.col("b") == F.col("node"), "left_semi").join(seen, F.col("a") == F.col("node"), "left_semi")
+        found = cut(found.unionByName(classes.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        gone = seen.withColumnRenamed("node", "a")
+        rest = cut(rest.join(gone, "a", "left_anti").join(seen.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
@@ -121,6 +175,64 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return inside / total - (ends.agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0) / (4 * total * total)
 
 
+def _quality(links: DataFrame, labels: DataFrame, double_total: float) -> float:
+    """Modularity of ``labels`` over a symmetric adjacency (a, b, w) whose weights sum to ``double_total``."""
+    both = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
+    sums = both.groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("total"))
+    value = sums.agg(F.sum(F.col("inside") / double_total - F.pow(F.col("total") / double_total, 2))).first()[0]
+    return value or 0.0
+
+
+def _moved(links: DataFrame, labels: DataFrame, degrees: DataFrame, double_total: float, turn: int) -> DataFrame:
+    """Labels after half of the nodes went to the neighbouring community of the largest gain in modularity."""
+    near = links.filter("a <> b").join(labels.toDF("b", "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+    stay = labels.select(F.col("node").alias("a"), F.col("community").alias("c"), F.lit(0.0).alias("w"))
+    options = near.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w"))
+    totals = labels.join(degrees, "node").groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("total"))
+    rows = options.join(totals, "c").join(degrees.toDF("a", "k"), "a").join(labels.toDF("a", "own"), "a")
+    gain = F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / double_total
+    best = rows.withColumn("gain", F.round(gain, 9)).groupBy("a", "own").agg(
+        F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here")
+    )
+    may = (F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.gain") > F.col("here"))
+    return best.select(F.col("a").alias("node"), F.when(may, -F.col("best.c")).otherwise(F.col("own")).alias("community"))
+
+
+def modularity_communities(edges: DataFrame, quiet: int = 4) -> DataFrame:
+    """(node, community) by modularity moves over weighted edges (source_id, target_id, weight); a community is named after its smallest node.
+
+    In each round a hashed half of the nodes moves to the neighbouring community of the largest gain, so two nodes don't swap
+    for ever; a round that does not raise the modularity is taken back, and after ``quiet`` of those the communities become the
+    nodes of the next level. Levels end when nothing merges, so modularity never falls. Repeated edges add up; loops count once.
+    """
+    links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("weight").cast("double").alias("w"))
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    links = cut(links.groupBy("a", "b").agg(F.sum("w").alias("w")))
+    of = cut(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    double_total = links.agg(F.sum("w")).first()[0] or 0.0
+    turn = 0
+    while double_total:
+        degrees = cut(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+        labels = cut(degrees.select("node", F.col("node").alias("community")))
+        quality, still = _quality(links, labels, double_total), 0
+        while still < quiet:
+            turn += 1
+            new = cut(_moved(links, labels, degrees, double_total, turn))
+            now = _quality(links, new, double_total)
+            if now > quality + 1e-9:
+                labels, quality, still = new, now, 0
+            else:
+                still += 1
+        if labels.filter("node <> community").isEmpty():
+            break
+        names = labels.groupBy("community").agg(F.min("node").alias("name"))
+        labels = cut(labels.join(names, "community").select("node", F.col("name").alias("community")))
+        of = cut(of.join(labels.toDF("community", "next"), "community").select("node", F.col("next").alias("community")))
+        shrunk = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
+        links = cut(shrunk.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    return of
+
+
 def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 10_000) -> DataFrame:
     """Pairs (a, b, score) taken from the best down while both ends have fewer than ``cap``.
 

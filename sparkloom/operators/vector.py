@@ -47,26 +47,52 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     holds more than two blocks, and only pairs above the threshold leave it.
     """
     n = vectors.count()
-    blocks = max(1, math.ceil(n / block))
-    rows = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = rows.select("vec_id", "v", "own", other.alias("other")).select("vec_id", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    dealt = _dealt(vectors.withColumn("blocks", F.lit(max(1, math.ceil(n / block)))), [])
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left, right = group[group["own"] == i], group[group["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-        unit = lambda g: (m := np.array(g["v"].tolist(), dtype=float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sims = unit(left) @ unit(right).T
-        x, y = np.nonzero(sims >= threshold)
-        a, b = left["vec_id"].to_numpy()[x], right["vec_id"].to_numpy()[y]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(sims[x, y][keep], 6)})
+        a, b, sims = _met(group, threshold)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.round(sims, 6)})
 
     return dealt.groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 
 
+def _dealt(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Each vector (vec_id, v, blocks) once for each block that its own one meets: i and j are the pair of blocks, own its own."""
+    rows = vectors.select(*keys, "vec_id", "v", "blocks", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("own"))
+    dealt = rows.select(*keys, "vec_id", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(*keys, "vec_id", "v", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "own")
+
+
+def _met(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and cosines of the pairs of one pair of blocks, each pair once."""
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    left, right = group[group["own"] == i], group[group["own"] == j]
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    unit = lambda g: (m := np.array(g["v"].tolist(), dtype=float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sims = unit(left) @ unit(right).T
+    x, y = np.nonzero(sims >= threshold)
+    a, b = left["vec_id"].to_numpy()[x], right["vec_id"].to_numpy()[y]
+    keep = a < b if i == j else a != b
+    return a[keep], b[keep], sims[x, y][keep]
+
+
+def cohesion(vectors: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """(key, pairs, mean, low, high) of the cosines inside each group: only sums leave a task, and a large group is many tasks."""
+    sizes = vectors.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = _dealt(vectors.join(sizes, key), [key])
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        sims = np.round(_met(group, -2.0)[2], 6)
+        n = len(sims)
+        return pd.DataFrame({key: [group[key].iloc[0]], "n": [n], "s": [sims.sum()], "low": [sims.min() if n else None], "high": [sims.max() if n else None]})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    parts = dealt.groupBy(key, "i", "j").applyInPandas(sums, f"{key} {kind}, n long, s double, low double, high double")
+    by = parts.groupBy(key).agg(F.sum("n").alias("pairs"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return by.filter("pairs > 0").select(key, "pairs", (F.col("s") / F.col("pairs")).alias("mean"), "low", "high")
+
+
 def nearest_edges(vectors: DataFrame, threshold: float, cap: int = 5) -> DataFrame:
     """(a, b, score): ``greedy_degree_cap`` of the similar pairs, where equal vectors cost no pairs and no rounds.
 

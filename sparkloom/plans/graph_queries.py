@@ -103,6 +103,14 @@ def blocker_cycles(spark, sf_dir):
     return found.distinct()
 
 
+@query(sql("""+blk as (select distinct source_id as a, target_id as b from relations where relation_type in ('depends_on', 'related_to')),
+r as (select a as start, b as node from blk union select start, b from r join blk on node = a)
+select distinct start as node from r where node = start""", "relations"))
+def cycle_nodes(spark, sf_dir):
+    """Nodes that block themselves over any number of steps."""
+    return graph.on_cycles(views.relations(spark, sf_dir).filter("relation_type in ('depends_on', 'related_to')"))
+
+
 @query(sql("""select relation_type, count(*) as n, count(distinct source_id) as sources, count(distinct target_id) as targets from relations group by 1""", "relations"))
 def relation_stats(spark, sf_dir):
     by = views.relations(spark, sf_dir).groupBy("relation_type")
@@ -123,3 +131,14 @@ def communities(spark, sf_dir):
 
     pairs = vector.similar_pairs(views.vectors(spark, sf_dir), 0.3)
     return graph.communities(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")))
+
+
+@query()
+def communities_modularity(spark, sf_dir):
+    """Communities of similar vectors of three nodes or more, by modularity moves, each with its size; tests check planted groups."""
+    from ..operators import vector
+
+    pairs = vector.similar_pairs(views.vectors(spark, sf_dir), 0.3)
+    labels = graph.modularity_communities(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")))
+    sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("members")).filter("members >= 3")
+    return labels.join(sizes, "community").select("node", "community", "members")

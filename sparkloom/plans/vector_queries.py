@@ -63,14 +63,8 @@ def centroids(spark, sf_dir):
 @query(sql(f"+{_PAIRS}, l as (select p.similarity, x.label from pairs p join vectors x on x.vec_id = a join vectors y on y.vec_id = b and x.label = y.label) select label, count(*) as pairs, round(avg(similarity), 6) as mean, least(1.0, min(similarity)) as low, greatest(0.0, max(similarity)) as high from l group by 1", "vectors"))
 def cohesion(spark, sf_dir):
     """Pairwise similarity inside each label."""
-    rows = views.vectors(spark, sf_dir)
-    pairs = vector.similar_pairs(rows, -1.0)
-    x = rows.select(F.col("vec_id").alias("a"), "label")
-    y = rows.select(F.col("vec_id").alias("b"), F.col("label").alias("other"))
-    same = pairs.join(x, "a").join(y, "b").filter("label = other")
-    return same.groupBy("label").agg(
-        F.count(F.lit(1)).alias("pairs"), F.round(F.avg("similarity"), 6).alias("mean"), F.least(F.lit(1.0), F.min("similarity")).alias("low"), F.greatest(F.lit(0.0), F.max("similarity")).alias("high")
-    )
+    found = vector.cohesion(views.vectors(spark, sf_dir), "label")
+    return found.select("label", "pairs", F.round("mean", 6).alias("mean"), F.least(F.lit(1.0), "low").alias("low"), F.greatest(F.lit(0.0), "high").alias("high"))
 
 
 _CODES = "list_transform(v, lambda x: floor((least(1.0, greatest(-1.0, x)) + 1.0) / 2.0 * 255 + 0.5))"
