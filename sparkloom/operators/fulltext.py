@@ -65,6 +65,17 @@ def highlight(text: Column, terms: list[str]) -> Column:
     return F.regexp_replace(text, rf"(?i)\b({'|'.join(sorted(terms))})\b", "<mark>$1</mark>") if terms else text
 
 
+def snippet(text: Column, terms: list[str], size: int = 32, before: int = 8) -> Column:
+    """``size`` words around the first word with a term in it, such words marked; dots stand for what is cut off. Null without a match."""
+    edge = r"[^a-z0-9à-öø-ÿ]"
+    hit = lambda w: F.lower(w).rlike(f"(^|{edge})({'|'.join(sorted(terms))})({edge}|$)")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = F.array_position(F.transform(words, hit), True)
+    start = F.greatest(at - before, F.lit(1)).cast("int")
+    shown = F.array_join(F.transform(F.slice(words, start, size), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+    return F.when(at > 0, F.concat(F.when(start > 1, "... ").otherwise(""), shown, F.when(start + size <= F.size(words), " ...").otherwise("")))
+
+
 def expand(queries: DataFrame, synonyms: DataFrame, most: int = 3) -> DataFrame:
     """(id, expanded, confidence): each query (id, text) with one word replaced by one of its synonyms (word, place, of, synonym).
 

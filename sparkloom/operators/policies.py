@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How much each entry type counts under each intent, and the share of semantic score in a hybrid.
@@ -96,3 +96,41 @@ def compression_level(tokens: Column, low: int = 1500, high: int = 3000) -> Colu
 def promoted(level: Column) -> Column:
     """The next level of an experience: a case becomes a strategy, a strategy a skill; null beyond."""
     return F.when(level == "case", "strategy").when(level == "strategy", "skill")
+
+
+# How complex each intent is, what that multiplies the budget by, and each type's share of the budget.
+COMPLEXITY = {"debug": "complex", "how_to": "moderate", "compare": "moderate", "configure": "moderate", "lookup": "simple", "explore": "simple"}
+MULTIPLIERS = {"simple": 1.0, "moderate": 2.0, "complex": 4.0}
+BUDGET_SHARES = {
+    "debug": {"guideline": 0.2, "knowledge": 0.3, "tool": 0.2, "experience": 0.3},
+    "how_to": {"guideline": 0.3, "knowledge": 0.25, "tool": 0.25, "experience": 0.2},
+    "compare": {"guideline": 0.25, "knowledge": 0.35, "tool": 0.2, "experience": 0.2},
+    "configure": {"guideline": 0.25, "knowledge": 0.25, "tool": 0.35, "experience": 0.15},
+    "lookup": {"guideline": 0.2, "knowledge": 0.5, "tool": 0.15, "experience": 0.15},
+    "explore": {"guideline": 0.25, "knowledge": 0.35, "tool": 0.2, "experience": 0.2},
+}
+BASE_BUDGET, MOST_BUDGET, RESERVE, ENTRY_TOKENS = 2000, 8000, 0.2, 200
+
+
+def allocations() -> list[tuple[str, str, str, int, int]]:
+    """(intent, complexity, entry_type, tokens, entries at most) of every intent and type."""
+    out = []
+    for intent, shares in BUDGET_SHARES.items():
+        effective = int(min(BASE_BUDGET * MULTIPLIERS[COMPLEXITY[intent]], MOST_BUDGET) * (1 - RESERVE))
+        out += [(intent, COMPLEXITY[intent], kind, int(effective * w), max(1, int(effective * w) // ENTRY_TOKENS)) for kind, w in shares.items()]
+    return out
+
+
+def within_budget(rows: DataFrame, budget: int) -> DataFrame:
+    """``rows`` (entry_type, entry_id, priority, tokens) with running and place: of each type, by priority, those whose running sum fits.
+
+    A budget is spent after that many rows with tokens at most, so map tasks keep no more of them; the row that
+    breaks the budget bounds the rows that are summed up, those without tokens included.
+    """
+    order = Window.partitionBy("entry_type").orderBy(F.desc("priority"), "entry_id")
+    running = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    head = rows.filter("tokens > 0").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= budget + 1)
+    over = head.withColumn("running", running).filter(F.col("running") > budget)
+    end = over.groupBy("entry_type").agg(F.min(F.struct((-F.col("priority")).alias("p"), "entry_id")).alias("end"))
+    fits = rows.join(end, "entry_type", "left").filter("end is null or -priority < end.p or (-priority = end.p and entry_id < end.entry_id)").drop("end")
+    return fits.withColumn("running", running).withColumn("place", F.row_number().over(order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import filters, scope
+from ..operators import filters, policies, scope
 from ..registry import query
 from ..sources import views
 from ..sources.views import AS_OF_HOURS, sql
@@ -223,22 +223,9 @@ def archive_stale(spark, sf_dir):
  select *, sum(tokens) over (partition by entry_type order by priority desc, entry_id rows unbounded preceding)::bigint as running, row_number() over (partition by entry_type order by priority desc, entry_id)::int as place
  from (select *, ceil(length(content) * 0.25)::bigint as tokens from entries where is_active)) where running <= 4000""", "entries"))
 def token_budget(spark, sf_dir):
-    """Entries of each type, by priority, while their token estimates fit the type's budget.
-
-    A type's budget is spent after that many rows with tokens at most, so map tasks keep no more of them; the row that
-    breaks the budget bounds the rows that are summed up, those without tokens included.
-    """
-    from pyspark.sql import Window
-
-    budget = 4000
+    """Entries of each type, by priority, while their token estimates fit the type's budget."""
     rows = views.entries(spark, sf_dir).filter("is_active").select("entry_id", "entry_type", "priority", scoring.token_estimate(F.col("content")).alias("tokens"))
-    w = Window.partitionBy("entry_type").orderBy(F.desc("priority"), "entry_id")
-    running = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    head = rows.filter("tokens > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= budget + 1)
-    over = head.withColumn("running", running).filter(F.col("running") > budget)
-    end = over.groupBy("entry_type").agg(F.min(F.struct((-F.col("priority")).alias("p"), "entry_id")).alias("end"))
-    fits = rows.join(end, "entry_type", "left").filter("end is null or -priority < end.p or (-priority = end.p and entry_id < end.entry_id)")
-    return fits.withColumn("running", running).withColumn("place", F.row_number().over(w)).select("entry_id", "entry_type", "place", "running")
+    return policies.within_budget(rows, 4000).select("entry_id", "entry_type", "place", "running")
 
 
 @query(sql("""select entry_id, entry_type, place from (select entry_id, entry_type, row_number() over (partition by entry_type order by priority desc, entry_id)::int as place from entries where is_active)

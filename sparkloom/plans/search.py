@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import filters, scope
+from ..operators import feedback, filters, policies, scope
+from ..operators.graph import cut
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
 
@@ -95,3 +97,55 @@ def search(plan: SearchPlan, entries: DataFrame, tags: DataFrame, chain: DataFra
     ranked = score(plan, candidates(plan, entries, tags, chain), depth, as_of_h)
     top = ranked.orderBy(F.desc("score"), F.desc("born_h"), "entry_id")
     return top.offset(plan.offset).limit(plan.bounded_limit())
+
+
+@dataclass(frozen=True)
+class Signals:
+    """What other searches found; unset ones neither find nor score anything.
+
+    ``text``: entry_id, fts (0 to 1); ``similar``: entry_id, sim; ``related``: entry_id; ``outcomes``: entry_id, outcome.
+    """
+
+    text: DataFrame | None = None
+    similar: DataFrame | None = None
+    related: DataFrame | None = None
+    outcomes: DataFrame | None = None
+    intent: str = "explore"
+
+
+def search_all(plan: SearchPlan, signals: Signals, entries: DataFrame, tags: DataFrame, chain: DataFrame, depth: int, as_of_h: int) -> DataFrame:
+    """The top entries by all signals: entries that full text or similarity finds, if either is given, and that pass every filter.
+
+    Two phases, each a bounded top-k: the light score picks one and a half times the limit, the full score with recency, similarity,
+    feedback and the intent's weight for the type orders those. Only the picked entries' feedback is looked at.
+    """
+    found = candidates(plan, entries, tags, chain).drop("content")
+    none = F.lit(None).cast("double")
+    found = found.join(signals.text, "entry_id", "left") if signals.text is not None else found.withColumn("fts", none)
+    found = found.join(signals.similar, "entry_id", "left") if signals.similar is not None else found.withColumn("sim", none)
+    if signals.text is not None or signals.similar is not None:
+        found = found.filter("fts is not null or sim is not null")
+    near = F.lit(False)
+    if signals.related is not None:
+        found = found.join(signals.related.select("entry_id", F.lit(True).alias("near")).distinct(), "entry_id", "left")
+        near = F.coalesce("near", near)
+    matched = F.col("fts").isNotNull() | F.lit(bool(text.parse_exclusions(plan.search or "")[0]))
+    base = (
+        F.when(near, scoring.WEIGHTS["relation"]).otherwise(0.0)
+        + F.col("include_hits") * scoring.WEIGHTS["tag"]
+        + scoring.scope_term(F.col("place"), depth)
+        + F.when(matched, scoring.WEIGHTS["text"]).otherwise(0.0)
+        + F.when(F.col("entry_type") == "guideline", F.col("priority") * (scoring.WEIGHTS["priority"] / 100)).otherwise(0.0)
+    )
+    light = F.round(base + scoring.WEIGHTS["text"] * F.coalesce("fts", F.lit(0.0)), 6)
+    head = found.withColumn("base", base).withColumn("light_score", light).orderBy(F.desc("light_score"), "entry_id")
+    head = cut(head.limit(math.ceil(1.5 * (plan.offset + plan.bounded_limit()))), "search")
+    age = (F.lit(as_of_h) - F.col("born_h")) / 24.0
+    total = F.col("base") + scoring.semantic_term(F.col("sim"), F.col("fts")) + scoring.recency(age, plan.recency_weight, plan.half_life_days, plan.decay)
+    factor = policies.intent_weight(signals.intent, F.col("entry_type"))
+    if signals.outcomes is not None:
+        picked = F.broadcast(head.select("entry_id").distinct())  # one and a half times the limit and offset
+        head = head.join(feedback.net_feedback(signals.outcomes.join(picked, "entry_id", "left_semi")), "entry_id", "left")
+        factor = factor * scoring.feedback_multiplier(F.coalesce("positive", F.lit(0)), F.coalesce("net", F.lit(0)))
+    top = head.withColumn("score", F.round(total * factor, 6)).orderBy(F.desc("score"), F.desc("born_h"), "entry_id")
+    return top.offset(plan.offset).limit(plan.bounded_limit())
