@@ -194,16 +194,16 @@ def _moved(links: DataFrame, labels: DataFrame, degrees: DataFrame, double_total
     best = rows.withColumn("gain", F.round(gain, 9)).groupBy("a", "own").agg(
         F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here")
     )
-    may = (F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.gain") > F.col("here"))
+    half = F.pmod(F.xxhash64("a", F.lit(turn // 2)) + turn % 2, F.lit(2)) == 0
+    may = half & (F.col("best.gain") > F.col("here"))
     return best.select(F.col("a").alias("node"), F.when(may, -F.col("best.c")).otherwise(F.col("own")).alias("community"))
 
 
-def modularity_communities(edges: DataFrame, quiet: int = 4) -> DataFrame:
+def modularity_communities(edges: DataFrame) -> DataFrame:
     """(node, community) by modularity moves over weighted edges (source_id, target_id, weight); a community is named after its smallest node.
 
-    In each round a hashed half of the nodes moves to the neighbouring community of the largest gain, so two nodes don't swap
-    for ever; a round that does not raise the modularity is taken back, and after ``quiet`` of those the communities become the
-    nodes of the next level. Levels end when nothing merges, so modularity never falls. Repeated edges add up; loops count once.
+    In each round a hashed half of the nodes moves to the neighbouring community of the largest gain, then the other half, so two
+    nodes don't swap for ever. A round that does not raise the modularity is taken back and the communities become the nodes of the next level. Levels end when nothing merges, so modularity never falls. Repeated edges add up; loops count once.
     """
     links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("weight").cast("double").alias("w"))
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
@@ -214,15 +214,15 @@ def modularity_communities(edges: DataFrame, quiet: int = 4) -> DataFrame:
     while double_total:
         degrees = cut(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
         labels = cut(degrees.select("node", F.col("node").alias("community")))
-        quality, still = _quality(links, labels, double_total), 0
-        while still < quiet:
-            turn += 1
-            new = cut(_moved(links, labels, degrees, double_total, turn))
+        quality = _quality(links, labels, double_total)
+        while True:
+            turn += 2
+            half = cut(_moved(links, labels, degrees, double_total, turn))
+            new = cut(_moved(links, half, degrees, double_total, turn + 1))
             now = _quality(links, new, double_total)
-            if now > quality + 1e-9:
-                labels, quality, still = new, now, 0
-            else:
-                still += 1
+            if now <= quality + 1e-9:
+                break
+            labels, quality = new, now
         if labels.filter("node <> community").isEmpty():
             break
         names = labels.groupBy("community").agg(F.min("node").alias("name"))

@@ -5,6 +5,7 @@ All are column expressions over one text; patterns ignore case. Words and border
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -363,3 +364,67 @@ def named_things(rows: DataFrame) -> DataFrame:
 
 def _of_kind(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
+def confidence(kind: Column, value: Column) -> Column:
+    """How sure it is that ``value`` is a thing of its kind."""
+    long_enough = F.length(value) >= 5
+    by_kind = (
+        ("FILE_PATH", value.rlike(r"\.\w{1,5}$"), 0.9),
+        ("FUNCTION_NAME", (long_enough & value.rlike("^[a-z].*[A-Z]")) | value.rlike("^[A-Z].*[a-z].*[A-Z]") | (long_enough & value.contains("_")), 0.85),
+        ("PACKAGE_NAME", value.startswith("@"), 0.95), ("PACKAGE_NAME", value.contains("/"), 0.9), ("PACKAGE_NAME", F.lit(True), 0.75),
+        ("URL", F.lit(True), 0.95),
+        ("ERROR_CODE", value.rlike("(?i)(Error|Exception)$"), 0.9), ("ERROR_CODE", value.rlike("^E[A-Z0-9]+$"), 0.85),
+        ("COMMAND", value.rlike(r"^(npm|yarn|pnpm|git|docker)\s"), 0.9),
+    )
+    return F.coalesce(*[F.when((kind == k) & test, c) for k, test, c in by_kind], F.lit(0.7))
+
+
+def variants(kind: Column, value: Column) -> Column:
+    """The spellings under which a thing may be found: as it is, in lower case, and what its kind adds (words, file names, parts)."""
+    none = F.array().cast("array<string>")
+    full = lambda xs: F.filter(xs, lambda x: x != "")
+    low = lambda xs: F.transform(xs, F.lower)
+    words = full(F.split(F.regexp_replace(value, "([A-Z])", "_$1"), "_"))
+    file = F.element_at(F.split(value, "/"), -1)
+    scoped = F.split(F.substring(value, 2, 1 << 20), "/")
+    tool = F.split(value, r"\s+")
+    more = (
+        F.when((kind == "FUNCTION_NAME") & (F.size(words) > 1), F.concat(words, F.array(F.array_join(words, "_"), F.array_join(words, "-"), F.array_join(words, ""))))
+        .when(kind == "FILE_PATH", full(F.array(file, F.get(F.split(file, r"\."), F.lit(0)))))
+        .when(kind == "PACKAGE_NAME", F.concat(
+            F.when(value.startswith("@") & (F.size(scoped) > 1), F.slice(scoped, 1, 2)).otherwise(none),
+            F.filter(F.split(F.replace(value, F.lit("@"), F.lit("")), "[-/]"), lambda x: F.length(x) > 2),
+        ))
+        .when((kind == "ERROR_CODE") & value.rlike("^[eE]."), F.array(F.substring(value, 2, 1 << 20)))
+        .when((kind == "COMMAND") & (F.size(tool) > 1), F.array(F.get(tool, F.lit(0)), F.array_join(F.slice(tool, 2, 1 << 20), " ")))
+        .otherwise(none)
+    )
+    return F.array_distinct(F.concat(F.array(value, F.lower(value)), low(more)))
+
+
+def band(score: Column) -> Column:
+    return F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
+
+
+# How projects are spoken of, words that are no projects, and how questions begin.
+PROJECT_PATTERNS = (
+    r"working on\s+(?:the\s+)?([a-zA-Z0-9_-]+)(?:\s+project)?", r"in the\s+([a-zA-Z0-9_-]+)\s+module", r"the\s+([a-zA-Z0-9_-]+)\s+project",
+    r"the\s+([a-zA-Z0-9_-]+)\s+codebase", r"the\s+([a-zA-Z0-9_-]+)\s+repository", r"([a-zA-Z0-9_-]+)\s+repo\b",
+)
+NO_PROJECTS = ("the", "a", "an", "this", "that", "my", "our", "your", "some", "new", "same", "other")
+QUESTION_PATTERNS = (r"how to\s+([^?]+)", r"how do I\s+([^?]+)", r"why does\s+([^?]+)", r"what is\s+([^?]+)", r"where is\s+([^?]+)", r"can you\s+([^?]+)", r"could you\s+([^?]+)")
+
+
+def spoken_of(rows: DataFrame, key: str) -> DataFrame:
+    """(key, kind, value): the projects and the topics of questions in messages (key, text), each once for a key."""
+    found = [F.transform(F.filter(F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(1)), lambda x: ~F.lower(x).isin(*NO_PROJECTS)), _of_kind("project")) for p in PROJECT_PATTERNS]
+    found += [F.transform(F.filter(F.transform(F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(1)), F.trim), lambda x: x != ""), _of_kind("question")) for p in QUESTION_PATTERNS]
+    return rows.select(key, F.explode(F.concat(*found)).alias("_s")).select(key, "_s.*").distinct()
+
+
+def mentions(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (text, ...) that name ``name`` as a word, with confidence: more of the text, surer."""
+    n = occurrences(F.col("text"), rf"\b{re.escape(name)}\b")
+    sure = F.least(F.lit(1.0), 0.3 + n * (2.0 * len(name)) / F.length("text"))
+    return rows.withColumn("_n", n).filter("_n > 0").withColumn("confidence", F.round(sure, 6)).drop("_n")

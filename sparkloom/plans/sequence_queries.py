@@ -127,6 +127,14 @@ def episode_boundaries(spark, sf_dir):
     return found(spark, f"{sf_dir}/events.parquet")
 
 
+@query()
+def episode_boundaries_similar(spark, sf_dir):
+    """Boundaries where what is done changes in kind, even if some of it goes on; tests compare with the rule in plain Python."""
+    from ..streaming.boundaries import episode_boundaries as found
+
+    return found(spark, f"{sf_dir}/events.parquet", by_similarity=True, about="event_type")
+
+
 _FIRST_TWO = "select user_id, i, min(n) as j from steps join (select user_id, min(n) as i from steps where event_type = 'view' group by 1) using (user_id) where event_type = 'click' and n > i group by all"
 
 

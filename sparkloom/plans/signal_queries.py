@@ -165,3 +165,67 @@ def named_things(spark, sf_dir):
     said = F.element_at(F.array(*[F.lit(t) for t in _TOLD]), (F.col("event_id") % 4 + 1).cast("int"))
     rows = views.table(spark, sf_dir, "events").select("event_id", F.concat(said, F.lit(" "), F.col("event_type")).alias("text"))
     return signals.named_things(rows).select("event_id", "kind", "value")
+
+
+_SURE = """case when kind = 'FILE_PATH' and regexp_matches(value, '\\.\\w{1,5}$') then 0.9 when kind = 'FUNCTION_NAME' and (length(value) >= 5 and (regexp_matches(value, '^[a-z].*[A-Z]') or contains(value, '_')) or regexp_matches(value, '^[A-Z].*[a-z].*[A-Z]')) then 0.85
+ when kind = 'PACKAGE_NAME' then case when starts_with(value, '@') then 0.95 when contains(value, '/') then 0.9 else 0.75 end when kind = 'URL' then 0.95 when kind = 'ERROR_CODE' and regexp_matches(value, '(error|exception)$', 'i') then 0.9
+ when kind = 'ERROR_CODE' and regexp_matches(value, '^E[A-Z0-9]+$') then 0.85 when kind = 'COMMAND' and regexp_matches(value, '^(npm|yarn|pnpm|git|docker)\\s') then 0.9 else 0.7 end::double"""
+_MORE = """case when kind = 'FUNCTION_NAME' and len(words) > 1 then list_concat(words, [array_to_string(words, '_'), array_to_string(words, '-'), array_to_string(words, '')])
+ when kind = 'FILE_PATH' then list_filter([regexp_extract(value, '[^/]*$'), string_split(regexp_extract(value, '[^/]*$'), '.')[1]], lambda x: x <> '')
+ when kind = 'PACKAGE_NAME' then list_concat(case when starts_with(value, '@') and contains(value, '/') then string_split(substr(value, 2), '/')[1:2] else [] end, list_filter(string_split_regex(replace(value, '@', ''), '[-/]'), lambda x: length(x) > 2))
+ when kind = 'ERROR_CODE' and regexp_matches(value, '^[eE].') then [substr(value, 2)]
+ when kind = 'COMMAND' and regexp_matches(value, '\\s') then [string_split_regex(value, '\\s+')[1], array_to_string(string_split_regex(value, '\\s+')[2:], ' ')] else [] end"""
+
+
+@query(f"""with {_TOLD_SQL}, named as ({_named_sql()}), w as (select *, list_filter(string_split(regexp_replace(value, '([A-Z])', '_\\1', 'g'), '_'), lambda x: x <> '') as words from named)
+select event_id, kind, value, {_SURE} as confidence, unnest(list_distinct(list_concat([value, lower(value)], list_transform({_MORE}, lambda x: lower(x))))) as variant from w""")
+def named_variants(spark, sf_dir):
+    """What technical messages name, how sure that is, and the spellings under which it may be found."""
+    kind, value = F.col("kind"), F.col("value")
+    return named_things(spark, sf_dir).select("event_id", "kind", "value", signals.confidence(kind, value).alias("confidence"), F.explode(signals.variants(kind, value)).alias("variant"))
+
+
+_ASKED = ("We are working on the parser project.", "It is in the cache module of the loom repository", "How do I sort rows? Can you also add an index?", "The other repo has it, the cache has the cache")
+_ASKED_SQL = f"asked as (select event_id, user_id, [{', '.join(map(_lit, _ASKED))}][(event_id % 4 + 1)::int] as text from events)"
+_PROJECTS_SQL = " union all ".join(f"select user_id, 'project' as kind, value from (select user_id, unnest(regexp_extract_all(text, {_lit(p)}, 1, 'i')) as value from asked) where lower(value) not in ({', '.join(map(_lit, signals.NO_PROJECTS))})" for p in signals.PROJECT_PATTERNS)
+_QUESTIONS_SQL = " union all ".join(f"select user_id, 'question', trim(value) from (select user_id, unnest(regexp_extract_all(text, {_lit(p)}, 1, 'i')) as value from asked) where trim(value) <> ''" for p in signals.QUESTION_PATTERNS)
+
+
+def _asked(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(t) for t in _ASKED]), (F.col("event_id") % 4 + 1).cast("int"))
+    return views.table(spark, sf_dir, "events").select("event_id", "user_id", said.alias("text"))
+
+
+@query(f"with {_ASKED_SQL} select distinct * from ({_PROJECTS_SQL} union all {_QUESTIONS_SQL})")
+def spoken_of(spark, sf_dir):
+    """Projects and topics of questions of each user."""
+    return signals.spoken_of(_asked(spark, sf_dir), "user_id")
+
+
+@query(f"with {_ASKED_SQL}, n as (select event_id, text, len(regexp_extract_all(text, '\\bcache\\b', 0, 'i')) as n from asked) select event_id, round(least(1.0::double, 0.3::double + n * 10.0::double / length(text)), 6) as confidence from n where n > 0")
+def pattern_mentions(spark, sf_dir):
+    return signals.mentions(_asked(spark, sf_dir), "cache").select("event_id", "confidence")
+
+
+def _bands_sql() -> str:
+    from ..registry import ORACLES
+
+    return f"select event_id, score, case when score >= 0.7 then 'high' when score >= 0.4 then 'medium' else 'low' end as band from ({ORACLES['decision_relevance']})"
+
+
+@query(_bands_sql())
+def relevance_bands(spark, sf_dir):
+    return decision_relevance(spark, sf_dir).withColumn("band", signals.band(F.col("score")))
+
+
+@query("""with r as (select event_type as agent_type, event_type <> 'error' as success, case when event_type <> 'signup' then value end as ms from events)
+select agent_type, count(*) as n, round(avg(success::int), 6) as success_rate, round(coalesce(sum(ms), 0) / count(*), 4) as avg_ms from r group by 1
+union all select 'all', count(*), round(avg(success::int), 6), round(coalesce(avg(ms), 0), 4) from r""")
+def subagent_stats(spark, sf_dir):
+    """Runs, success rate and mean duration of each kind of helper; a kind's mean is over all its runs, the mean of all over timed ones."""
+    rows = views.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("agent_type"), (F.col("event_type") != "error").cast("int").alias("ok"), F.when(F.col("event_type") != "signup", F.col("value")).alias("ms")
+    )
+    n, rate = F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("success_rate")
+    by = rows.groupBy("agent_type").agg(n, rate, F.round(F.coalesce(F.sum("ms"), F.lit(0.0)) / F.count(F.lit(1)), 4).alias("avg_ms"))
+    return by.unionByName(rows.agg(n, rate, F.round(F.coalesce(F.avg("ms"), F.lit(0.0)), 4).alias("avg_ms")).withColumn("agent_type", F.lit("all")))
