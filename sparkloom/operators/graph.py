@@ -199,11 +199,13 @@ def _moved(links: DataFrame, labels: DataFrame, degrees: DataFrame, double_total
     return best.select(F.col("a").alias("node"), F.when(may, -F.col("best.c")).otherwise(F.col("own")).alias("community"))
 
 
-def modularity_communities(edges: DataFrame) -> DataFrame:
+def modularity_communities(edges: DataFrame, least_gain: float = 1e-4) -> DataFrame:
     """(node, community) by modularity moves over weighted edges (source_id, target_id, weight); a community is named after its smallest node.
 
     In each round a hashed half of the nodes moves to the neighbouring community of the largest gain, then the other half, so two
-    nodes don't swap for ever. A round that does not raise the modularity is taken back and the communities become the nodes of the next level. Levels end when nothing merges, so modularity never falls. Repeated edges add up; loops count once.
+    nodes don't swap for ever. A round that does not raise the modularity by more than ``least_gain`` is taken back and the
+    communities become the nodes of the next level. Levels end when nothing merges, so modularity never falls. Repeated edges
+    add up; loops count twice.
     """
     links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("weight").cast("double").alias("w"))
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
@@ -220,7 +222,7 @@ def modularity_communities(edges: DataFrame) -> DataFrame:
             half = cut(_moved(links, labels, degrees, double_total, turn))
             new = cut(_moved(links, half, degrees, double_total, turn + 1))
             now = _quality(links, new, double_total)
-            if now <= quality + 1e-9:
+            if now <= quality + least_gain:
                 break
             labels, quality = new, now
         if labels.filter("node <> community").isEmpty():

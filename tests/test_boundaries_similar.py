@@ -5,7 +5,7 @@ MINUTE = 60_000_000
 
 def test_windows_that_share_little_are_a_boundary():
     events = [(k, k * MINUTE, t) for k, t in enumerate("aaaab" + "bcccc" + "ccccc")]
-    assert boundaries.step(events, [], [], None)[0] == []
+    assert boundaries.step(events, [], [], None)[0] == [(10, "context_shift", 0.7)]
     (at, reason, confidence), *rest = boundaries.step(events, [], [], None, boundaries.window_similarity)[0]
     assert (at, reason, round(confidence, 6)) == (9, "similarity_drop", round(1 - 1 / 17, 6)) and not rest
     assert boundaries.window_similarity(["a", None], ["a"]) == 1.0 and boundaries.window_similarity([None], []) == 1.0
