@@ -93,3 +93,38 @@ def text_key(text: Column) -> Column:
 def fts_terms(search: str, stop_words: frozenset[str]) -> list[str]:
     """Lower-case terms of a search: letters and digits only, two or more long, no stop words."""
     return [t for t in re.sub(r"[^A-Za-z0-9\s]", " ", search).lower().split() if len(t) >= 2 and t not in stop_words]
+
+
+def on_path(path: Column, globs: tuple[str, ...]) -> Column:
+    """Whether a path matches a glob (* and ?, letter case aside), or has the glob without its wildcards in it."""
+    out = F.lit(False)
+    for glob in globs:
+        pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
+        rest = re.sub(r"[*?]", "", glob)
+        out = out | path.rlike(f"(?i)^{pattern}$") | (F.contains(path, F.lit(rest)) if rest else F.lit(False))
+    return out
+
+
+def iso_date(value: Column) -> Column:
+    """A date, or a date and time to the second or millisecond; null for null."""
+    return value.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{3})?Z?)?$")
+
+
+def _quoted(doubled: Column, when: Column) -> Column:
+    return F.when(when, F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(doubled)
+
+
+def as_phrase(said: Column) -> Column:
+    """A search text as one phrase if it has blanks or operator signs."""
+    doubled = F.replace(said, F.lit('"'), F.lit('""'))
+    return _quoted(doubled, doubled.rlike(r"[\s+\-|*()]"))
+
+
+def without_operators(said: Column) -> Column:
+    """A search text whose operator words are read as words; blank texts stay as they are."""
+    doubled = F.replace(said, F.lit('"'), F.lit('""'))
+    return F.when(F.trim(said) == "", said).otherwise(_quoted(doubled, doubled.rlike(r"(?i)\b(AND|OR|NOT|NEAR(?:/\d+)?)\b")))
+
+
+def plain_tokens(said: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(said, '["*]', ""), "[^a-zA-Z0-9]+", " "))

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import new_path
+
 
 def cut(df: DataFrame, label: str = "graph") -> DataFrame:
     """Write to the shared checkpoint folder and read back, so that a loop's plan stays short and survives lost executors."""
-    spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        home = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("SPARKLOOM_TMP", "/tmp"))
-        spark.sparkContext.setCheckpointDir(home)
-    path = f"{home.rstrip('/')}/sparkloom/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:

@@ -108,3 +108,20 @@ def trajectory_similarity(events: DataFrame) -> DataFrame:
     edits = 1 - F.levenshtein(outcome("a"), outcome("b")) / F.greatest(na, nb)
     value = 0.35 * (2 * F.col("common") / (na + nb)) + 0.4 * sets + 0.15 * edits + 0.1 * (F.least(na, nb) / F.greatest(na, nb))
     return both.select("user_id", "day", F.round(value, 6).alias("similarity"), F.least(F.lit(1.0), (na + nb) / 10.0).alias("confidence"))
+
+
+def next_windows(turns: DataFrame, least: int = 500, most: int = 4000, size: int = 10, overlap: int = 3, fresh: int = 2) -> DataFrame:
+    """(conv_id, start, stop, tokens, new_turns): the window after the first half of each conversation (conv_id, turn, role, text).
+
+    It starts ``overlap`` turns before the unread ones and takes up to ``size`` turns while they have at most ``most`` tokens, one at least.
+    No window without ``fresh`` unread turns or with fewer than ``least`` tokens. Only a window's own rows are sorted.
+    """
+    rows = turns.filter("turn is not null").withColumn("tokens", F.ceil(F.length(F.coalesce("text", F.lit(""))) * 0.25).cast("long"))
+    ends = rows.groupBy("conv_id").agg((F.max("turn") + 1).alias("n")).withColumn("done", F.floor(F.col("n") / 2)).filter(F.col("n") - F.col("done") >= fresh)
+    ends = ends.select("conv_id", "done", F.greatest(F.lit(0), F.col("done") - overlap).alias("start"))
+    inside = rows.join(ends, "conv_id").filter((F.col("turn") >= F.col("start")) & (F.col("turn") < F.col("start") + size))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    running = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    taken = inside.select("*", running.alias("running"), F.row_number().over(order).alias("place")).filter((F.col("running") <= most) | (F.col("place") == 1))
+    out = taken.groupBy("conv_id", "start").agg((F.max("turn") + 1).alias("stop"), F.sum("tokens").alias("tokens"), F.max("done").alias("done"))
+    return out.filter(F.col("tokens") >= least).select("conv_id", "start", "stop", "tokens", F.greatest(F.lit(0), F.col("stop") - F.col("done")).alias("new_turns"))

@@ -211,3 +211,33 @@ def hierarchy(vectors: DataFrame, levels: int = 2, threshold: float = 0.5) -> Da
         middle = centroids(members, "parent").groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("v"))
         current = cut(middle.select(F.col("parent").alias("vec_id"), "v"))
     return out
+
+
+def recoded(v: str, low: str, high: str, bits: int) -> Column:
+    """A vector after a round trip through signed codes over the range of two columns; values outside it are clamped."""
+    least, top = -(1 << (bits - 1)), (1 << (bits - 1)) - 1
+    lo, width = F.col(low), F.col(high) - F.col(low)
+    code = lambda x: F.greatest(F.lit(least), F.least(F.lit(top), F.floor((x - lo) / width * (top - least) + least + 0.5)))
+    return F.transform(v, lambda x: (code(x) - least) / (top - least) * width + lo)
+
+
+def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, v): the centroid of each key as an array."""
+    places = F.array_sort(F.collect_list(F.struct("place", "value")))
+    return centroids(vectors, key).groupBy(key).agg(F.transform(places, lambda s: s["value"]).alias("v"))
+
+
+def descend(levels: list[DataFrame], query: Column, factor: int = 3, least: float = 0.5) -> list[int]:
+    """The nodes of the lowest level that a search from the top reaches. ``levels`` (node, parent, v) from the top.
+
+    At each level the children of the nodes found so far, ``factor`` for each of those, that have a similarity of at least
+    ``least``. What comes to the driver is at most factor ** levels ids.
+    """
+    found: list[int] | None = None
+    for nodes in levels:
+        rows = nodes if found is None else nodes.filter(F.col("parent").isin(found))
+        scored = rows.select("node", F.round(cosine(F.col("v"), query), 6).alias("s")).filter(F.col("s") >= least)
+        found = [r["node"] for r in scored.orderBy(F.desc("s"), "node").limit(factor * max(1, len(found or ()))).collect()]
+        if not found:
+            return []
+    return found or []

@@ -36,6 +36,8 @@ class SearchPlan:
     semantic: bool = False
     related: bool = False
     conversation: bool = False
+    semantic_threshold: float | None = None
+    relation_depth: int | None = None
     extra: dict = field(default_factory=dict)
 
     def bounded_limit(self) -> int:
@@ -50,6 +52,10 @@ class SearchPlan:
         )
         return next((name for name, on in checks if on), "default")
 
+    def cost(self) -> str:
+        """How much work the plan is: vectors are the most, then relations and many required tags."""
+        return "high" if self.semantic else "medium" if self.related or len(self.tags_require) > 2 else "low"
+
     def problems(self) -> list[str]:
         """What a dry run reports."""
         out = []
@@ -57,6 +63,10 @@ class SearchPlan:
             out.append("limit must be 1 to 1000")
         if self.offset < 0:
             out.append("offset must not be negative")
+        if self.semantic_threshold is not None and not 0 <= self.semantic_threshold <= 1:
+            out.append("semantic threshold must be 0 to 1")
+        if self.relation_depth is not None and self.relation_depth > 10:
+            out.append("relation depth must be 10 at most")
         unknown = set(self.types) - {"tool", "guideline", "knowledge", "experience"}
         return out + [f"unknown type {t}" for t in sorted(unknown)]
 

@@ -119,3 +119,17 @@ def merge_import(existing: DataFrame, incoming: DataFrame, key: str, strategy: s
 
     outcome = F.when(~came, "kept").when(~had, "inserted").otherwise({"skip": "skipped", "update": "updated"}.get(strategy, "replaced"))
     return both.select(key, *[value(c) for c in others], outcome.alias("outcome"))
+
+
+def split_lines(examples: DataFrame) -> DataFrame:
+    """(id, split, line) of training examples (id, is_eval, state, action, reward)."""
+    return examples.select("id", F.when(F.col("is_eval"), "test").otherwise("train").alias("split"), F.to_json(F.struct("state", "action", "reward")).alias("line"))
+
+
+def write_splits(lines: DataFrame, path: str, name: str) -> None:
+    """A dataset folder: the lines of each split under its name, and ``dataset_dict`` with the number of examples of each."""
+    lines.select("split", "line").write.mode("overwrite").partitionBy("split").text(f"{path}/data")
+    sizes = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    split = F.struct(F.col("split").alias("name"), F.col("n").alias("num_examples"), F.lit(name).alias("dataset_name"))
+    every = sizes.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("split", split.alias("about")))).alias("splits"))).alias("line"))
+    every.coalesce(1).write.mode("overwrite").text(f"{path}/dataset_dict")

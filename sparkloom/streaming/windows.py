@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import new_path
 from ..sources.views import micros
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        home = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("SPARKLOOM_TMP", "/tmp"))
-        spark.sparkContext.setCheckpointDir(home)
-    return f"{home.rstrip('/')}/sparkloom/{label}-{uuid.uuid4().hex}"
-
-
 def events_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream over the parquet file or folder at ``path``; as a pattern it may be either."""
     schema = spark.read.parquet(path).schema
@@ -39,7 +28,7 @@ def drain(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
     Returns every update, with its batch number.
     """
     spark = stream.sparkSession
-    home = shared_path(spark, label)
+    home = new_path(spark, label)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{home}/out/b{number}")
