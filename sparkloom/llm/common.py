@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path as scratch_path
+
 #: A word is a run of anything but the six ASCII white-space characters.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -19,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not own:
-        own = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("SPARKLOOM_TMP", "/tmp"))
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/sparkloom/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that a lost executor can't undo."""
     path = scratch_path(df.sparkSession, label)

@@ -1,7 +1,8 @@
 """Connected components of an edge table by large-star / small-star rounds.
 
-Each round is two group-bys over the edges; no list of a node's neighbours is ever gathered,
-only its smallest one, so a hub with a third of all edges costs what its map-side minima cost.
+Each round is two group-bys over the edges; no list of a node's neighbours is ever gathered, only its
+smallest one, which each map task combines first. The joins back to the edges are inner joins on the node, which
+adaptive execution splits where a hub's edges make a partition skewed.
 """
 
 from __future__ import annotations
