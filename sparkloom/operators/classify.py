@@ -15,6 +15,8 @@ INTENTS = (
     ("how_to", r"^how (to|do|can)\b"), ("debug", r"\b(error|fail|bug|broken)"), ("lookup", r"^(what|where|who|which|show|find)\b"),
     ("compare", r"\b(vs|versus|compare|difference)\b"), ("configure", r"\b(config|setup|install|set up)"),
 )
+#: What a text must have in it for a pattern to be tried at all; most texts have none.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "number": "[0-9]{6}"}
 TAG_WORDS = {"english": ("the", "of", "and", "is"), "german": ("der", "die", "und", "ein"), "french": ("le", "la", "et", "des"), "spanish": ("el", "los", "que", "en")}
 FLAGS = ((1, "!!", 0.2), (2, r"[#*$%&|<>]{2,}", 0.4), (4, r"\b[A-Z]{6,}\b", 0.1))
 
@@ -25,7 +27,8 @@ def entities(docs: DataFrame) -> DataFrame:
     def named(kind: str):
         return lambda v: F.struct(F.lit(kind).alias("kind"), (F.lower(v) if kind == "email" else v).alias("value"))
 
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), named(k)) for k, p in ENTITIES.items()]
+    none = F.array().cast("array<string>")
+    found = [F.transform(F.when(F.col("text").rlike(NEEDS[k]), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none), named(k)) for k, p in ENTITIES.items()]
     rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("e"))
     return rows.groupBy("doc_id", F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
