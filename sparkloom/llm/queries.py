@@ -1,11 +1,11 @@
-"""Queries of the ten operators over the given tables, and their SQL where SQL can say it."""
+"""Queries of the operators over the given tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hilbert_packing, license_scan, line_templates, quality_classifier, quality_rules, simhash_trie, source_mix, streaming_dedup, url_filter
+from . import chat_format, hilbert_packing, jump_shards, license_scan, line_templates, merkle_manifest, quality_classifier, quality_rules, simhash_trie, source_mix, streaming_dedup, url_filter, word_runs
 from .common import table
 
 # The rules of the URL query.
@@ -70,6 +70,35 @@ def op10_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op11_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = 24
+    found = jump_shards.shard_rows(table(spark, sf_dir, "documents"), shards)
+    grown = jump_shards.grown(F.col("shard"), F.col("moves_at"), shards)
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"), "moves_at")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row by checksum is presented with a lower-cased text."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", upper, upper.lower()))
+    found = merkle_manifest.manifest(table(spark, sf_dir, "documents"), tampered)
+    folded = merkle_manifest.folded(F.coalesce("claim", "leaf"), "proof", "places", "runs")
+    hexed = merkle_manifest.hexed
+    out = found.select(F.col("key").alias("doc_id"), hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"), F.sha2(hexed("proof"), 256).alias("proof_sha256"), folded.alias("folded"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", hexed("folded").alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tenth text by checksum repeats itself from some word on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", word_runs.planted().alias("text"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(line, lambda s: F.concat(s, F.lit("\n"))), "")
+    return word_runs.word_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +109,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_preference_format, op2_weak_label_quality, op3_url_filter, op4_cube_mix, op5_license_scan,
-        op6_hilbert_packing, op7_simhash_trie, op8_quality_votes, op9_line_templates, op10_streaming_dedup, pipeline,
+        op6_hilbert_packing, op7_simhash_trie, op8_quality_votes, op9_line_templates, op10_streaming_dedup,
+        op11_jump_shards, op12_merkle_manifest, op13_word_runs, pipeline,
     )
 }
 
