@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metric_join
 from .graph import cut, greedy_degree_cap
 
 
@@ -41,17 +42,40 @@ BLOCK = 2048
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b with cosine at least ``threshold``: an exact join in blocks.
+    """(a, b, similarity) of all pairs a < b with cosine at least ``threshold``, rounded to six digits: exact.
+
+    Few vectors are compared in blocks. More are joined by metric regions over distinct vectors (``metric_join``), as long as
+    those save something at this threshold. Null and zero vectors have no pairs if the threshold is above 0.
+    """
+    if threshold <= 0:
+        return block_pairs(vectors, vectors.count(), threshold, block)
+    able = vectors.filter(norm(F.col("v")) > 0)
+    n = able.count()
+    if n <= 2 * block:
+        return block_pairs(able, n, threshold, block)
+    found, members = similar_classes(able, threshold, block)
+    return metric_join.spread_out(found, members)
+
+
+def similar_classes(vectors: DataFrame, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) between the smallest ids of equal vectors, and (cls, vec_id), the members of each such class of two and more."""
+    rows, members = metric_join.classes(vectors.filter(norm(F.col("v")) > 0))
+    n = rows.count()
+    found = metric_join.class_pairs(rows, n, threshold, block)
+    return (block_pairs(rows, n, threshold, block) if found is None else found), members
+
+
+def block_pairs(vectors: DataFrame, n: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The pairs by comparing all of the ``n`` vectors in blocks.
 
     Vectors are dealt into blocks by id hash; a task multiplies one pair of blocks, so no task
     holds more than two blocks, and only pairs above the threshold leave it.
     """
-    n = vectors.count()
     dealt = _dealt(vectors.withColumn("blocks", F.lit(max(1, math.ceil(n / block)))), [])
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         a, b, sims = _met(group, threshold)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.round(sims, 6)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sims})
 
     return dealt.groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 
@@ -69,8 +93,7 @@ def _met(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray,
     left, right = group[group["own"] == i], group[group["own"] == j]
     if not len(left) or not len(right):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    unit = lambda g: (m := np.array(g["v"].tolist(), dtype=float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    sims = unit(left) @ unit(right).T
+    sims = np.round(metric_join.unit(left["v"]) @ metric_join.unit(right["v"]).T, 6)
     x, y = np.nonzero(sims >= threshold)
     a, b = left["vec_id"].to_numpy()[x], right["vec_id"].to_numpy()[y]
     keep = a < b if i == j else a != b
@@ -83,7 +106,7 @@ def cohesion(vectors: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     dealt = _dealt(vectors.join(sizes, key), [key])
 
     def sums(group: pd.DataFrame) -> pd.DataFrame:
-        sims = np.round(_met(group, -2.0)[2], 6)
+        sims = _met(group, -2.0)[2]
         n = len(sims)
         return pd.DataFrame({key: [group[key].iloc[0]], "n": [n], "s": [sims.sum()], "low": [sims.min() if n else None], "high": [sims.max() if n else None]})
 
@@ -124,47 +147,6 @@ def nearest_edges(vectors: DataFrame, threshold: float, cap: int = 5) -> DataFra
     return inside.unionByName(greedy_degree_cap(pairs.select("a", "b", F.col("similarity").alias("score")), cap))
 
 
-def hyperplanes(dim: int, tables: int, bits: int, seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
-
-
-def lsh_pairs(vectors: DataFrame, threshold: float, dim: int, tables: int = 5, bits: int = 10, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity): pairs that share a hyperplane bucket, or one bit away, in any table, with exact cosine at least ``threshold``.
-
-    A bucket's owners meet those that probe it in blocks of about ``block``, so a crowded bucket
-    becomes several tasks, and only pairs above the threshold leave a task.
-    """
-    planes = hyperplanes(dim, tables, bits)
-
-    @F.pandas_udf("array<long>")
-    def buckets(vs: pd.Series) -> pd.Series:
-        m = np.array(vs.tolist(), dtype=float).reshape(len(vs), dim)
-        codes = np.stack([(m @ p.T > 0) @ (1 << np.arange(bits)) for p in planes], axis=1)
-        return pd.Series(codes.astype(np.int64).tolist())
-
-    coded = cut(vectors.select("vec_id", "v", F.posexplode(buckets("v")).alias("t", "code")))
-    # tables * 2^bits rows at most, whatever the input
-    crowd = F.broadcast(coded.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    owners = coded.join(crowd, ["t", "code"]).select("t", "code", "vec_id", "v", part.alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("right"), F.lit(True).alias("owner"))
-    flips = F.array(F.col("code"), *[F.col("code").bitwiseXOR(F.lit(1 << k)) for k in range(bits)])
-    probing = coded.select("vec_id", "v", "t", F.explode(flips).alias("code")).join(crowd, ["t", "code"])
-    probes = probing.select("t", "code", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("left"), part.alias("right"), F.lit(False).alias("owner"))
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["owner"].to_numpy()
-        ids, m = group["vec_id"].to_numpy(), np.array(group["v"].tolist(), dtype=float)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sims = m[own] @ m[~own].T
-        x, y = np.nonzero(sims >= threshold)
-        a, b = ids[own][x], ids[~own][y]
-        keep = a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(sims[x, y][keep], 6)})
-
-    met = owners.unionByName(probes).groupBy("t", "code", "left", "right").applyInPandas(meet, "a long, b long, similarity double")
-    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-
-
 def quantise(v: Column, low: float, high: float, bits: int = 8) -> Column:
     """Codes 0 .. 2^bits - 1 over a stated range."""
     top = (1 << bits) - 1

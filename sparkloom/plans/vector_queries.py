@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, vector
+from ..operators import graph, lsh_join, vector
 from ..registry import query
 from ..sources import views
 from ..sources.views import sql
@@ -50,9 +50,16 @@ def similar_pairs(spark, sf_dir):
 
 @query()
 def lsh_pairs(spark, sf_dir):
-    """All pairs by the exact block join: at 0.4 hyperplane buckets that find nine of ten pairs compare over half of all pairs,
-    so ``vector.lsh_pairs`` is for high thresholds."""
-    return vector.similar_pairs(views.vectors(spark, sf_dir), 0.4)
+    """Texts that share most pairs of words, each with its hundred nearest at most: hyperplane buckets with probes; tests measure recall against all pairs."""
+    return lsh_join.lsh_pairs(views.text_vectors(spark, sf_dir), 0.8)
+
+
+@query()
+def similar_text_classes(spark, sf_dir):
+    """The same exactly, without a bound on partners, by metric regions: pairs between classes of equal vectors, and each member with its class at 1.0."""
+    pairs, members = vector.similar_classes(views.text_vectors(spark, sf_dir), 0.8)
+    copies = members.filter("cls <> vec_id").select(F.col("cls").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(copies)
 
 
 @query(sql("select label, place - 1 as place, round(avg(x), 6) as value from (select label, unnest(v) as x, generate_subscripts(v, 1) as place from vectors) group by all", "vectors"))

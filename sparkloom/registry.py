@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def load() -> None:
     """Import every query module."""
-    from .plans import analytics_queries, exchange_queries, graph_queries, learning_queries, maintenance_queries, policy_queries, ranking_queries, retrieval_queries, search_queries, sequence_queries, signal_queries, state_queries, text_queries, vector_queries  # noqa: F401
+    from .plans import analytics_queries, exchange_queries, graph_queries, index_queries, learning_queries, maintenance_queries, policy_queries, ranking_queries, retrieval_queries, search_queries, sequence_queries, signal_queries, state_queries, text_queries, vector_queries  # noqa: F401
 
 
 load()

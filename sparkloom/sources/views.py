@@ -123,6 +123,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "cast(embedding as array<double>) as v", "label", f"{_pick(TYPES, 'label % 4')} as entry_type")
 
 
+def text_vectors(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
+    """(vec_id, v, lang): signed hash counts of the pairs of neighbouring words of each text of two words or more; texts that share most pairs are near."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", "lang", F.explode(F.array(words)).alias("w")).filter(F.size("w") > 1)
+    pairs = docs.select("doc_id", "lang", F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.xxhash64(a, b))).alias("h"))
+    sign = F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)
+    sums = pairs.groupBy("doc_id", "lang", F.pmod(F.shiftright("h", 1), F.lit(size)).cast("int").alias("slot")).agg(F.sum(sign).alias("x"))
+    kept = F.map_from_entries(F.collect_list(F.struct("slot", "x")))
+    by = sums.groupBy("doc_id", "lang").agg(kept.alias("m"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return by.select(F.col("doc_id").alias("vec_id"), v.alias("v"), "lang")
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 50 as task_id", "user_id as agent_id", "event_type as vote", "value / 500 as confidence")
 

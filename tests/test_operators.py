@@ -39,12 +39,6 @@ def test_similar_pairs_are_exact_in_any_blocks(vectors, points, block):
     assert got == pytest.approx(exact_pairs(points, 0.5))
 
 
-def test_lsh_pairs_recall(vectors, points):
-    want = exact_pairs(points, 0.8)
-    got = {(r["a"], r["b"]) for r in vector.lsh_pairs(vectors, 0.8, 16, block=9).collect()}
-    assert got <= set(want) and len(got) >= 0.9 * len(want) > 50
-
-
 def test_similarity_groups_follow_the_sequential_rule(spark, vectors, points):
     pairs = vector.similar_pairs(vectors, 0.55)
     near = {k: set() for k in range(len(points))}
