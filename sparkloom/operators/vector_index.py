@@ -33,7 +33,7 @@ from .vector import cosine, norm
 MAX_CELLS, PER_CELL, CODE_SAMPLE, TUNE = 16_384, 64, 20_000, 256
 WORDS = 256
 #: Rows of a list, and queries, that meet in one task.
-LIST_ROWS, QUERY_ROWS = 65_536, 512
+LIST_ROWS, QUERY_ROWS = 16_384, 256
 _META = ("cell", "vec_id", "code", "v")
 
 
@@ -243,6 +243,7 @@ def build(vectors: DataFrame, path: str | None = None, pieces: int = 16, cells:
     """Index ``vectors`` (vec_id, v and any other columns) below ``path``, tuned for the ``k`` nearest at ``recall``."""
     spark = vectors.sparkSession
     path = path or new_path(spark, "vector-index")
+    vectors = cut(vectors, "index-given")
     first = vectors.filter("v is not null and size(v) > 0").select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     dim = first["n"] if first else 1
     rows = cut(_fit_rows(vectors, dim), "index-rows")
@@ -364,7 +365,7 @@ def exact_search(spark: SparkSession, index: Index, queries: DataFrame, k: int =
     asked = cut(_probed(able.join(least, "query_id", "left").select("query_id", "q", F.coalesce("least", F.lit(-1.0)).alias("least")), index, books, radius), "index-asked")
     lists = _pruned(lists_of(spark, index), asked, index).select("cell", "vec_id", "v")
     many = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("qs"))
-    parts = F.broadcast(many.join(sizes.select("cell", F.ceil(F.col("rows") / (LIST_ROWS // 16)).cast("int").alias("ls")), "cell"))
+    parts = F.broadcast(many.join(sizes.select("cell", F.ceil(F.col("rows") / (LIST_ROWS // 4)).cast("int").alias("ls")), "cell"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     right = lists.join(parts, "cell").select("cell", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("ls")).cast("int").alias("l"), every("qs").alias("s"))
     left = asked.join(parts, "cell").select("cell", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("s"), every("ls").alias("l"))
