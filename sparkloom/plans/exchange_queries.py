@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import exchange, views
+from ..shared import new_path
+from ..sources import exchange, session_files, views
 from ..sources.views import sql
 
 _TURNS = "t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations)"
@@ -76,3 +78,33 @@ def _import(strategy: str, both: str, outcome: str) -> None:
 _import("skip", "a.{c}", "skipped")
 _import("update", "coalesce(b.{c}, a.{c})", "updated")
 _import("replace", "b.{c}", "replaced")
+
+
+def write_session_files(spark, sf_dir, base):
+    """The conversations as a transcript tree: each line of a text is a part, and every fifth turn is a tool call instead."""
+    rows = views.table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    message = F.concat_ws("-", F.lit("m"), "conv_id", "turn", "n")
+    named = rows.select("*", message.alias("m"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("s"), (F.col("turn") % 5 == 4).alias("tool"))
+    sessions = named.groupBy("s").agg(F.min("turn").alias("first"))
+    sessions.select(F.col("s").alias("id"), F.concat(F.lit("slug "), F.col("s")).alias("slug"), F.lit("/work").alias("directory"), F.struct((F.col("first") * 1000).alias("created")).alias("time")).write.json(f"{base}/session/p")
+    named.select(F.col("m").alias("id"), F.col("s").alias("sessionID"), "role", F.struct((F.col("turn") * 1000).alias("created")).alias("time")).write.json(f"{base}/message/all")
+    texts = named.filter("not tool").select("m", "s", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    texts = texts.select(F.concat_ws("-", "m", F.lpad(F.col("k").cast("string"), 6, "0")).alias("id"), F.col("s").alias("sessionID"), F.col("m").alias("messageID"), F.lit("text").alias("type"), "text")
+    texts.write.json(f"{base}/part/texts")
+    state = F.struct(F.when(F.col("turn") % 2 == 0, "completed").otherwise("error").alias("status"), F.struct(F.substring("text", 1, 200).alias("q")).alias("input"), F.col("text").alias("output"))
+    tools = named.filter("tool").select(F.concat("m", F.lit("-t")).alias("id"), F.col("s").alias("sessionID"), F.col("m").alias("messageID"), F.lit("tool").alias("type"), F.lit("search").alias("tool"), state.alias("state"))
+    tools.write.json(f"{base}/part/tools")
+
+
+@query("""with r as (select *, row_number() over (partition by conv_id, turn order by role nulls first, text nulls first) as n from conversations where conv_id is not null and turn is not null),
+m as (select 's' || conv_id as session_id, 'm-' || conv_id || '-' || turn || '-' || n as message_id, case when role = 'user' then 'user' else 'assistant' end as role, turn, text, turn % 5 = 4 as tool,
+ '{"q":' || to_json(substr(text, 1, 200))::varchar || '}' as given from r)
+select session_id, message_id, role, turn * 1000 as created_ms, case when tool then '[search' || case when turn % 2 = 0 then '' else ' (error)' end || ': ' || case when length(given) > 100 then substr(given, 1, 100) || '...' else given end || ']'
+ else array_to_string(list_filter(string_split(text, chr(10)), lambda t: t <> ''), chr(10)) end as content, case when tool then 1 else 0 end as calls
+from m where tool or len(list_filter(string_split(text, chr(10)), lambda t: t <> '')) > 0""")
+def session_messages(spark, sf_dir):
+    """Conversations written as a tree of transcript files, and read back by a stream as messages."""
+    base, store = new_path(spark, "sessions"), new_path(spark, "session-store")
+    write_session_files(spark, sf_dir, base)
+    found = session_files.sync(spark, base, store, lines=True)
+    return found.select("session_id", "message_id", "role", F.unix_millis("at").alias("created_ms"), "content", F.size("calls").alias("calls"))

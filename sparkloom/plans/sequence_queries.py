@@ -186,3 +186,15 @@ def observed_behaviours(spark, sf_dir):
             one = QUERIES[name](spark, sf_dir).select("user_id").distinct().select("user_id", F.lit(kind).alias("pattern"), F.lit(confidence).alias("confidence"))
             out = one if out is None else out.unionByName(one)
     return out
+
+
+@query()
+def session_behaviours(spark, sf_dir):
+    """What each session showed when it ended, by a stateful stream over a buffer of its last hundred steps; tests compare with the plain rule.
+
+    A session ends after a day of silence and its buffer goes back a week, since the given events are some hours apart.
+    """
+    from ..streaming import observer
+
+    day = 86_400_000_000
+    return observer.observed(spark, f"{sf_dir}/events.parquet", observer.Limits(expiry_us=7 * day, quiet_us=day))

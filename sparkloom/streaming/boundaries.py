@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.views import micros
-from .windows import drain
+from .windows import as_pattern, drain
 
 WINDOW = 5
 GAP_US = 600_000_000
@@ -82,6 +82,6 @@ def boundary_stream(events: DataFrame, by_similarity: bool = False) -> DataFrame
 def episode_boundaries(spark: SparkSession, path: str, files_per_batch: int = 100, by_similarity: bool = False, about: str = "props") -> DataFrame:
     """All boundaries of the event files at ``path``, by a stream that is drained; an event's target is its column ``about``."""
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(as_pattern(path))
     events = raw.select("user_id", "event_id", micros("ts").alias("us"), F.col(about).alias("target"))
     return drain(boundary_stream(events, by_similarity), "boundaries", "append").drop("batch_no")

@@ -10,10 +10,17 @@ from ..shared import new_path
 from ..sources.views import micros
 
 
+def as_pattern(path: str) -> str:
+    """``path`` as a pattern that matches just it, whether it is a file or a folder; a stream takes a file only by a pattern."""
+    plain = path.rstrip("/")
+    escaped = "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in plain[:-1])
+    return f"{escaped}[{plain[-1]}]" if plain[-1] not in "[]{}*?\\^-" else f"{escaped}\\{plain[-1]}"
+
+
 def events_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream over the parquet file or folder at ``path``; as a pattern it may be either."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(as_pattern(path))
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
 
 
@@ -22,13 +29,13 @@ def window_counts(events: DataFrame, width: str = "6 hours", late: str = "2 days
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def drain(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str = "update", home: str | None = None) -> DataFrame:
     """Run a stream over all that is there; each batch overwrites its own folder, so a repeated batch adds nothing.
 
     Returns every update, with its batch number.
     """
     spark = stream.sparkSession
-    home = new_path(spark, label)
+    home = home or new_path(spark, label)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{home}/out/b{number}")
