@@ -88,56 +88,6 @@ def ancestors(parents: DataFrame) -> DataFrame:
         known, reach = cut(known.unionByName(new)), reach * 2
 
 
-def _settled(step, rows: DataFrame) -> DataFrame:
-    """``step`` applied until the number of rows no longer falls."""
-    n = rows.count()
-    while n:
-        rows = cut(step(rows))
-        left = rows.count()
-        if left == n:
-            break
-        n = left
-    return rows
-
-
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node): the nodes that lie on a directed cycle of any length, in rounds of joins.
-
-    Edges that nothing enters or leaves go first. Then each node takes the largest id among those that reach it; of the nodes
-    with one such id, those that reach it back are its cycle class. The classes go, and the rest is looked at again.
-    """
-    all_edges = directed(edges, "forward")
-    loops = all_edges.filter("a = b").select(F.col("a").alias("node"))
-    found = cut(loops)
-
-    def trim(e: DataFrame) -> DataFrame:
-        return e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-
-    rest = cut(all_edges.filter("a <> b"))
-    while True:
-        rest = _settled(trim, rest)
-        if rest.isEmpty():
-            return found.distinct()
-        colour = cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:
-            best = rest.join(colour, F.col("a") == F.col("node")).groupBy("b").agg(F.max("colour").alias("best"))
-            new = cut(colour.join(best, F.col("node") == F.col("b"), "left").select("node", F.greatest("colour", F.coalesce("best", "colour")).alias("colour"), F.col("colour").alias("was")))
-            colour = new.select("node", "colour")
-            if new.filter("colour <> was").isEmpty():
-                break
-        own = colour.select(F.col("node").alias("a"), F.col("colour").alias("ca"))
-        inner = cut(rest.join(own, "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b"))
-        seen = front = cut(colour.filter("node = colour").select("node"))
-        while not front.isEmpty():
-            front = cut(inner.join(front, F.col("b") == F.col("node")).select(F.col("a").alias("node")).distinct().join(seen, "node", "left_anti"))
-            seen = cut(seen.unionByName(front))
-        # a root alone is on no cycle: one that is has a neighbour in its class
-        classes = inner.join(seen, F.col("b") == F.col("node"), "left_semi").join(seen, F.col("a") == F.col("node"), "left_semi")
-        found = cut(found.unionByName(classes.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        gone = seen.withColumnRenamed("node", "a")
-        rest = cut(rest.join(gone, "a", "left_anti").join(seen.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
-
-
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """(node, community): synchronous label propagation by edge weight (column ``weight``); ties to the smaller label.
 
@@ -192,21 +142,17 @@ def _moved(links: DataFrame, labels: DataFrame, degrees: DataFrame, double_total
     return best.select(F.col("a").alias("node"), F.when(may, -F.col("best.c")).otherwise(F.col("own")).alias("community"))
 
 
-def modularity_communities(edges: DataFrame, least_gain: float = 1e-4) -> DataFrame:
-    """(node, community) by modularity moves over weighted edges (source_id, target_id, weight); a community is named after its smallest node.
+def moved_communities(links: DataFrame, double_total: float, least_gain: float = 1e-4) -> DataFrame:
+    """(node, community) by synchronous modularity moves over a symmetric adjacency (a, b, w); a community is named after its smallest node.
 
     In each round a hashed half of the nodes moves to the neighbouring community of the largest gain, then the other half, so two
     nodes don't swap for ever. A round that does not raise the modularity by more than ``least_gain`` is taken back and the
-    communities become the nodes of the next level. Levels end when nothing merges, so modularity never falls. Repeated edges
-    add up; loops count twice.
+    communities become the nodes of the next level. Levels end when nothing merges, so modularity never falls. ``double_total``: twice the weight of
+    the whole graph, of which ``links`` may be a part.
     """
-    links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("weight").cast("double").alias("w"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    links = cut(links.groupBy("a", "b").agg(F.sum("w").alias("w")))
     of = cut(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    double_total = links.agg(F.sum("w")).first()[0] or 0.0
     turn = 0
-    while double_total:
+    while True:
         degrees = cut(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
         labels = cut(degrees.select("node", F.col("node").alias("community")))
         quality = _quality(links, labels, double_total)
@@ -228,44 +174,6 @@ def modularity_communities(edges: DataFrame, least_gain: float = 1e-4) -> DataFr
     return of
 
 
-def greedy_degree_cap(pairs: DataFrame, cap: int = 5, max_rounds: int = 10_000) -> DataFrame:
-    """Pairs (a, b, score) taken from the best down while both ends have fewer than ``cap``.
-
-    The sequential rule in rounds: a pair is taken when it is among the best open ones at both of its ends
-    that still fit; ends that are full close the rest. Each round takes the best open pair at least; a run
-    that still has open pairs after ``max_rounds`` fails.
-    """
-    from pyspark.sql import Window
-
-    open_ = cut(pairs.select("a", "b", "score"))
-    taken = None
-    used = None
-    for k in range(max_rounds):
-        ends = open_.select("*", F.explode(F.array("a", "b")).alias("end"))
-        order = Window.partitionBy("end").orderBy(F.desc("score"), "a", "b")
-        ranked = ends.withColumn("rank", F.row_number().over(order))
-        if used is not None:
-            ranked = ranked.join(used, "end", "left").withColumn("room", cap - F.coalesce("n", F.lit(0)))
-        else:
-            ranked = ranked.withColumn("room", F.lit(cap))
-        fits = ranked.groupBy("a", "b", "score").agg(F.min(F.col("rank") <= F.col("room")).alias("ok"))
-        now = cut(fits.filter("ok").select("a", "b", "score"))
-        if now.isEmpty():
-            break
-        taken = now if taken is None else taken.unionByName(now)
-        taken = cut(taken) if k % 20 == 19 else taken
-        used = cut(taken.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n")))
-        full = used.filter(F.col("n") >= cap).select("end")
-        rest = open_.join(now, ["a", "b"], "left_anti")
-        rest = rest.join(full.withColumnRenamed("end", "a"), "a", "left_anti").join(full.withColumnRenamed("end", "b"), "b", "left_anti")
-        open_ = cut(rest.select("a", "b", "score"))
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"greedy_degree_cap did not settle in {max_rounds} rounds")
-    return taken if taken is not None else pairs.select("a", "b", "score").limit(0)
-
-
 def neighbours(edges: DataFrame, nodes: list[int], side: str = "both", types: list[str] | None = None) -> DataFrame:
     """(at, node, relation_type, side) of the stated ``nodes`` along edges (source_id, target_id, relation_type) of the given types."""
     chosen = edges.filter(F.col("relation_type").isin(types)) if types else edges

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metric_join
-from .graph import cut, greedy_degree_cap
+from .graph import cut
+from .graph_parts import greedy_degree_cap
 
 
 def dot(a: Column, b: Column) -> Column:

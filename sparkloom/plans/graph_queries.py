@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, graph_parts
 from ..registry import query
 from ..sources import views
 from ..sources.views import sql
@@ -108,7 +108,7 @@ r as (select a as start, b as node from blk union select start, b from r join bl
 select distinct start as node from r where node = start""", "relations"))
 def cycle_nodes(spark, sf_dir):
     """Nodes that block themselves over any number of steps."""
-    return graph.on_cycles(views.relations(spark, sf_dir).filter("relation_type in ('depends_on', 'related_to')"))
+    return graph_parts.on_cycles(views.relations(spark, sf_dir).filter("relation_type in ('depends_on', 'related_to')"))
 
 
 @query(sql("""select relation_type, count(*) as n, count(distinct source_id) as sources, count(distinct target_id) as targets from relations group by 1""", "relations"))
@@ -139,6 +139,13 @@ def communities_modularity(spark, sf_dir):
     from ..operators import vector
 
     pairs = vector.similar_pairs(views.vectors(spark, sf_dir), 0.3)
-    labels = graph.modularity_communities(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")))
+    labels = graph_parts.modularity_communities(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")))
     sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("members")).filter("members >= 3")
     return labels.join(sizes, "community").select("node", "community", "members")
+
+
+@query()
+def communities_chosen(spark, sf_dir):
+    """Communities of parent tasks, each component by the algorithm that suits its size, with each community's share of the modularity; tests compare with plain loops."""
+    edges = views.relations(spark, sf_dir).filter("relation_type = 'parent_task' and source_id <> target_id").select("source_id", "target_id").distinct().withColumn("weight", F.lit(1.0))
+    return graph_parts.chosen_communities(edges, 0.75)

@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from sparkloom.operators import graph, vector
+from sparkloom.operators import graph, graph_parts, vector
 
 
 def test_ancestors_far_up_and_on_a_cycle(spark):
@@ -22,18 +22,18 @@ def test_nodes_on_cycles(spark):
     # a tail into the ring, a bridge between two rings, a loop, and a path that ends
     edges = ring + [(20, 0), (3, 30), (30, 31), (31, 32), (32, 31), (32, 40), (40, 41), (50, 50), (60, 61), (61, 62)]
     df = spark.createDataFrame(edges, "source_id long, target_id long")
-    assert {r["node"] for r in graph.on_cycles(df).collect()} == {*range(7), 31, 32, 50}
-    assert graph.on_cycles(df.limit(0)).count() == 0
+    assert {r["node"] for r in graph_parts.on_cycles(df).collect()} == {*range(7), 31, 32, 50}
+    assert graph_parts.on_cycles(df.limit(0)).count() == 0
 
 
 def test_modularity_moves_find_planted_groups(spark):
     groups = [range(6 * g, 6 * g + 6) for g in range(4)]
     edges = [(a, b, 1.0) for g in groups for a in g for b in g if a < b] + [(5, 6, 0.1), (11, 12, 0.1), (17, 18, 0.1), (23, 0, 0.1)]
     df = spark.createDataFrame(edges, "source_id long, target_id long, weight double")
-    labels = graph.modularity_communities(df)
+    labels = graph_parts.modularity_communities(df)
     assert {r["node"]: r["community"] for r in labels.collect()} == {n: g[0] for g in groups for n in g}
     assert graph.modularity(df, labels) >= graph.modularity(df, graph.communities(df)) > 0
-    assert graph.modularity_communities(df.limit(0)).count() == 0
+    assert graph_parts.modularity_communities(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("block", [3, 2048])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
 from sparkloom.functions.stem import stem
-from sparkloom.operators import classify, filters, fulltext, graph, maintenance, policies, scope, sequence, signals, stats, vector
+from sparkloom.operators import classify, filters, fulltext, graph, graph_parts, maintenance, policies, scope, sequence, signals, stats, vector
 from sparkloom.plans.search import SearchPlan
 from sparkloom.sources import exchange
 from sparkloom.streaming import boundaries, windows
@@ -63,7 +63,7 @@ def test_greedy_degree_cap_follows_the_sequential_rule(spark, points):
             want.add((a, b))
             used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
     df = spark.createDataFrame([(a, b, float(s)) for s, a, b in ranked], "a long, b long, score double")
-    assert {(r["a"], r["b"]) for r in graph.greedy_degree_cap(df, 3).collect()} == want
+    assert {(r["a"], r["b"]) for r in graph_parts.greedy_degree_cap(df, 3).collect()} == want
 
 
 def test_communities_and_hierarchy_find_planted_groups(vectors):

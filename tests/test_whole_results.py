@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 
 from sparkloom import registry
-from sparkloom.operators import graph, vector
-from sparkloom.sources import views
+from sparkloom.operators import vector
 
 
 def slow_edges(v, threshold, cap):
@@ -40,12 +39,6 @@ def test_many_copies_keep_their_edges(spark):
     assert got == {p for at in range(0, 2000, 6) for p in combinations(range(at, min(at + 6, 2000)), 2)}
 
 
-def test_degree_cap_raises_when_pairs_stay_open(spark):
-    df = spark.createDataFrame([(a, b, 1.0) for a, b in combinations(range(30), 2)], "a long, b long, score double")
-    with pytest.raises(RuntimeError):
-        graph.greedy_degree_cap(df, 5, max_rounds=2)
-
-
 def test_highlight_marks_matches_beyond_the_head(spark, tmp_path):
     spark.createDataFrame([(1, "x " * 100 + "The end of it"), (2, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["fts_highlight_whole"](spark, str(tmp_path)).collect()
