@@ -225,10 +225,20 @@ def feedback_decisions(spark, sf_dir):
     return signals.select(F.explode(F.array_compact(decisions)).alias("d")).select("d.*")
 
 
-@query()
+_SAID = f"""said as (select event_id, user_id, trim(text) as t from messages), first as (select event_id, user_id, t, {commands.sql_first('t', commands.COMMANDS)} as f, regexp_matches(t, '{commands.QUESTION}') as asks,
+ list_sort([{', '.join(f"{{'hits': {commands.sql_hits('t', p)}, 'k': {-k}, 'name': '{n}'}}" for k, (n, p) in enumerate(commands.ENTRY_TYPES.items()))}], 'desc')[1] as kind from said)"""
+
+
+@query(sql(f"""+{_SAID} select event_id, user_id, case when f is not null then f.name when asks then 'retrieve' when kind.hits > 0 then 'store' else 'unknown' end as command, coalesce(f.hits, 0)::int as hits,
+ case when f is not null then least(1.0, round(0.6 + f.hits * 0.15, 6)) when asks or kind.hits > 0 then 0.5 else 0.0 end::double as confidence, case when f is null and not asks and kind.hits > 0 then kind.name end as entry_type from first""", "messages"))
 def command_intent(spark, sf_dir):
-    """The command that each message gives; tested with planted sentences."""
-    rows = views.messages(spark, sf_dir)
-    text = next(c for c in ("content", "text") if c in rows.columns)
-    said = rows.select(*[c for c in rows.columns if c != text], commands.command(F.col(text)).alias("c"))
-    return said.select(*[c for c in rows.columns if c != text], F.col("c.intent").alias("command"), F.col("c.hits").alias("hits"), F.col("c.confidence").alias("confidence"))
+    """The command that each message gives, or the type of entry that it speaks of."""
+    said = views.messages(spark, sf_dir).select("event_id", "user_id", commands.command(F.col("text")).alias("c"))
+    return said.select("event_id", "user_id", F.col("c.intent").alias("command"), F.col("c.hits").alias("hits"), F.col("c.confidence").alias("confidence"), F.col("c.entry_type").alias("entry_type"))
+
+
+@query(sql(f"""+w as (select event_id, trim(text) as t from messages), f as (select event_id, t, {commands.sql_first('t', commands.WORK)} as f, {commands.sql_hits('t', commands.NO_WORK)} > 0 as out, len(regexp_split_to_array(t, '\\s+')) >= 3 as several from w)
+select event_id, not out and (f is not null or several) as begins, case when not out then f.name end as work, case when out then 0.0 when f is not null then least(0.95, round(0.6 + f.hits * 0.1, 6)) when several then 0.5 else 0.0 end::double as confidence from f""", "messages"))
+def announced_work(spark, sf_dir):
+    """Whether an episode begins with what was said, and of which kind."""
+    return views.messages(spark, sf_dir).select("event_id", commands.announced_work(F.col("text")).alias("w")).select("event_id", "w.*")
