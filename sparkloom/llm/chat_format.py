@@ -9,7 +9,7 @@ to find the prefix. ``preference_turns`` stays one row per turn, so a conversati
 spread over tasks; ``preference_rows`` gathers one pair's text in the end, which is what is asked for.
 
 Defined cases: a null role or text counts as empty; a null turn number comes first; rows with the same
-turn number are one turn, ordered by role and text, and equal rows count once; rows without pair or of another
+turn number are one turn, ordered by role and text, and equal rows stay as often as they come: a turn is common if both sides have each row equally often; rows without pair or of another
 side are ignored; a pair with one side only has an empty prompt and an empty completion on the other side; an empty
 table gives an empty result; other columns are not read.
 """
@@ -35,11 +35,12 @@ def preference_turns(turns: DataFrame) -> DataFrame:
         "pair_id", "side", F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).filter(F.col("pair_id").isNotNull() & F.col("side").isin(*SIDES))
     turn = ["pair_id", "turn", "role", "text"]
-    once = rows.groupBy(*turn).agg(F.max(F.col("side") == "chosen").alias("chosen"), F.max(F.col("side") == "rejected").alias("rejected"))
-    differs = once.filter("not (chosen and rejected)").groupBy("pair_id").agg(F.min("turn").alias("stop"))
+    times = lambda side: F.count_if(F.col("side") == side).cast("int").alias(side)
+    once = rows.groupBy(*turn).agg(*[times(side) for side in SIDES])
+    differs = once.filter("chosen <> rejected").groupBy("pair_id").agg(F.min("turn").alias("stop"))
     placed = once.join(differs, "pair_id", "left").withColumn("common", F.col("stop").isNull() | (F.col("turn") < F.col("stop")))
-    sides = F.array(*[F.when(F.col(side), side) for side in SIDES])
-    part = F.when(F.col("common"), F.array(F.lit("prompt"))).otherwise(F.array_compact(sides))
+    sides = F.concat(*[F.array_repeat(F.lit(side), F.col(side)) for side in SIDES])
+    part = F.when(F.col("common"), F.array_repeat(F.lit("prompt"), F.col("chosen"))).otherwise(sides)
     return placed.select(
         "pair_id", F.explode(part).alias("part"), "turn", "role",
         rendered(F.col("role"), F.col("text")).alias("text"),

@@ -17,7 +17,7 @@ template has. Both are taken over the unit's own token array, first by its lengt
 each token, then for each template; what stays below the threshold there stays below it in truth. So nothing is lost, and what is
 shuffled are the few units left.
 
-Defined cases: null and empty texts have no licence of their own; a null path part is an empty name; ties go to the
+Defined cases: null and empty texts have no licence of their own; a file without a path (null or empty) covers nothing and inherits nothing; ties go to the
 smaller licence name; equal rows get equal results; an empty table works; other columns are not read.
 """
 
@@ -185,7 +185,8 @@ def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
     # the best: most matched weight, then the highest score, then the smaller name (negated, so that it is one minimum)
     found = F.struct((-F.round(F.col("dot") * F.pow(F.col("dot") / F.col("norm"), F.lit(2.0)), 6)).alias("mass"), (-F.col("score")).alias("s"), "license")
     best = scores.groupBy("path", "row_key").agg(F.min(found).alias("own"), F.min(F.when(F.col("line") == -1, found)).alias("whole"))
-    covering = F.when(F.col("path").rlike(NAMED), F.coalesce("whole", "own")).when(F.col("path").rlike(PROSE), F.col("whole"))
+    # where a file without a path lies is not known, so it covers nothing
+    covering = F.when(F.col("path") == "", F.lit(None)).when(F.col("path").rlike(NAMED), F.coalesce("whole", "own")).when(F.col("path").rlike(PROSE), F.col("whole"))
     best = materialize(best.withColumn("file", covering), "license-best")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -195,13 +196,15 @@ def license_scan(files: DataFrame, model: Model | None = None) -> DataFrame:
     parts = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     dirs = named.select(folder.alias("dir")).distinct()
-    above = dirs.select(F.col("dir").alias("of"), F.explode(F.array_distinct(up)).alias("dir")).join(covers, "dir")
+    above = dirs.select(F.col("dir").alias("of"), F.explode(F.array_distinct(up)).alias("dir"))
+    # every directory has the top one above it: that key is spread
+    above = attach(above, covers, "dir", F.xxhash64("of")).filter("license is not null")
     nearest = above.groupBy("of").agg(F.max_by(F.struct("dir", "license", "score"), F.length("dir")).alias("near"))
     nearest = nearest.select(F.col("of").alias("dir"), "near")
 
     rows = named.select("path", "row_key", folder.alias("dir")).join(best, ["path", "row_key"], "left")
     rows = attach(rows, nearest, "dir", F.col("row_key"))
-    own, near = F.col("own"), F.col("near")
+    own, near = F.col("own"), F.when(F.col("path") != "", F.col("near"))
     return rows.select(
         "path", "row_key",
         F.coalesce(own["license"], near["license"]).alias("license"),

@@ -145,18 +145,18 @@ sided as (
   union all
   select conv_id, 'rejected', turn, coalesce(role, ''), coalesce(case when role = 'assistant' and turn = final then other else text end, '')
   from rows where not coalesce(role = 'assistant' and turn = final, false) or given),
-once as (select pair_id, turn, role, text, bool_or(side = 'chosen') as c, bool_or(side = 'rejected') as r from sided group by all),
-stops as (select pair_id, min(turn) filter (where not (c and r)) as stop from once group by pair_id),
+once as (select pair_id, turn, role, text, count(*) filter (where side = 'chosen') as c, count(*) filter (where side = 'rejected') as r from sided group by all),
+stops as (select pair_id, min(turn) filter (where c <> r) as stop from once group by pair_id),
 placed as (select o.*, stop is null or turn < stop as common from once o join stops using (pair_id)),
 parts as (
-  select pair_id, 'prompt' as part, turn, role, text, false as loss from placed where common
-  union all select pair_id, 'chosen', turn, role, text, role = 'assistant' from placed where not common and c
-  union all select pair_id, 'rejected', turn, role, text, role = 'assistant' from placed where not common and r),
+  select pair_id, 'prompt' as part, turn, role, text, false as loss, unnest(range(c)) as k from placed where common
+  union all select pair_id, 'chosen', turn, role, text, role = 'assistant', unnest(range(c)) from placed where not common
+  union all select pair_id, 'rejected', turn, role, text, role = 'assistant', unnest(range(r)) from placed where not common),
 shown as (select *, '<|' || role || '|>' || chr(10) || text || chr(10) as out from parts),
-spans as (select *, sum(length(out)) over (partition by pair_id, part order by turn, role, text) as stop from shown),
+spans as (select *, sum(length(out)) over (partition by pair_id, part order by turn, role, text, k) as stop from shown),
 folded as (
-  select pair_id, part, string_agg(out, '' order by turn, role, text) as text, count(*) as n,
-    coalesce(string_agg((stop - length(out))::bigint || ':' || stop::bigint, ',' order by turn, role, text) filter (where loss), '') as mask
+  select pair_id, part, string_agg(out, '' order by turn, role, text, k) as text, count(*) as n,
+    coalesce(string_agg((stop - length(out))::bigint || ':' || stop::bigint, ',' order by turn, role, text, k) filter (where loss), '') as mask
   from spans group by pair_id, part)
 select pair_id,
   coalesce(max(text) filter (where part = 'prompt'), '') as prompt, coalesce(max(n) filter (where part = 'prompt'), 0) as prompt_turns,

@@ -139,10 +139,18 @@ def test_an_unknown_tag_is_no_licence(spark):
 def test_license_edges(spark):
     extra = spark.createDataFrame([(None, MIT, "d", 1), (None, None, "d", 1), ("a/b", "word " * 90_000 + "\n" + MIT, "d", 1)], "path string, text string, dir string, score int")
     got = {(r["path"], r["license"], r["origin"]) for r in license_scan.license_scan(extra).collect()}
-    assert got == {("", "MIT", "own"), ("", "MIT", "inherited"), ("a/b", "MIT", "own")}
+    assert got == {("", "MIT", "own"), ("", None, "none"), ("a/b", "MIT", "own")}
     assert license_scan.license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_a_file_without_a_path_covers_nothing(spark):
+    files = spark.createDataFrame([(None, MIT), ("a/x.py", "pass"), ("z.py", "pass"), ("b/LICENSE", MIT), ("b/c/y.py", "pass")], "path string, text string")
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.license_scan(files).collect()}
+    assert got == {"": ("MIT", "own"), "a/x.py": (None, "none"), "z.py": (None, "none"), "b/LICENSE": ("MIT", "own"), "b/c/y.py": ("MIT", "inherited")}
+    top = spark.createDataFrame([(None, "pass"), ("LICENSE", MIT), ("z.py", "pass")], "path string, text string")
+    assert {r["path"]: r["origin"] for r in license_scan.license_scan(top).collect()} == {"": "none", "LICENSE": "own", "z.py": "inherited"}
+
+
 def test_large_lookup_is_salted_with_equal_results(spark, monkeypatch):
     from sparkloom.llm import common
 
@@ -178,7 +186,8 @@ def slow_verdict(url):
 @pytest.mark.parametrize("digits", [8, 1])
 def test_url_filter_against_brute_force(spark, digits):
     """One hex digit makes prefixes collide; full digests settle that."""
-    pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(URLS)] + [(None, URLS[0], 2), (0, URLS[0], 1)], "page_id long, url string, host int")
+    # columns that have the operator's own names
+    pages = spark.createDataFrame([(k, u, 1, 2, "x", 3, 4, 5) for k, u in [*enumerate(URLS), (None, URLS[0]), (0, URLS[0])]], "page_id long, url string, host int, path int, rule string, verdict int, short int, digest int")
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     got = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in url_filter.url_filter(pages, rules, prefix_digits=digits).collect())
     want = [(str(k), *slow_verdict(u)) for k, u in [*enumerate(URLS), (None, URLS[0]), (0, URLS[0])]]
@@ -210,9 +219,9 @@ def test_url_filter_empty(spark):
 def slow_pairs(rows):
     out = {}
     for pair in sorted({r[0] for r in rows if r[0] is not None}):
-        side = {s: sorted({((-1 if t is None else t), role or "", text or "") for p, s, t, role, text in rows if p == pair and s == s_}) for s_ in chat_format.SIDES for s in [s_]}
+        side = {s_: sorted(((-1 if t is None else t), role or "", text or "") for p, s, t, role, text in rows if p == pair and s == s_) for s_ in chat_format.SIDES}
         turns = sorted({t for x in side.values() for t, _, _ in x})
-        stop = next((t for t in turns if {x for x in side["chosen"] if x[0] == t} != {x for x in side["rejected"] if x[0] == t}), None)
+        stop = next((t for t in turns if [x for x in side["chosen"] if x[0] == t] != [x for x in side["rejected"] if x[0] == t]), None)
         show = lambda xs: "".join(f"<|{r}|>\n{x}\n" for _, r, x in xs)
         prompt = [x for x in side["chosen"] if stop is None or x[0] < stop]
         row = [show(prompt), len(prompt)]
@@ -243,9 +252,12 @@ def test_preference_rows_against_brute_force(spark):
             rows += [(pair, side, *x) for x in common + tail]
     rows += [(90, "chosen", 0, "user", "alone"), (91, "rejected", None, None, None), (92, "chosen", 1, "user", "same"), (92, "rejected", 1, "user", "same"), (92, "chosen", 1, "user", "same"), (None, "chosen", 0, "user", "x"), (93, "other", 0, "user", "x")]
     rows += [(94, s, 0, "user", x) for s in chat_format.SIDES for x in ("tie a", "tie b")] + [(95, s, 0, "assistant", "long " * 50_000 + s) for s in chat_format.SIDES]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "pair_id long, side string, turn long, role string, text string, stop int")
+    rows += [(96, s, 0, "user", "said twice") for s in chat_format.SIDES for _ in range(2)] + [(96, "chosen", 1, "assistant", "yes")] * 3 + [(96, "rejected", 1, "assistant", "yes")]
+    # columns that have the operator's own names
+    df = spark.createDataFrame([(*r, 1, "x", 2, "y", 3, True) for r in rows], "pair_id long, side string, turn long, role string, text string, stop int, part string, chosen int, rejected string, n int, loss boolean")
     want = {k: v for k, v in slow_pairs(rows).items() if k != 93}
     assert formatted(df) == want
+    assert want[96][1] == 2 and want[96][3] == 3 and want[96][6] == 1
     assert chat_format.preference_rows(df.limit(0)).count() == 0
 
 
