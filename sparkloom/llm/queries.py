@@ -167,3 +167,30 @@ select pair_id,
 from folded group by pair_id
 """,
 }
+
+
+def _merkle_sql(fanout: int = 8, levels: int = 7, top: int = 3) -> str:
+    """The manifest level by level; parts of up to fanout^levels rows, fanout^top parts."""
+    enc = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    row = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    parts = [f"""rows as (select row_number() over () as r, doc_id, dense_rank() over (order by lang nulls first) as g, {row('text')} as d,
+ {row("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as changed, coalesce({crc} % 3 = 0, false) as tampered from documents),
+l0 as (select *, count(*) over (partition by g) as n from (select r, g, row_number() over (partition by g order by doc_id nulls first, d, r) - 1 as i, d from rows)),
+p0 as (select l0.r, l0.g, l0.i, '' as proof, case when tampered then changed else l0.d end as node from l0 join rows using (r))"""]
+
+    def climb(name: str, walk: str, k: int) -> str:
+        run = f"x.g = p.g and x.i // {fanout} = p.i // {fanout}"
+        return f"""{name}{k + 1} as (select *, count(*) over (partition by g) as n from (select g, case when n > 1 then i // {fanout} else i end as i, case when n > 1 then sha256(string_agg(d, '' order by i)) else min(d) end as d
+ from {name}{k} group by g, n, case when n > 1 then i // {fanout} else i end)),
+{walk}{k + 1} as (select p.r, p.g, case when x.n > 1 then p.i // {fanout} else p.i end as i, proof || coalesce(string_agg(x.d, '' order by x.i) filter (where x.i <> p.i), '') as proof,
+ case when x.n > 1 then sha256(string_agg(case when x.i = p.i then p.node else x.d end, '' order by x.i)) else p.node end as node from {walk}{k} p join {name}{k} x on {run} group by p.r, p.g, p.i, p.proof, p.node, x.n)"""
+
+    parts += [climb("l", "p", k) for k in range(levels)]
+    parts.append(f"t0 as (select 0 as g, g - 1 as i, d, count(*) over () as n from l{levels}), u0 as (select r, 0 as g, g - 1 as i, proof, node from p{levels})")
+    parts += [climb("t", "u", k) for k in range(top)]
+    return "with " + ",\n".join(parts) + f"""
+select doc_id, rows.d as leaf, s.d as subroot, o.d as root, sha256(proof) as proof_sha256, node as folded_root, node = o.d as verified from rows join u{top} using (r) join l{levels} s on s.g = rows.g, t{top} o"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle_sql()
