@@ -166,14 +166,14 @@ def name_duplicates(spark, sf_dir):
     return near.join(side("x", "parts_a"), "x").join(side("y", "parts_b"), "y").select(F.col("x").alias("na"), F.col("y").alias("nb"), "parts_a", "parts_b", "similarity")
 
 
-@query("""with t as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '\\b(always|never)\\s+([a-z]+)', 1)) as kind, unnest(regexp_extract_all(lower(text), '\\b(always|never)\\s+([a-z]+)', 2)) as subject from conversations)
-select conv_id, subject, count(*) filter (where kind = 'always') as pro, count(*) filter (where kind = 'never') as contra from t group by conv_id, subject having count(distinct kind) = 2""")
+@query(sql("""+t as (select user_id, unnest(regexp_extract_all(lower(text), '\\b(always|never)\\s+([a-z]+)', 1)) as kind, unnest(regexp_extract_all(lower(text), '\\b(always|never)\\s+([a-z]+)', 2)) as subject from messages)
+select user_id, subject, count(*) filter (where kind = 'always') as pro, count(*) filter (where kind = 'never') as contra from t group by user_id, subject having count(distinct kind) = 2""", "messages"))
 def contradictions(spark, sf_dir):
-    """Subjects that one conversation both always and never wants: statements grouped by subject."""
+    """Subjects that one user both always and never wants: statements grouped by subject."""
     low, pattern = F.lower("text"), r"\b(always|never)\s+([a-z]+)"
     both = F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all(low, F.lit(pattern), F.lit(2)).alias("subject"))
-    rows = views.table(spark, sf_dir, "conversations").select("conv_id", F.explode(both).alias("s")).select("conv_id", "s.kind", "s.subject")
-    by = rows.groupBy("conv_id", "subject").agg(when_count(F.col("kind") == "always").alias("pro"), when_count(F.col("kind") == "never").alias("contra"))
+    rows = views.messages(spark, sf_dir).select("user_id", F.explode(both).alias("s")).select("user_id", "s.kind", "s.subject")
+    by = rows.groupBy("user_id", "subject").agg(when_count(F.col("kind") == "always").alias("pro"), when_count(F.col("kind") == "never").alias("contra"))
     return by.filter("pro > 0 and contra > 0")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import secrets
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import cursors, scoring
 from ..operators import commands, fulltext, graph
 from ..registry import query
 from ..sources import views
@@ -111,8 +112,11 @@ def page_after(rows: DataFrame, keys: list[tuple[str, bool]], cursor: dict | Non
 
 @query(sql("select entry_id, priority from entries where is_active and (priority < 90 or (priority = 90 and entry_id > 40)) order by priority desc, entry_id limit 30", "entries"))
 def cursor_page(spark, sf_dir):
+    """The page after a sealed cursor."""
+    secret = spark.conf.get("sparkloom.cursor.secret", "") or secrets.token_urlsafe(32)
+    given = cursors.sealed({"priority": 90, "entry_id": 40}, secret, 0)
     rows = views.entries(spark, sf_dir).filter("is_active").select("entry_id", "priority")
-    return page_after(rows, [("priority", True), ("entry_id", False)], {"priority": 90, "entry_id": 40}, 30)
+    return page_after(rows, [("priority", True), ("entry_id", False)], cursors.opened(given, secret, cursors.HOUR_MS), 30)
 
 
 @query("""select event_id, urgency, severity from (select event_id, ['low', 'normal', 'high', 'critical'][(event_id % 4 + 1)::int] as urgency, ['minor', 'major', 'blocker'][(event_id // 4 % 3 + 1)::int] as severity from events where event_type = 'error')

@@ -130,10 +130,10 @@ def filter_fuzzy(spark, sf_dir):
     return views.table(spark, sf_dir, "part").filter(text.fuzzy(F.col("p_name"), "red widgte")).select("p_partkey", "p_name")
 
 
-@query("""select p_partkey, p_name from part where len(list_filter(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'rde') <= 1)) > 0
- and len(list_filter(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'widgte') <= 1)) > 0""")
+@query("""select p_partkey, p_name from part where len(list_filter(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'rd') <= 1)) > 0
+ and len(list_filter(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'widgt') <= 1)) > 0""")
 def filter_fuzzy_terms(spark, sf_dir):
-    return views.table(spark, sf_dir, "part").filter(text.fuzzy_terms(F.col("p_name"), "rde widgte")).select("p_partkey", "p_name")
+    return views.table(spark, sf_dir, "part").filter(text.fuzzy_terms(F.col("p_name"), "rd widgt")).select("p_partkey", "p_name")
 
 
 @query(sql("select entry_id, title from entries where regexp_matches(substr(title, 1, 10000), '(?i)^th[aeiou]+.*ing')", "entries"))

@@ -83,14 +83,14 @@ def incremental_windows(spark, sf_dir):
 
 
 @query("""with s as (select user_id, event_id, value, avg(value) over (partition by user_id order by ts, event_id rows between 4 preceding and current row) as recent, avg(value) over (partition by user_id order by ts, event_id rows between 9 preceding and 5 preceding) as before, row_number() over (partition by user_id order by ts, event_id) as n from events)
-select user_id, event_id, round(recent, 6) as recent, round(before, 6) as before from s where n >= 10 and abs(recent - before) > 150""")
+select user_id, event_id, round(recent, 6) as recent, round(before, 6) as before from s where n >= 10 and abs(recent - before) > 60""")
 def shifting_means(spark, sf_dir):
     """The last five against the five before."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = views.table(spark, sf_dir, "events").select(
         "user_id", "event_id", F.avg("value").over(order.rowsBetween(-4, 0)).alias("recent"), F.avg("value").over(order.rowsBetween(-9, -5)).alias("before"), F.row_number().over(order).alias("n")
     )
-    return rows.filter("n >= 10 and abs(recent - before) > 150").select("user_id", "event_id", F.round("recent", 6).alias("recent"), F.round("before", 6).alias("before"))
+    return rows.filter("n >= 10 and abs(recent - before) > 60").select("user_id", "event_id", F.round("recent", 6).alias("recent"), F.round("before", 6).alias("before"))
 
 
 @query("select epoch_us(time_bucket(interval 6 hours, ts)) as start_us, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")

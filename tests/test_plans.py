@@ -41,7 +41,9 @@ def test_query_equals_its_sql(spark, duck, name):
     found = con.execute(registry.ORACLES[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(df.columns)
-    assert rows(df.select(*names).collect()) == rows(found.fetchall())
+    want = rows(found.fetchall())
+    assert rows(df.select(*names).collect()) == want
+    assert want, "a query that finds nothing shows nothing"
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))

@@ -1,6 +1,9 @@
+import base64
+
+import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text
+from sparkloom.functions import cursors, text
 from sparkloom.operators import commands, fulltext
 from sparkloom.plans import ranking_queries as ranking
 
@@ -58,6 +61,22 @@ def test_fnv1a(spark):
     assert [r[0] for r in got] == [slow(t) for t in texts] and slow("foobar") == 0xBF9CF968
 
 
+def test_sealed_cursors():
+    secret, now = "s" * 32, 1_000_000
+    values = {"p": 3, "name": "ü/+", "none": None}
+    token = cursors.sealed(values, secret, now)
+    assert cursors.opened(token, secret, now + cursors.HOUR_MS) == values and "name" not in token and not set(token) & set("+/=")
+    with pytest.raises(cursors.ExpiredCursor):
+        cursors.opened(token, secret, now + cursors.HOUR_MS + 1)
+    assert cursors.opened(cursors.sealed(values, secret, now, None), secret, now * 10**6) == values
+    changed = base64.urlsafe_b64encode(base64.urlsafe_b64decode(token + "=" * (-len(token) % 4)).replace(b'"p":3', b'"p":4')).decode()
+    for bad, key in ((changed, secret), (token, "t" * 32), ("", secret), ("!!", secret), (token[:-5], secret), (base64.urlsafe_b64encode(b"[1]").decode(), secret)):
+        with pytest.raises(cursors.BadCursor):
+            cursors.opened(bad, key, now)
+    with pytest.raises(ValueError):
+        cursors.sealed(values, "short", now)
+
+
 def test_pages_by_cursor_are_the_whole_order(spark):
     rows = spark.createDataFrame([(k, k % 5) for k in range(37)], "id long, p int")
     keys, seen, cursor = [("p", True), ("id", False)], [], None
