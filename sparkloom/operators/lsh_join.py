@@ -81,8 +81,8 @@ def design(n: int, dim: int, threshold: float, recall: float, seed: int = 3) ->
                 continue
             tables = 1 if rate >= recall else math.ceil(math.log(1 - recall) / math.log(1 - rate))
             share = 2 * tables * probes / 2**bits
-            # a probe is a row to shuffle, about as dear as some tens of products
-            cost = share * n / 2 + 20 * tables * (probes + 1)
+            # a probe is a row to shuffle, about as dear as some hundred products
+            cost = share * n / 2 + 100 * tables * (probes + 1)
             if tables <= MAX_TABLES and share < WORTH and (best is None or cost < best[0]):
                 best = cost, Design(bits, probes, tables, share)
     return best[1] if best else None
@@ -114,38 +114,45 @@ def _kept(pairs: DataFrame, most: int | None) -> DataFrame:
 
 
 def _met(rows: DataFrame, threshold: float, plan: Design, dim: int, most: int | None, block: int) -> DataFrame:
-    """Pairs that share a probed bucket in any table. A crowded bucket is several tasks of ``block`` owners and ``block`` probers each."""
+    """Pairs that share a probed bucket in any table. A crowded bucket is several tasks of ``block`` owners and ``block`` probers each.
+
+    What goes to the buckets are packed vectors, an eighth of the size. Their product is off by no more than their two errors allow, so a task
+    returns all pairs that may reach the threshold; the exact cosine of those decides.
+    """
     cuts = planes(dim, plan.tables, plan.bits)
 
-    @F.pandas_udf("array<array<long>>")
-    def buckets(vs: pd.Series) -> pd.Series:
+    @F.pandas_udf("codes array<array<int>>, q binary, step double, off double")
+    def placed(vs: pd.Series) -> pd.DataFrame:
         m = metric_join.unit(vs)
-        return pd.Series(np.stack([probed(m @ p.T, plan.probes) for p in cuts], axis=1).tolist())
+        codes, step, off = metric_join.packed(m)
+        return pd.DataFrame({"codes": np.stack([probed(m @ p.T, plan.probes) for p in cuts], axis=1).astype(np.int32).tolist(), "q": [c.tobytes() for c in codes], "step": step, "off": off})
 
     # by way of a generator, so that a row's buckets are found once
-    coded = cut(rows.select("vec_id", "v", F.posexplode(buckets("v")).alias("t", "codes")), "lsh")
-    own = coded.select("t", F.col("codes")[0].alias("code"), "vec_id", "v")
+    coded = cut(rows.select("vec_id", F.explode(F.array(placed("v"))).alias("p")).select("vec_id", "p.*"), "lsh")
+    tables = coded.select("vec_id", "q", "step", "off", F.posexplode("codes").alias("t", "codes"))
+    own = tables.select("t", F.col("codes")[0].alias("code"), "vec_id", "q", "step", "off")
+    asking = tables.select("t", F.explode("codes").alias("code"), "vec_id", "q", "step", "off")
     crowd = own.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # buckets with owners
-    asking = coded.select("t", F.explode("codes").alias("code"), "vec_id", "v")
     askers = asking.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("askers"))
     parts = cut(crowd.join(askers, ["t", "code"]), "lsh-parts")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
-    owners = own.join(parts, ["t", "code"]).select("t", "code", "vec_id", "v", deal("parts").alias("i"), every("askers").alias("j"), F.lit(True).alias("owner"))
-    probers = asking.join(parts, ["t", "code"]).select("t", "code", "vec_id", "v", every("parts").alias("i"), deal("askers").alias("j"), F.lit(False).alias("owner"))
+    kept = ("t", "code", "vec_id", "q", "step", "off")
+    owners = own.join(parts, ["t", "code"]).select(*kept, deal("parts").alias("i"), every("askers").alias("j"), F.lit(True).alias("owner"))
+    probers = asking.join(parts, ["t", "code"]).select(*kept, every("parts").alias("i"), deal("askers").alias("j"), F.lit(False).alias("owner"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         mine = group["owner"].to_numpy()
-        ids, m = group["vec_id"].to_numpy(), metric_join.unit(group["v"])
-        sims = np.round(m[mine] @ m[~mine].T, 6)
+        ids, off, m = group["vec_id"].to_numpy(), group["off"].to_numpy(), metric_join.unpacked(group)
+        sims, slack = m[mine] @ m[~mine].T, metric_join.slack(off[mine], off[~mine])
         sims[ids[mine][:, None] == ids[~mine][None, :]] = -2
-        hit = sims >= threshold
-        if most is not None and max(hit.shape) > most:  # the best of either end here; ties at the edge all stay
-            least = lambda axis: -np.partition(-sims, most - 1, axis=axis).take([most - 1], axis=axis) if sims.shape[axis] > most else -2.0
-            hit &= (sims >= least(1)) | (sims >= least(0))
+        hit = sims + slack >= threshold
+        if most is not None and max(hit.shape) > most:  # what may be among the best of either end here
+            least = lambda axis: -np.partition(-(sims - slack), most - 1, axis=axis).take([most - 1], axis=axis) if sims.shape[axis] > most else -2.0
+            hit &= (sims + slack >= least(1)) | (sims + slack >= least(0))
         x, y = np.nonzero(hit)
         a, b = ids[mine][x], ids[~mine][y]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sims[x, y]})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    met = owners.unionByName(probers).groupBy("t", "code", "i", "j").applyInPandas(meet, "a long, b long, similarity double")
-    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    met = cut(owners.unionByName(probers).groupBy("t", "code", "i", "j").applyInPandas(meet, "a long, b long").distinct(), "lsh-met")
+    return metric_join.exact(met, rows, threshold)

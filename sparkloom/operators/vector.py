@@ -45,8 +45,8 @@ BLOCK = 2048
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with cosine at least ``threshold``, rounded to six digits: exact.
 
-    Few vectors are compared in blocks. More are joined by metric regions over distinct vectors (``metric_join``), as long as
-    those save something at this threshold. Null and zero vectors have no pairs if the threshold is above 0.
+    Few vectors are compared in blocks. More are joined as packed distinct vectors, by metric regions as long as those save something
+    at this threshold (``metric_join``). Null and zero vectors have no pairs if the threshold is above 0.
     """
     if threshold <= 0:
         return block_pairs(vectors, vectors.count(), threshold, block)
@@ -62,8 +62,8 @@ def similar_classes(vectors: DataFrame, threshold: float, block: int = BLOCK) ->
     """(a, b, similarity) between the smallest ids of equal vectors, and (cls, vec_id), the members of each such class of two and more."""
     rows, members = metric_join.classes(vectors.filter(norm(F.col("v")) > 0))
     n = rows.count()
-    found = metric_join.class_pairs(rows, n, threshold, block)
-    return (block_pairs(rows, n, threshold, block) if found is None else found), members
+    found = block_pairs(rows, n, threshold, block) if n <= 2 * block else metric_join.class_pairs(rows, n, threshold, 8 * block)
+    return found, members
 
 
 def block_pairs(vectors: DataFrame, n: int, threshold: float, block: int = BLOCK) -> DataFrame:

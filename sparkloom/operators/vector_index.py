@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -32,8 +32,8 @@ from .vector import cosine, norm
 #: vectors the search is tuned on.
 MAX_CELLS, PER_CELL, CODE_SAMPLE, TUNE = 16_384, 64, 20_000, 256
 WORDS = 256
-#: Rows of a list, and queries, that meet in one task.
-LIST_ROWS, QUERY_ROWS = 16_384, 256
+#: Rows of a list, and queries, that meet in one task, and of those the queries that are scored at once.
+LIST_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 8192, 256
 _META = ("cell", "vec_id", "code", "v")
 
 
@@ -308,6 +308,17 @@ def _pruned(lists: DataFrame, probed: DataFrame, index: Index) -> DataFrame:
     return lists if len(wanted) == index.cells else lists.filter(F.col("cell").isin(wanted))
 
 
+def _best(asks: pd.DataFrame, ids: np.ndarray, most: int, score: Callable[[pd.Series], np.ndarray], name: str) -> pd.DataFrame:
+    """(query_id, vec_id, score): the ``most`` best ids of each query, scored some queries at a time; the first of those that tie."""
+    out = []
+    for at in range(0, len(asks), AT_ONCE):
+        part = asks.iloc[at : at + AT_ONCE]
+        scores = score(part["q"])
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+        out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]), "vec_id": ids[best.ravel()], name: np.take_along_axis(scores, best, 1).ravel().astype(float)}))
+    return pd.concat(out)
+
+
 def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, where: Column | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, similarity): about the ``k`` nearest of each query (query_id, q) among the vectors that fulfil ``where``.
 
@@ -331,9 +342,9 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, w
         if not len(asks) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "cell": [], "score": []})
         codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-        scores = books.scores(_unit(asks["q"]), np.full(len(rows), key[0]), codes)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :depth]
-        return pd.DataFrame({"query_id": np.repeat(asks["query_id"].to_numpy(), best.shape[1]), "vec_id": rows["vec_id"].to_numpy()[best.ravel()], "cell": key[0], "score": np.take_along_axis(scores, best, 1).ravel().astype(float)})
+        cell, ids = np.full(len(rows), key[0]), rows["vec_id"].to_numpy()
+        found = _best(asks, ids, depth, lambda q: books.scores(_unit(q), cell, codes), "score")
+        return found.assign(cell=key[0])[["query_id", "vec_id", "cell", "score"]]
 
     keys = ("cell", "l", "s")
     short = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, cell int, score double")
@@ -375,9 +386,8 @@ def exact_search(spark: SparkSession, index: Index, queries: DataFrame, k: int =
             return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
         wide = lambda c: (m := np.stack(c.to_numpy()).astype(float)) / np.linalg.norm(m, axis=1, keepdims=True)
         rows = rows.sort_values("vec_id")
-        sims = np.round(wide(asks["q"]) @ wide(rows["v"]).T, 6)
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(asks["query_id"].to_numpy(), best.shape[1]), "vec_id": rows["vec_id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(sims, best, 1).ravel()})
+        held = wide(rows["v"]).T
+        return _best(asks, rows["vec_id"].to_numpy(), k, lambda q: np.round(wide(q) @ held, 6), "similarity")
 
     keys = ("cell", "l", "s")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, similarity double")

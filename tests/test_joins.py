@@ -32,14 +32,14 @@ def grouped():
     return np.repeat(rng.standard_normal((60, 24)), 25, axis=0) + 0.3 * rng.standard_normal((1500, 24))
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.9, 64), (0.95, 200), (0.8, 100)])
+@pytest.mark.parametrize(("threshold", "block"), [(0.9, 64), (0.95, 64), (0.8, 40)])
 def test_regions_equal_all_pairs_and_compare_few(spark, grouped, threshold, block):
     df = frame(spark, grouped)
     found = metric_join.regions(df, 1500, threshold, block)
     assert found and sum(h for h, _ in found[1]) == 1500
     assert metric_join.compared(found[1]) < 0.5 * 1500 * 1499 / 2
     assert got(metric_join.region_pairs(df, *found, threshold, block)) == pytest.approx(brute(grouped, threshold))
-    assert got(vector.similar_pairs(df, threshold, block)) == pytest.approx(brute(grouped, threshold))
+    assert got(vector.similar_pairs(df, threshold, 8)) == pytest.approx(brute(grouped, threshold))
 
 
 def test_work_falls_with_the_threshold(spark, grouped):
