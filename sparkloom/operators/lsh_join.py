@@ -2,7 +2,9 @@
 
 In each of several tables a vector lies in the bucket of its signs on some random planes, and looks in that bucket and in those that
 differ in the signs it is least sure of (smallest squared distances to the planes first). How many planes, probes and tables follows from the
-threshold and the wanted recall: ``design`` draws pairs at exactly the threshold and takes the cheapest setting that finds them.
+threshold and the wanted recall: ``design`` draws pairs at exactly the threshold and takes the cheapest setting that finds them. The planes go through the
+vectors' mean, since vectors that have a part in common would else all lie on the same side of most; seen from there, the threshold's angle is wider, and
+the design is for that.
 
 Below ``EXACT`` vectors, and where no setting compares fewer than half of all pairs, the exact join is run. Of equal vectors one takes part. A vector keeps its
 ``most`` best partners: each task keeps that many of its own, then the best of those; an edge stays if either end keeps it.
@@ -11,6 +13,7 @@ Below ``EXACT`` vectors, and where no setting compares fewer than half of all pa
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -97,12 +100,32 @@ def lsh_pairs(vectors: DataFrame, threshold: float, recall: float = 0.95, most:
     rows, members = metric_join.classes(vectors.filter(vector.norm(F.col("v")) > 0))
     n = rows.count()
     dim = (rows.select(F.size("v").alias("n")).first() or {"n": 1})["n"]
-    plan = design(n, dim, threshold, recall) if n >= EXACT else None
-    found = _met(rows, threshold, plan, dim, most, block) if plan else vector.similar_classes(rows, threshold, block)[0]
+    mean = centre(rows, n, dim) if n >= EXACT else np.zeros(dim)
+    apart = 1 - float(mean @ mean)  # mean squared distance from the centre
+    around = 1 - (1 - threshold) / apart if apart > 1 - threshold else 0.0
+    plan = design(n, dim, round(around, 3), recall) if n >= EXACT and around > 0 else None
+    found = _met(rows, threshold, plan, mean, most, block) if plan else vector.similar_classes(rows, threshold, block)[0]
     copies = members.filter("cls <> vec_id").select(F.col("cls").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("similarity"))
     return _kept(found, most).unionByName(copies)
 
 
+def centre(rows: DataFrame, n: int, dim: int) -> np.ndarray:
+    """The mean of the unit vectors; each task returns one sum."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(dim)
+        for f in frames:
+            if len(f):
+                total += metric_join.unit(f["v"]).sum(axis=0)
+        yield pd.DataFrame({"x": [total]})
+
+    parts = rows.select("v").mapInPandas(sums, "x array<double>").select(F.posexplode("x").alias("at", "x"))
+    out = np.zeros(dim)
+    for r in parts.groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r["x"] / n
+    return out
+
+
 def _kept(pairs: DataFrame, most: int | None) -> DataFrame:
     """Pairs that are among the ``most`` best of one of their ends, ties to the smaller partner."""
     if most is None:
@@ -113,19 +136,19 @@ def _kept(pairs: DataFrame, most: int | None) -> DataFrame:
     return ranked.select("a", "b", "similarity").distinct()
 
 
-def _met(rows: DataFrame, threshold: float, plan: Design, dim: int, most: int | None, block: int) -> DataFrame:
+def _met(rows: DataFrame, threshold: float, plan: Design, mean: np.ndarray, most: int | None, block: int) -> DataFrame:
     """Pairs that share a probed bucket in any table. A crowded bucket is several tasks of ``block`` owners and ``block`` probers each.
 
     What goes to the buckets are packed vectors, an eighth of the size. Their product is off by no more than their two errors allow, so a task
     returns all pairs that may reach the threshold; the exact cosine of those decides.
     """
-    cuts = planes(dim, plan.tables, plan.bits)
+    cuts = planes(len(mean), plan.tables, plan.bits)
 
     @F.pandas_udf("codes array<array<int>>, q binary, step double, off double")
     def placed(vs: pd.Series) -> pd.DataFrame:
         m = metric_join.unit(vs)
         codes, step, off = metric_join.packed(m)
-        return pd.DataFrame({"codes": np.stack([probed(m @ p.T, plan.probes) for p in cuts], axis=1).astype(np.int32).tolist(), "q": [c.tobytes() for c in codes], "step": step, "off": off})
+        return pd.DataFrame({"codes": np.stack([probed((m - mean) @ p.T, plan.probes) for p in cuts], axis=1).astype(np.int32).tolist(), "q": [c.tobytes() for c in codes], "step": step, "off": off})
 
     # by way of a generator, so that a row's buckets are found once
     coded = cut(rows.select("vec_id", F.explode(F.array(placed("v"))).alias("p")).select("vec_id", "p.*"), "lsh")

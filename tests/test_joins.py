@@ -83,6 +83,23 @@ def test_lsh_recall_follows_the_design(spark, grouped, threshold, block):
     assert found == pytest.approx({p: true[p] for p in found})
 
 
+def test_vectors_with_a_part_in_common_keep_small_buckets(spark):
+    """All vectors share a direction of half their square length: buckets stay small, and recall stays."""
+    rng = np.random.default_rng(12)
+    own = np.repeat(rng.standard_normal((100, 32)), 10, axis=0) + 0.3 * rng.standard_normal((1000, 32))
+    m = own / np.linalg.norm(own, axis=1, keepdims=True)
+    m[:, 0] += 1.0
+    df = frame(spark, m)
+    mean = lsh_join.centre(df, 1000, 32)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert mean == pytest.approx(u.mean(axis=0)) and mean @ mean > 0.4
+    largest = lambda x: np.unique(lsh_join.probed(x @ lsh_join.planes(32, 1, 8)[0].T, 1), return_counts=True)[1].max()
+    assert largest(u - mean) < 0.7 * largest(u)
+    true = brute(m, 0.9)
+    found = got(lsh_join.lsh_pairs(df, 0.9, most=None))
+    assert set(found) <= set(true) and len(found) >= 0.9 * len(true) > 1000
+
+
 def test_lsh_keeps_the_best_of_each_and_links_copies(spark, grouped):
     m = grouped[:300].copy()
     m[250:] = m[0]
