@@ -87,12 +87,12 @@ def children(spark, sf_dir):
     return rows.groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.min("node").alias("first_child"))
 
 
-@query(sql("""+blk as (select source_id as a, target_id as b from relations where relation_type = 'depends_on'),
+@query(sql("""+blk as (select source_id as a, target_id as b from relations where relation_type in ('depends_on', 'related_to', 'applies_to')),
 r as (select a as start, b as node, 1 as d from blk union select start, b, d + 1 from r join blk on node = a where d < 4)
 select distinct start as node from r where node = start""", "relations"))
 def blocker_cycles(spark, sf_dir):
     """Nodes that block themselves within four steps."""
-    edges = views.relations(spark, sf_dir).filter("relation_type = 'depends_on'")
+    edges = views.relations(spark, sf_dir).filter("relation_type in ('depends_on', 'related_to', 'applies_to')")
     loops = edges.filter("source_id = target_id").select(F.col("source_id").alias("node"))
     step = graph.cut(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct())
     walk, found = step, loops
