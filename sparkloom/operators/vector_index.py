@@ -246,7 +246,7 @@ def build(vectors: DataFrame, path: str | None = None, pieces: int = 16, cells:
     vectors = cut(vectors, "index-given")
     first = vectors.filter("v is not null and size(v) > 0").select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     dim = first["n"] if first else 1
-    rows = cut(_fit_rows(vectors, dim), "index-rows")
+    rows = _fit_rows(vectors, dim)
     n = rows.count()
     pieces = min(pieces, dim)
     if n:
@@ -281,7 +281,10 @@ def add(vectors: DataFrame, index: Index) -> None:
 
 
 def _probed(queries: DataFrame, index: Index, books: _Books, radius: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
-    """(query_id, q, cell) of the nearest cells of each query; with ``radius``, of all cells that may hold something at least as near as ``least``."""
+    """(query_id, q, cell): each query's direction, in 16-bit numbers, with its nearest cells.
+
+    With ``radius``: each query as it is, with all cells that may hold something at least as near as ``least``.
+    """
     most = min(probes or index.probes, index.cells)
     lengths = np.maximum(np.linalg.norm(books.centres, axis=1), 1e-30)
 
@@ -297,9 +300,10 @@ def _probed(queries: DataFrame, index: Index, books: _Books, radius: np.ndarray
                 angle = np.arccos(np.clip(q @ (books.centres / lengths[:, None]).T, -1, 1))
                 low = np.arccos(np.clip(f["least"].to_numpy(dtype=float) - 2e-6, -1, 1))
                 r, c = np.nonzero(angle - radius[None, :] <= low[:, None] + 2e-3)  # angles are of 32-bit numbers
-            yield pd.DataFrame({"query_id": f["query_id"].to_numpy()[r], "q": f["q"].to_numpy()[r], "cell": c.astype(np.int32)})
+            given = f["q"].to_numpy() if radius is not None else np.array([x.tobytes() for x in q.astype(np.float16)] + [None], dtype=object)[:-1]
+            yield pd.DataFrame({"query_id": f["query_id"].to_numpy()[r], "q": given[r], "cell": c.astype(np.int32)})
 
-    return queries.mapInPandas(choose, "query_id long, q array<double>, cell int")
+    return queries.mapInPandas(choose, f"query_id long, q {'array<double>' if radius is not None else 'binary'}, cell int")
 
 
 def _pruned(lists: DataFrame, probed: DataFrame, index: Index) -> DataFrame:
@@ -343,7 +347,7 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, w
             return pd.DataFrame({"query_id": [], "vec_id": [], "cell": [], "score": []})
         codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
         cell, ids = np.full(len(rows), key[0]), rows["vec_id"].to_numpy()
-        found = _best(asks, ids, depth, lambda q: books.scores(_unit(q), cell, codes), "score")
+        found = _best(asks, ids, depth, lambda q: books.scores(np.frombuffer(b"".join(q), dtype=np.float16).reshape(len(q), -1).astype(np.float32), cell, codes), "score")
         return found.assign(cell=key[0])[["query_id", "vec_id", "cell", "score"]]
 
     keys = ("cell", "l", "s")
