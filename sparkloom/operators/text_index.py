@@ -120,15 +120,17 @@ def commit(changes: DataFrame, m: Manifest, batch: str | None = None) -> Manifes
     seg, generation = f"g{m.generation + 1:06d}", m.generation + 1
     gone = F.coalesce("deleted", F.lit(False)) if "deleted" in changes.columns else F.lit(False)
     seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
-    # the largest text breaks ties of seq, so that a repeated run takes the same
-    row = F.struct(seq.alias("seq"), gone.alias("gone"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(m.fields)])
-    last = changes.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(row).alias("r"))
-    split = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f"r.f{k}"), F.lit(""))).alias("w")) for k, f in enumerate(m.fields)])
-    words = cut(last.select("doc_id", "r.gone", F.explode(F.array(split)).alias("by")).select("doc_id", "gone", F.when(F.col("gone"), F.array().cast("array<struct<field:string,w:array<string>>>")).otherwise(F.col("by")).alias("by")), "text-words")
-    length = F.aggregate("by", F.lit(0).cast("long"), lambda n, x: n + F.size(x["w"]))
-    log = words.select("doc_id", length.alias("doc_len"), "gone")
-
-    flat = words.select("doc_id", length.alias("doc_len"), F.explode("by").alias("x")).select("doc_id", "doc_len", "x.field", F.explode("x.w").alias("term"))
+    text = lambda f: F.coalesce(F.col(f), F.lit(""))
+    length = sum((F.size(tokens(text(f))) for f in m.fields), F.lit(0)).cast("long")
+    # a hash of the texts breaks ties of seq, so that the log and the postings take the same row, in every run
+    order = F.struct(seq.alias("seq"), gone.alias("gone"), F.xxhash64(*m.fields).alias("h"))
+    rows = changes.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("o"), length.alias("doc_len"), *[text(f).alias(f"f{k}") for k, f in enumerate(m.fields)])
+    log = cut(rows.groupBy("doc_id").agg(F.max(F.struct("o", "doc_len")).alias("r")).select("doc_id", "r.doc_len", "r.o.gone"), "text-log")
+
+    # texts are dealt by doc_id once; what is counted from there on stays in its task
+    last = rows.groupBy("doc_id").agg(F.max_by(F.struct("doc_len", *[f"f{k}" for k in range(len(m.fields))]), "o").alias("r"), F.max("o").alias("o")).filter("not o.gone")
+    by = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f"r.f{k}")).alias("w")) for k, f in enumerate(m.fields)])
+    flat = last.select("doc_id", "r.doc_len", F.explode(by).alias("x")).select("doc_id", "doc_len", "x.field", F.explode("x.w").alias("term"))
     counted = flat.groupBy("doc_id", "doc_len", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
     if m.stemmed:  # each distinct term is stemmed once
         stems = counted.select("term").distinct().select("term", stem_udf("term").alias("stem"))
