@@ -34,6 +34,8 @@ MAX_CELLS, PER_CELL, CODE_SAMPLE, TUNE = 16_384, 64, 20_000, 256
 WORDS = 256
 #: Rows of a list, and queries, that meet in one task, and of those the queries that are scored at once.
 LIST_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 8192, 256
+#: Steps of the approximate cosine that a unit is cut into, for counting.
+STEPS = 128
 _META = ("cell", "vec_id", "code", "v")
 
 
@@ -342,16 +344,40 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, w
     right = lists.select("cell", "vec_id", "code").join(parts, "cell").select("cell", "vec_id", "code", F.pmod(F.xxhash64("vec_id"), F.col("ls")).cast("int").alias("l"), every("qs").alias("s"))
     left = asked.join(parts, "cell").select("cell", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("s"), every("ls").alias("l"))
 
-    def meet(key: tuple, asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(rows):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "cell": [], "score": []})
+    def scored(key: tuple, asks: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
         codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-        cell, ids = np.full(len(rows), key[0]), rows["vec_id"].to_numpy()
-        found = _best(asks, ids, depth, lambda q: books.scores(np.frombuffer(b"".join(q), dtype=np.float16).reshape(len(q), -1).astype(np.float32), cell, codes), "score")
-        return found.assign(cell=key[0])[["query_id", "vec_id", "cell", "score"]]
+        cell = np.full(len(rows), key[0])
+        for at in range(0, len(asks), AT_ONCE):
+            part = asks.iloc[at : at + AT_ONCE]
+            q = np.frombuffer(b"".join(part["q"]), dtype=np.float16).reshape(len(part), -1).astype(np.float32)
+            yield part, books.scores(q, cell, codes)
+
+    def count(key: tuple, asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """How many scores of each query fall into each step."""
+        out = [pd.DataFrame({"query_id": [], "step": [], "n": []})]
+        if len(asks) and len(rows):
+            for part, scores in scored(key, asks, rows):
+                steps = np.floor(scores * STEPS).astype(np.int64)
+                keys, n = np.unique(np.arange(len(part))[:, None] * 8 * STEPS + steps + 4 * STEPS, return_counts=True)
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[keys // (8 * STEPS)], "step": keys % (8 * STEPS) - 4 * STEPS, "n": n}))
+        return pd.concat(out)
 
+    def meet(key: tuple, asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "cell": [], "score": []})]
+        if len(asks) and len(rows):
+            ids = rows["vec_id"].to_numpy()
+            for part, scores in scored(key, asks, rows):
+                r, c = np.nonzero(np.floor(scores * STEPS) >= part["least"].to_numpy()[:, None])
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[r], "vec_id": ids[c], "cell": key[0], "score": scores[r, c].astype(float)}))
+        return pd.concat(out)
+
+    # First how many scores of a query reach each step, in all its cells; then only rows from the step on that fills its short list leave a task.
     keys = ("cell", "l", "s")
-    short = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, cell int, score double")
+    right = right.groupBy(*keys)
+    counted = left.groupBy(*keys).cogroup(right).applyInPandas(count, "query_id long, step long, n long").groupBy("query_id", "step").agg(F.sum("n").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("step")))  # at most 8 * STEPS rows a query
+    full = counted.withColumn("above", above).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("above") >= depth, F.col("step"))), F.min("step")).alias("least"))
+    short = left.join(cut(full, "index-least"), "query_id").groupBy(*keys).cogroup(right).applyInPandas(meet, "query_id long, vec_id long, cell int, score double")
     short = cut(_top(short, "score", depth).select("query_id", "vec_id", "cell"), "index-short")
     exact = lists.select("cell", "vec_id", "v").join(short, ["cell", "vec_id"]).join(queries.select(F.col("query_id").cast("long").alias("query_id"), "q"), "query_id")
     return _ranked(exact, k)
