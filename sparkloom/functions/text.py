@@ -8,6 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_PATTERN = 500
+#: A border of a word of ASCII letters, digits and underscores, as ``\b`` is in SQL; Java's ``\b`` counts letters beyond ASCII as parts of words.
+BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def bordered(pattern: str) -> str:
+    """The pattern with each ``\b`` between ASCII words."""
+    return pattern.replace(r"\b", BORDER)
 
 
 def parse_exclusions(search: str) -> tuple[str, list[str], list[str]]:
@@ -23,7 +30,7 @@ def excluded(text: Column, words: list[str], phrases: list[str]) -> Column:
     """True where the text has an excluded word, at word boundaries, or an excluded phrase anywhere."""
     hit = F.lit(False)
     for w in words:
-        hit = hit | text.rlike(rf"(?i)\b{re.escape(w)}\b")
+        hit = hit | text.rlike(bordered(rf"(?i)\b{re.escape(w)}\b"))
     for p in phrases:
         hit = hit | F.lower(text).contains(p)
     return hit
@@ -123,7 +130,7 @@ def as_phrase(said: Column) -> Column:
 def without_operators(said: Column) -> Column:
     """A search text whose operator words are read as words; blank texts stay as they are."""
     doubled = F.replace(said, F.lit('"'), F.lit('""'))
-    return F.when(F.trim(said) == "", said).otherwise(_quoted(doubled, doubled.rlike(r"(?i)\b(AND|OR|NOT|NEAR(?:/\d+)?)\b")))
+    return F.when(F.trim(said) == "", said).otherwise(_quoted(doubled, doubled.rlike(bordered(r"(?i)\b(AND|OR|NOT|NEAR(?:/\d+)?)\b"))))
 
 
 def plain_tokens(said: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bordered
+
 # Entity patterns, keyword lists and intents, in the order in which they are tried.
 ENTITIES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -28,7 +30,7 @@ def entities(docs: DataFrame) -> DataFrame:
         return lambda v: F.struct(F.lit(kind).alias("kind"), (F.lower(v) if kind == "email" else v).alias("value"))
 
     none = F.array().cast("array<string>")
-    found = [F.transform(F.when(F.col("text").rlike(NEEDS[k]), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none), named(k)) for k, p in ENTITIES.items()]
+    found = [F.transform(F.when(F.col("text").rlike(NEEDS[k]), F.regexp_extract_all("text", F.lit(bordered(p)), F.lit(0))).otherwise(none), named(k)) for k, p in ENTITIES.items()]
     rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("e"))
     return rows.groupBy("doc_id", F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -36,21 +38,21 @@ def entities(docs: DataFrame) -> DataFrame:
 def intent(text: Column) -> Column:
     """The first intent that matches, else explore."""
     low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(p), name) for name, p in INTENTS], F.lit("explore"))
+    return F.coalesce(*[F.when(low.rlike(bordered(p)), name) for name, p in INTENTS], F.lit("explore"))
 
 
 def message_relevance(text: Column) -> Column:
     size = F.length(text)
     by_length = F.when(size > 500, 0.2).when(size > 200, 0.1).otherwise(0.0)
     code = F.when(text.contains("`"), 0.2).otherwise(0.0)
-    decision = F.when(F.lower(text).rlike(r"\b(decid|chose|should|must|because|was|of the)"), 0.2).otherwise(0.0)
+    decision = F.when(F.lower(text).rlike(bordered(r"\b(decid|chose|should|must|because|was|of the)")), 0.2).otherwise(0.0)
     return F.least(F.lit(1.0), 0.3 + by_length + code + decision)
 
 
 def redflags(docs: DataFrame) -> DataFrame:
     text = F.col("text")
-    flags = sum((F.when(text.rlike(p), bit).otherwise(0) for bit, p, _ in FLAGS), F.lit(0))
-    risk = sum((F.when(text.rlike(p), weight).otherwise(0.0) for _, p, weight in FLAGS), F.lit(0.0))
+    flags = sum((F.when(text.rlike(bordered(p)), bit).otherwise(0) for bit, p, _ in FLAGS), F.lit(0))
+    risk = sum((F.when(text.rlike(bordered(p)), weight).otherwise(0.0) for _, p, weight in FLAGS), F.lit(0.0))
     return docs.select("doc_id", flags.alias("flags"), F.round(risk, 6).alias("risk"))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import bordered
+
 # Patterns of each command, the most specific command first.
 COMMANDS: dict[str, tuple[str, ...]] = {
     "session_start": (
@@ -97,7 +99,7 @@ QUESTION = r"(?i)\?\s*$|^(what|how|where|when|why|which|is|are|do|does|can|could
 
 def _hits(said: Column, patterns: tuple[str, ...]) -> Column:
     """How many of ``patterns`` a text has."""
-    return reduce(lambda a, b: a + b, [said.rlike(f"(?i){p}").cast("int") for p in patterns])
+    return reduce(lambda a, b: a + b, [said.rlike(bordered(f"(?i){p}")).cast("int") for p in patterns])
 
 
 def _first(said: Column, kinds: dict[str, tuple[str, ...]]) -> Column:
@@ -119,7 +121,7 @@ def command(text: Column) -> Column:
     A text that is no command is a question (retrieve, 0.5), or it speaks of a type of entry (store, 0.5, and the type), or it is unknown (0).
     """
     said = F.trim(text)
-    first, asks, kind = _first(said, COMMANDS), said.rlike(QUESTION), entry_type(said)
+    first, asks, kind = _first(said, COMMANDS), said.rlike(bordered(QUESTION)), entry_type(said)
     return F.struct(
         F.when(first.isNotNull(), first["name"]).when(asks, "retrieve").when(kind.isNotNull(), "store").otherwise("unknown").alias("intent"),
         F.coalesce(first["hits"], F.lit(0)).alias("hits"),

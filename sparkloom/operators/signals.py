@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bordered
+
 # Fixed values: (type, weight, pattern) that tell an entry's type, in the order in which ties are broken.
 ENTRY_PATTERNS = (
     ("knowledge", 0.8, r"^(how|why|what|when|where)\b.*\?"),
@@ -197,12 +199,11 @@ NO_FUNCTIONS = (
 KEPT_CASE = ("FUNCTION_NAME", "ERROR_CODE")
 BUG_WORDS = r"\b(bug|issue|broken|error|doesn't work|not working|problem with|fails|crashing)\b"
 RULE_WORDS = r"\b(must|should|always|never|use|avoid|prefer|require|recommend)\b"
-_BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def java(pattern: str) -> str:
     """The pattern for Spark: case ignored, borders between ASCII word characters, ``.`` within a line."""
-    return "(?i)" + pattern.replace(r"\b", _BORDER)
+    return "(?i)" + bordered(pattern)
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bordered
+
 # Kinds of query by their words, tried in this order.
 QUERY_KINDS = (
     ("debugging", r"\b(error|bug|fix|issue)\b"), ("question", r"\b(how|what|why|when)\b"),
@@ -22,7 +24,7 @@ def query_features(text: Column) -> dict[str, Column]:
         "query_length": F.length(said),
         "has_keywords": said != "",
         "query_complexity": F.round(F.least(F.lit(1.0), words / 20.0 + operators), 6),
-        "query_kind": F.coalesce(*[F.when(F.lower(said).rlike(p), kind) for kind, p in QUERY_KINDS], F.lit("general")),
+        "query_kind": F.coalesce(*[F.when(F.lower(said).rlike(bordered(p)), kind) for kind, p in QUERY_KINDS], F.lit("general")),
     }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bordered
+
 # Keywords of each tag, tags of each category, in the order in which equal confidences are taken.
 TAG_KEYWORDS = {
     "typescript": ("typescript", "ts", ".ts", ".tsx", "tsc", "tsconfig"),
@@ -79,11 +81,11 @@ def tags(rows: DataFrame) -> DataFrame:
 
 
 def imperatives(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(IMPERATIVES))
+    return F.regexp_count(F.lower(text), F.lit(bordered(IMPERATIVES)))
 
 
 def compound(text: Column, entry_type: Column) -> Column:
     """Why an entry holds several statements; null if it holds one."""
     orders = imperatives(text)
     dense = (F.length(text) > LONG_ENTRY) & (F.regexp_count(text, F.lit(r"[.!?]+")) >= 3) & (orders >= 2)
-    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in COMPOUND], F.when((entry_type == "guideline") & (orders > 2), "many imperatives"), F.when(dense, "long with imperatives"))
+    return F.coalesce(*[F.when(text.rlike(bordered(p)), name) for name, p in COMPOUND], F.when((entry_type == "guideline") & (orders > 2), "many imperatives"), F.when(dense, "long with imperatives"))

@@ -170,7 +170,7 @@ def name_duplicates(spark, sf_dir):
 select user_id, subject, count(*) filter (where kind = 'always') as pro, count(*) filter (where kind = 'never') as contra from t group by user_id, subject having count(distinct kind) = 2""", "messages"))
 def contradictions(spark, sf_dir):
     """Subjects that one user both always and never wants: statements grouped by subject."""
-    low, pattern = F.lower("text"), r"\b(always|never)\s+([a-z]+)"
+    low, pattern = F.lower("text"), text.bordered(r"\b(always|never)\s+([a-z]+)")
     both = F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all(low, F.lit(pattern), F.lit(2)).alias("subject"))
     rows = views.messages(spark, sf_dir).select("user_id", F.explode(both).alias("s")).select("user_id", "s.kind", "s.subject")
     by = rows.groupBy("user_id", "subject").agg(when_count(F.col("kind") == "always").alias("pro"), when_count(F.col("kind") == "never").alias("contra"))

@@ -53,7 +53,7 @@ _HIGHLIGHT = "select doc_id, regexp_replace(text, '(?i)\\b(of|the)\\b', '<mark>\
 @query(_HIGHLIGHT)
 def fts_highlight(spark, sf_dir):
     """Matches marked in whole texts."""
-    return _docs(spark, sf_dir).filter(F.col("text").rlike(r"(?i)\b(of|the)\b")).select("doc_id", fulltext.highlight(F.col("text"), ["the", "of"]).alias("marked"))
+    return _docs(spark, sf_dir).filter(F.col("text").rlike(text.bordered(r"(?i)\b(of|the)\b"))).select("doc_id", fulltext.highlight(F.col("text"), ["the", "of"]).alias("marked"))
 
 
 @query(_HIGHLIGHT)
@@ -142,7 +142,7 @@ def split_compound(spark, sf_dir):
 def complexity(spark, sf_dir):
     n = F.col("n_chars")
     level = sum(((n > k).cast("int") for k in (2000, 8000, 20000)), F.lit(0))
-    return _docs(spark, sf_dir).select("doc_id", level.alias("level"), F.lower("text").rlike(r"\b(the|of)\b").cast("int").alias("english"))
+    return _docs(spark, sf_dir).select("doc_id", level.alias("level"), F.lower("text").rlike(text.bordered(r"\b(the|of)\b")).cast("int").alias("english"))
 
 
 _SYNONYMS = {"red": ("crimson", "scarlet", "ruby"), "small": ("little", "tiny"), "plate": ("dish",), "widget": ("gadget", "device"), "hot": ("warm", "heated")}
