@@ -6,12 +6,14 @@ All are column expressions over one text; patterns ignore case. Words and border
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bordered
+from .graph import cut
 
 # Fixed values: (type, weight, pattern) that tell an entry's type, in the order in which ties are broken.
 ENTRY_PATTERNS = (
@@ -218,6 +220,17 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def once_each(rows: DataFrame, keys: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``judge`` adds to their ``keys``, where equal keys are judged once: patterns cost more than a join.
+
+    What is judged is written, so that its size is known and a small table of it is sent to the tasks; null keys are keys too.
+    """
+    found = cut(judge(rows.select(*keys).distinct()), "judged")
+    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys])
+    return rows.join(named, same).drop(*[f"_{k}" for k in keys])
+
+
 def entry_type(rows: DataFrame, multipliers: dict[int, float] | None = None) -> DataFrame:
     """``rows`` (text, ...) with type and confidence: the best pattern's weight, less where another type comes close, more where patterns agree.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cursors, scoring
-from ..operators import commands, fulltext, graph
+from ..operators import commands, fulltext, graph, signals
 from ..registry import query
 from ..sources import views
 from ..sources.views import sql
@@ -245,4 +245,5 @@ def command_intent(spark, sf_dir):
 select event_id, not out and (f is not null or several) as begins, case when not out then f.name end as work, case when out then 0.0 when f is not null then least(0.95, round(0.6 + f.hits * 0.1, 6)) when several then 0.5 else 0.0 end::double as confidence from f""", "messages"))
 def announced_work(spark, sf_dir):
     """Whether an episode begins with what was said, and of which kind."""
-    return views.messages(spark, sf_dir).select("event_id", commands.announced_work(F.col("text")).alias("w")).select("event_id", "w.*")
+    judged = lambda texts: texts.withColumn("w", commands.announced_work(F.col("text")))
+    return signals.once_each(views.messages(spark, sf_dir), ["text"], judged).select("event_id", "w.*")

@@ -39,7 +39,7 @@ more as (select b.text, b.t, b.w, max(h.w) filter (where h.t <> b.t and h.w > 0.
 val as (select text, t, case when same > 1 then least(0.95::double, c + 0.05::double * (same - 1)) else c end as c from (select *, case when w - rival < 0.2 then w * (0.8::double + (w - rival) * 2) else w end as c from more))
 select event_id, coalesce(t, 'knowledge') as type, case when t is null then 0.5 else floor(c * 100 + 0.5) / 100 end::double as confidence from messages left join val using (text)""", "messages"))
 def entry_type_classify(spark, sf_dir):
-    return signals.entry_type(views.messages(spark, sf_dir)).select("event_id", "type", "confidence")
+    return signals.once_each(views.messages(spark, sf_dir), ["text"], signals.entry_type).select("event_id", "type", "confidence")
 
 
 _INTENTS = " ".join(f"when {_any('lower(text)', patterns)} then '{name}'" for name, _, patterns in signals.QUERY_INTENTS)
@@ -60,7 +60,8 @@ _COMPLEX = " + ".join(f"case when {g} > 0 then 0.2::double + least(0.15::double,
 
 @query(sql(f"select event_id, round(least(1.0::double, {_COMPLEX}), 6) as score from messages", "messages"))
 def complexity_signals(spark, sf_dir):
-    return views.messages(spark, sf_dir).select("event_id", F.round(signals.complexity(F.col("text")), 6).alias("score"))
+    scored = lambda texts: texts.withColumn("score", F.round(signals.complexity(F.col("text")), 6))
+    return signals.once_each(views.messages(spark, sf_dir), ["text"], scored).select("event_id", "score")
 
 
 def _score(name: str) -> str:
@@ -94,7 +95,8 @@ def _boost_sql() -> str:
 @query(sql(f"+typed as (select event_id, text, case when event_id % 2 = 0 then 'knowledge' else 'guideline' end as type from messages) select event_id, {_boost_sql()} as confidence from typed", "messages"))
 def confidence_boosts(spark, sf_dir):
     kind = F.when(F.col("event_id") % 2 == 0, "knowledge").otherwise("guideline")
-    return views.messages(spark, sf_dir).select("event_id", F.round(signals.boosted(F.col("text"), kind, F.lit(0.5)), 6).alias("confidence"))
+    raised = lambda texts: texts.withColumn("confidence", F.round(signals.boosted(F.col("text"), F.col("kind"), F.lit(0.5)), 6))
+    return signals.once_each(views.messages(spark, sf_dir).withColumn("kind", kind), ["text", "kind"], raised).select("event_id", "confidence")
 
 
 _SEVERAL = " ".join(f"when {_hit('lower(text)', p)} then '{t}'" for t, _, p in signals.SEVERAL)
@@ -142,7 +144,7 @@ def _trigger_sql() -> str:
 
 @query(sql(_trigger_sql(), "messages"))
 def extraction_triggers(spark, sf_dir):
-    return signals.triggers(views.messages(spark, sf_dir)).select("event_id", "trigger", "confidence", "suggested_type", "boost")
+    return signals.once_each(views.messages(spark, sf_dir), ["text"], signals.triggers).select("event_id", "trigger", "confidence", "suggested_type", "boost")
 
 
 def _named_sql() -> str:
