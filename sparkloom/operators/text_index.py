@@ -13,6 +13,7 @@ changes of one document in a commit the one with the largest ``seq`` counts; rep
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from dataclasses import dataclass, replace
 
@@ -26,6 +27,8 @@ from .fulltext import B, K1, term_match, tokens
 from .graph import cut
 
 BUCKETS, LETTERS = 64, 3
+#: Words that one task counts or writes, more or less: a larger commit is more tasks.
+TASK_WORDS = 1_000_000
 POSTINGS = "term string, doc_id long, field string, tf long, doc_len long, seg string, bucket int"
 LOG = "doc_id long, doc_len long, seg string"
 
@@ -101,11 +104,16 @@ def buckets_of(wanted: list[tuple[str, bool]]) -> list[int]:
     return sorted({zlib.crc32(t[:LETTERS].encode()) % BUCKETS for t, _ in wanted})
 
 
-def _write(rows: DataFrame, m: Manifest, seg: str) -> int:
-    """Postings of one segment by bucket; a crowded bucket is several files, each sorted by term."""
-    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+def _tasks(spark: SparkSession, words: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / TASK_WORDS))
+
+
+def _write(rows: DataFrame, m: Manifest, seg: str, words: int) -> int:
+    """Postings of one segment, of so many ``words``, by bucket; a crowded bucket is several files, each sorted by term."""
+    parts = _tasks(rows.sparkSession, words)
+    spread = max(1, parts // 8)
     dealt = rows.withColumn("bucket", bucket(F.col("term"))).withColumn("_file", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
-    dealt.repartition("bucket", "_file").sortWithinPartitions("bucket", "term").drop("_file", "seg").write.mode("overwrite").partitionBy("bucket").parquet(f"{m.path}/postings/seg={seg}")
+    dealt.repartition(parts, "bucket", "_file").sortWithinPartitions("bucket", "term").drop("_file", "seg").write.mode("overwrite").partitionBy("bucket").parquet(f"{m.path}/postings/seg={seg}")
     return rows.sparkSession.read.schema("term string, bucket int").parquet(f"{m.path}/postings/seg={seg}").count()
 
 
@@ -127,22 +135,22 @@ def commit(changes: DataFrame, m: Manifest, batch: str | None = None) -> Manifes
     rows = changes.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("o"), length.alias("doc_len"), *[text(f).alias(f"f{k}") for k, f in enumerate(m.fields)])
     log = cut(rows.groupBy("doc_id").agg(F.max(F.struct("o", "doc_len")).alias("r")).select("doc_id", "r.doc_len", "r.o.gone"), "text-log")
 
-    # texts are dealt by doc_id once; what is counted from there on stays in its task
-    last = rows.groupBy("doc_id").agg(F.max_by(F.struct("doc_len", *[f"f{k}" for k in range(len(m.fields))]), "o").alias("r"), F.max("o").alias("o")).filter("not o.gone")
+    # texts are dealt by doc_id once, into tasks of so many words; what is counted from there on stays in its task
+    new_docs, new_words = log.filter("not gone").agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    last = rows.repartition(_tasks(spark, new_words), "doc_id").groupBy("doc_id").agg(F.max_by(F.struct("doc_len", *[f"f{k}" for k in range(len(m.fields))]), "o").alias("r"), F.max("o").alias("o")).filter("not o.gone")
     by = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f"r.f{k}")).alias("w")) for k, f in enumerate(m.fields)])
     flat = last.select("doc_id", "r.doc_len", F.explode(by).alias("x")).select("doc_id", "doc_len", "x.field", F.explode("x.w").alias("term"))
     counted = flat.groupBy("doc_id", "doc_len", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
     if m.stemmed:  # each distinct term is stemmed once
         stems = counted.select("term").distinct().select("term", stem_udf("term").alias("stem"))
         counted = counted.join(stems, "term").groupBy("doc_id", "doc_len", "field", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    n = _write(counted, m, seg)
+    n = _write(counted, m, seg, new_words)
     log.filter("not gone").select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{m.path}/log/seg={seg}")
 
     before = _live(spark, m, "log", LOG).join(dead(spark, m).select("doc_id", "seg"), ["doc_id", "seg"], "left_anti")
     replaced = cut(before.join(log.select("doc_id"), "doc_id", "left_semi"), "text-dead")
     replaced.select("doc_id", "doc_len", "seg").write.mode("overwrite").parquet(f"{m.path}/dead/generation={generation}")
-    sums = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-    (new_docs, new_words), (old_docs, old_words) = sums(log.filter("not gone")), sums(replaced)
+    old_docs, old_words = replaced.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
     after = replace(
         m, generation=generation, segments=(*m.segments, (seg, n)), docs=m.docs + new_docs - old_docs, words=m.words + new_words - old_words,
         batches=(*m.batches, batch)[-100:] if batch is not None else m.batches,
@@ -159,7 +167,7 @@ def merge(spark: SparkSession, m: Manifest, most: int = 8) -> Manifest:
     seg, generation = f"g{m.generation + 1:06d}", m.generation + 1
     left_out = dead(spark, m).select("doc_id", "seg")
     chosen = lambda rows: rows.filter(F.col("seg").isin(small)).join(left_out, ["doc_id", "seg"], "left_anti")
-    n = _write(chosen(postings(spark, m)).select("term", "doc_id", "field", "tf", "doc_len"), m, seg)
+    n = _write(chosen(postings(spark, m)).select("term", "doc_id", "field", "tf", "doc_len"), m, seg, sum(k for s, k in m.segments if s in small))
     chosen(_live(spark, m, "log", LOG)).select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{m.path}/log/seg={seg}")
     after = replace(m, generation=generation, segments=(*[s for s in m.segments if s[0] not in small], (seg, n)))
     _publish(spark, after)
