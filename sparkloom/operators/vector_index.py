@@ -34,6 +34,8 @@ MAX_CELLS, PER_CELL, CODE_SAMPLE, TUNE = 16_384, 64, 20_000, 256
 WORDS = 256
 #: Rows of a list, and queries, that meet in one task, and of those the queries that are scored at once.
 LIST_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 8192, 256
+#: Queries times cells that a task chooses among at a time, each of which may be a row with the query's vector.
+PROBED_ROWS = 65_536
 #: Steps of the approximate cosine that a unit is cut into, for counting.
 STEPS = 128
 _META = ("cell", "vec_id", "code", "v")
@@ -290,10 +292,10 @@ def _probed(queries: DataFrame, index: Index, books: _Books, radius: np.ndarray
     most = min(probes or index.probes, index.cells)
     lengths = np.maximum(np.linalg.norm(books.centres, axis=1), 1e-30)
 
+    at_once = max(1, PROBED_ROWS // max(1, index.cells))
+
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
+        for f in (f.iloc[at : at + at_once] for f in frames for at in range(0, len(f), at_once)):
             q = _unit(f["q"])
             if radius is None:
                 cells = np.argsort(-(q @ books.centres.T), axis=1, kind="stable")[:, :most]
