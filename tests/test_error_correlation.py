@@ -35,3 +35,15 @@ def test_no_row_for_each_shared_task(spark):
     found = feedback.agent_error_correlation(rows, F.col("vote") == "error")
     assert found.count() == 60 * 59 // 2
     assert not re.search(r"\(task_id#\d+L? = task_id#", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_agents_move_a_bounded_number_of_times(spark, monkeypatch):
+    """Blocks grow with the agents: 2,000 of them in blocks of 4 were 500 rows each before."""
+    monkeypatch.setattr(feedback, "PAIRS", 700)
+    rows = spark.range(2000 * 3).selectExpr("id % 3 as task_id", "id div 3 as agent_id", "case when id % 7 = 0 then 'error' else 'view' end as vote")
+    sent = []
+    plain = F.sequence
+    monkeypatch.setattr(feedback.F, "sequence", lambda a, b: sent.append(b._jc.toString()) or plain(a, b))
+    found = feedback.agent_error_correlation(rows, F.col("vote") == "error", agents=4, tasks=2000)
+    assert sent and int(sent[0]) <= 25
+    assert found.count() == 2000 * 1999 // 2
